@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash
+from . import packing, sharding, simhash, telephony
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("QALOOM_TOKENIZERS", "/opt/tokenizers")
@@ -45,3 +45,23 @@ def packed(docs: DataFrame) -> DataFrame:
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+@_query
+def op8_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.coalesce(F.octet_length(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("n_bytes"), telephony.payload_of().alias("payload"))
+    rows = rows.withColumn("codec", telephony.codec_of(F.col("payload")))
+    files = telephony.store_payloads(rows, "payload", "codec", ["doc_id", "n_bytes"])
+    stored = files.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    read = telephony.decode_media(stored, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.concat_ws(";", F.concat(F.lit("codec="), "codec"), "feature", F.concat(F.lit("pcm="), F.octet_length("pcm").cast("string"), F.lit(":"), F.crc32("pcm").cast("string"))).alias("feature"),
+    )
