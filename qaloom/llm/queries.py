@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, telephony
+from . import line_quality, packing, sharding, simhash, telephony
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("QALOOM_TOKENIZERS", "/opt/tokenizers")
@@ -65,3 +65,12 @@ def op8_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_sha256",
         F.concat_ws(";", F.concat(F.lit("codec="), "codec"), "feature", F.concat(F.lit("pcm="), F.octet_length("pcm").cast("string"), F.lit(":"), F.crc32("pcm").cast("string"))).alias("feature"),
     )
+
+
+@_query
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_quality.measure(docs, clean=None).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")
+
+
+ORACLE["op7_line_quality"] = line_quality.oracle()
