@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, packing, sharding, simhash, telephony
+from . import line_quality, packing, sharding, simhash, suffix_dedup, telephony
+from .common import cut
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("QALOOM_TOKENIZERS", "/opt/tokenizers")
@@ -74,3 +75,12 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op7_line_quality"] = line_quality.oracle()
+
+
+@_query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, release = suffix_dedup.remove_repeats(docs)
+    out = cut(rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+    release()
+    return out
