@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, packing, sharding, simhash, suffix_dedup, telephony
-from .common import cut
+from . import gam, line_quality, packing, sharding, simhash, suffix_dedup, telephony
+from .common import crc_bucket, cut
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("QALOOM_TOKENIZERS", "/opt/tokenizers")
@@ -84,3 +84,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cut(rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
     release()
     return out
+
+
+@_query
+def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gam.fit(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(crc_bucket("doc_id", gam.FOLDS) == 0, F.lit(False))
+    return gam.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= gam.THRESHOLD).cast("int").alias("predicted"))
