@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
+import json
+import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -64,56 +65,105 @@ def by_size(texts: list, limit: int = 1 << 21) -> Iterable[list]:
         yield texts[start:]
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for bytes: printable Latin-1 as itself, the rest from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class WordMerges:
+    """Byte-pair merges of single words whose last symbol carries an end mark, run on a byte-pair core.
+
+    The end mark is the byte 0xFF, which no UTF-8 text holds: (x, 0xFF) merges before anything else, and every other
+    merge keeps its order.
+    """
+
+    END = b"\xff"
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
+        import tiktoken
+
+        letters = byte_letters()
+
+        def raw(token: str) -> bytes:
+            body, end = (token[: -len(suffix)], self.END) if token.endswith(suffix) and token != suffix else (token, b"")
+            return bytes(letters[c] for c in body) + end
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + self.END: 256 + b for b in range(256)}
+        for m in merges:
+            left, right = m if not isinstance(m, str) else m.split(" ")
+            joined = raw(left) + raw(right)
+            if joined in ranks:
+                raise ValueError("two merges make one token")
+            ranks[joined] = len(ranks)
+        known = {}
+        for token, i in vocab.items():
+            if all(c in letters for c in token.removesuffix(suffix)):
+                known[raw(token)] = i
+        self.id_bytes = [np.array([known.get(t, 0)], "<u4").tobytes() for t, _ in sorted(ranks.items(), key=lambda kv: kv[1])]
+        self.core = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def encode(self, word: bytes) -> bytes:
+        ids = self.id_bytes
+        return b"".join([ids[r] for r in self.core.encode_single_piece(word + self.END)])
+
+
 _BLANK = str.maketrans("\t\n\r\x0b\x0c", "     ")
 
 
 class SpacedBpe:
-    """A tokenizer whose pre-tokenizer drops white space and never joins across it: documents are encoded by chunk.
+    """A lower-casing tokenizer whose pre-tokenizer drops white space and never joins across it: texts are encoded by chunk.
 
-    An unseen chunk of plain letters, digits and ASCII punctuation is split by ``pieces`` (the tokenizer's own split
-    pattern) and the unseen pieces are encoded in one call; any other chunk goes to the tokenizer as it is.
+    A Latin-1 text is lower-cased whole, and a full stop or comma that ends a word is set apart (the split pattern does
+    that anyway), so that chunks are mostly bare words.  An unseen chunk of plain letters, digits and ASCII punctuation is split by ``pieces``, the
+    tokenizer's own split pattern, and its pieces are merged here; any other chunk goes to the tokenizer as it is.
     """
 
-    SAFE = regex.compile(r"[!-~À-ÖØ-öø-ſ]+")
+    SAFE = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    ODD = re.compile(r"(?:[^\w\s]|_)[.,](?:\s|$)")
+    CONTROL = re.compile(r"[\x1c-\x1f]")
 
     def __init__(self, path: str, pieces: str, cap: int = CACHE_CAP):
         from tokenizers import Tokenizer
 
         self.tok, self.pieces = Tokenizer.from_file(path), regex.compile(pieces)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.merges = WordMerges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.chunks = ChunkCache(self._chunks, cap)
-        self.parts = ChunkCache(self._parts, cap)
 
     def _plain(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(parts), 2048):
-            some = parts[at : at + 2048]
-            e = self.tok.encode(" ".join(some), add_special_tokens=False)
-            words = np.array(e.word_ids, dtype=np.int64)
-            if not len(words) or words[-1] != len(some) - 1 or (np.diff(words) > 1).any():
-                out += self._plain(some)
-                continue
-            ids, ends = np.array(e.ids, "<u4"), np.searchsorted(words, np.arange(len(some)), "right")
-            out += [x.tobytes() for x in np.split(ids, ends[:-1])]
-        return out
-
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(chunks)
-        plain, split = [], []
+        plain, merge, safe = [], self.merges.encode, self.SAFE.fullmatch
         for i, c in enumerate(chunks):
-            if self.SAFE.fullmatch(c) and "<|" not in c:
-                split.append((i, self.pieces.findall(unicodedata.normalize("NFC", c).lower())))
-            else:
+            if not safe(c) or "<|" in c:
                 plain.append(i)
-        for i, v in zip(plain, self._plain([chunks[i] for i in plain]), strict=True):
-            out[i] = v
-        for (i, _), v in zip(split, self.parts.join([p for _, p in split]), strict=True):
-            out[i] = v
+            elif c.isalpha():
+                out[i] = merge(c.lower().encode())
+            else:
+                out[i] = b"".join([merge(p.encode()) for p in self.pieces.findall(c.lower())])
+        if plain:
+            for i, v in zip(plain, self._plain([chunks[i] for i in plain]), strict=True):
+                out[i] = v
         return out
 
+    def _split(self, t: str) -> list[str]:
+        if self.CONTROL.search(t):  # str.split takes these for white space, the tokenizer does not
+            return t.translate(_BLANK).split(" ")
+        try:
+            t.encode("latin-1")
+        except UnicodeEncodeError:
+            return t.split()
+        t = t.lower()
+        if not self.ODD.search(t):
+            t = t.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+        return t.split()
+
     def encode(self, texts: list[str]) -> Iterable[bytes]:
         """Little-endian unsigned 32-bit ids of each text, in order."""
         for some in by_size(texts):
-            yield from self.chunks.join([t.translate(_BLANK).split(" ") for t in some])
+            yield from self.chunks.join([self._split(t) for t in some])
