@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, line_quality, packing, sharding, simhash, suffix_dedup, telephony
+from . import gam, line_quality, linkgraph, packing, sharding, simhash, spm, suffix_dedup, telephony, token_counts
 from .common import crc_bucket, cut
 
 #: Where the public vocabulary files lie.
@@ -92,3 +92,27 @@ def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = gam.fit(docs, _table(spark, sf_dir, "labels"))
     held_out = F.coalesce(crc_bucket("doc_id", gam.FOLDS) == 0, F.lit(False))
     return gam.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= gam.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return token_counts.section_counts(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", ["lang", "source"])
+
+
+@_query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "text")
+    coded = spm.encode(docs, model, keep=["doc_id", "text_crc32"])
+    plain = spm.decode(coded.withColumn("ids_crc32", F.crc32("ids")).withColumn("n_ids", (F.octet_length("ids") / 4).cast("long")), model, keep=["doc_id", "text_crc32", "n_ids", "ids_crc32"])
+    return plain.select("doc_id", "n_ids", "ids_crc32", (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+
+
+#: The rules of the URL query: (verdict, host and path).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@_query
+def op9_url_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
