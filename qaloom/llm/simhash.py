@@ -243,22 +243,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stand for their near-duplicate component: the one with its smallest id.
 
-    Of rows that repeat that id, the one with the smallest content hash stays (equal rows: one of them).  Rows with a null
-    id stay only where their component has no other row with an id, one per component's fingerprint.
+    Of rows that repeat that id the smallest by all columns stays.  Of rows without an id, one for each fingerprint whose
+    component has no id at all.  All columns stay.
     """
-    comp = near_duplicates(docs, text, doc_id, radius)
-    chosen = comp.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(chosen, docs[doc_id] == F.col("__id"), "left_semi")
-    repeated = kept.groupBy(doc_id).agg(F.count("*").alias("__n")).where("__n > 1")
-    if repeated.isEmpty():
-        out = kept
-    else:
-        out = kept.dropDuplicates([doc_id])
-    orphans = docs.where(F.col(doc_id).isNull())
+    comp = cut(near_duplicates(docs, text, doc_id, radius))
+    ids = comp.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    gone = ids.where("not first").select(F.col("doc_id").alias("__id"))
+    kept = docs.where(F.col(doc_id).isNotNull()).join(gone, docs[doc_id] == F.col("__id"), "left_anti")
+    if not ids.where("n > 1").isEmpty():
+        kept = kept.groupBy(doc_id).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     lone = comp.where("doc_id is null and component_id is null").select("fingerprint").distinct()
     if lone.isEmpty():
-        return out
-    tagged = add_fingerprint(orphans, text, "__fp", orphans.columns)
-    tagged = tagged.withColumn("__hex", F.lower(F.lpad(F.hex("__fp"), 16, "0")))
-    extra = tagged.join(lone, F.col("__hex") == lone["fingerprint"], "left_semi").dropDuplicates(["__hex"]).select(*docs.columns)
-    return out.unionByName(extra)
+        return kept
+    tagged = add_fingerprint(docs.where(F.col(doc_id).isNull()), text, "__fp", docs.columns)
+    tagged = tagged.withColumn("fingerprint", F.lower(F.lpad(F.hex("__fp"), 16, "0"))).join(lone, "fingerprint", "left_semi")
+    extra = tagged.groupBy("fingerprint").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return kept.unionByName(extra)

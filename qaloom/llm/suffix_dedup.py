@@ -176,7 +176,7 @@ def _merge(starts: np.ndarray, lasts: np.ndarray, window: int) -> tuple[np.ndarr
     return a[at], reach[np.concatenate([at[1:], [len(a)]]) - 1]
 
 
-def _kept_rows(batches, window: int, n_keep: int, names: list[str]):
+def _kept_rows(batches, window: int, as_text: bool, names: list[str]):
     for b in batches:
         lists = b.column(1)
         n_removed, n_spans, kept, size = [], [], [], []
@@ -193,7 +193,8 @@ def _kept_rows(batches, window: int, n_keep: int, names: list[str]):
             n_spans.append(len(a))
             edge = np.concatenate([[0], np.stack([a, e], 1).reshape(-1), [len(text)]]).tolist()
             kept.append(b"".join(text[x:y] for x, y in zip(edge[::2], edge[1::2], strict=True)))
-        own = [pa.array(size, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
+        rest = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        own = [pa.array(size, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), rest]
         yield pa.RecordBatch.from_arrays([*b.columns[2:], *own], names=names)
 
 
@@ -247,12 +248,13 @@ def _refine(texts: DataFrame, active: DataFrame, window: int, width: int) -> tup
     return accepted, further
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = WIDTHS):
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = WIDTHS, as_text: bool = False):
     """(result, release): ``keep`` columns plus ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row.
 
     A byte goes if a ``window``-byte string that covers it also starts anywhere else, in the same text or another; all
     strings are judged on the input.  A null text counts as empty and texts under ``window`` bytes stay whole; rows that
     repeat an id are separate texts.  Overlapping repeats inside one text count.  An empty table gives an empty result.
+    ``as_text`` gives ``kept`` as a string without the broken characters that byte cuts can leave at an edge.
     Call ``release()`` once the result is written: the bucketed texts lie in the shared folder until then.
     """
     keep = keep or ["doc_id"]
@@ -271,7 +273,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
         every = every.unionByName(x)
     lists = every.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("s0", "s1")).alias("cells"))
     joined = texts.join(lists.hint("shuffle_hash"), "__rid", "left").select("__z", "cells", *keep)
-    fields = [f for f in joined.schema.fields[2:]] + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
+    fields = [f for f in joined.schema.fields[2:]] + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     schema = T.StructType(fields)
-    names, n_keep = schema.names, len(keep)
-    return joined.mapInArrow(lambda it: _kept_rows(it, window, n_keep, names), schema), held.drop
+    names = schema.names
+    return joined.mapInArrow(lambda it: _kept_rows(it, window, as_text, names), schema), held.drop
