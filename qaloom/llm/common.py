@@ -30,10 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage (for narrow tables)."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared folder and drop its lineage (for narrow tables).
+
+    ``parts`` bounds the files: small results of many shuffle partitions then do not become as many tiny files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+
+
+def parts_for(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
+    """Partitions for ``size`` bytes at ``each`` bytes, two a core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // each))
 
 
 def stage(df: DataFrame) -> DataFrame:

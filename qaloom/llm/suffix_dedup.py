@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shared_dir, text_bytes
+from .common import cut, parts_for, shared_dir, text_bytes
 
 WINDOW = 400
 GRAM = 100
 #: Class widths after the first pass, in windows.
 WIDTHS = (38, 5, 1)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BUCKET_BYTES = 32 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
@@ -92,9 +92,11 @@ def anchors(buf: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int =
     return doc[first], place[first], start[first], start[last], h[place[first]]
 
 
-def _decoded(column: pa.Array) -> list[bytes]:
+def _decoded(column: pa.Array):
+    """The texts one by one, so that a batch of them never lies decompressed in memory."""
     d = zstandard.ZstdDecompressor()
-    return [d.decompress(z.as_buffer()) if z.is_valid else b"" for z in column]
+    for z in column:
+        yield d.decompress(z.as_buffer()) if z.is_valid else b""
 
 
 def _anchor_rows(batches, window: int, gram: int):
@@ -177,7 +179,7 @@ def _merge(starts: np.ndarray, lasts: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 def _kept_rows(batches, window: int, as_text: bool, names: list[str]):
-    for b in batches:
+    for b in (w.slice(at, 1000) for w in batches for at in range(0, w.num_rows, 1000)):
         lists = b.column(1)
         n_removed, n_spans, kept, size = [], [], [], []
         for text, cells in zip(_decoded(b.column(0)), lists, strict=True):
@@ -206,6 +208,7 @@ class _Bucketed:
         self.keep = keep
         size = docs.agg(F.sum(F.octet_length(text_bytes(text)))).first()[0] or 0
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+        self.parts = parts_for(spark, size)  # of the narrow tables, which are a fraction of the texts
         src = docs.select(F.monotonically_increasing_id().alias("__rid"), text_bytes(text).alias("__z"), *keep)
 
         names = src.columns
@@ -231,29 +234,32 @@ class _Bucketed:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _refine(texts: DataFrame, active: DataFrame, window: int, width: int) -> tuple[DataFrame, DataFrame | None]:
+def _refine(texts: DataFrame, active: DataFrame, window: int, width: int, parts: int) -> tuple[DataFrame, DataFrame | None]:
     """(accepted intervals, cells to split further) of one pass over the active cells ``(rid, m, s0, s1, kh)``."""
     lists = active.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("m", "s0", "s1", "kh")).alias("cells"))
     joined = texts.select("__rid", "__z").join(lists.hint("shuffle_hash"), "__rid")
-    cells = cut(joined.mapInArrow(lambda it: _cell_rows(it, window, width), CELL))
-    groups = cells.groupBy("c1", "c2", "o1", "o2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "m", "s0", "s1")).alias("one"))
+    cells = cut(joined.mapInArrow(lambda it: _cell_rows(it, window, width), CELL), parts)
+    # any member stands for its group: all have the same bytes; the four firsts come from one row
+    one = [F.first(c).alias(c) for c in ("rid", "m", "s0", "s1")]
+    groups = cells.groupBy("c1", "c2", "o1", "o2").agg(F.count("*").alias("n"), *one)
     if width == 1:
-        twice = groups.where("n > 1").select("c1", "c2")
+        twice = cut(groups.where("n > 1").select("c1", "c2"), parts)
         return cells.join(twice, ["c1", "c2"]).select("rid", "s0", "s1"), None
-    groups = cut(groups)
+    groups = cut(groups, parts)
     twice = groups.where("n > 1").select("c1", "c2", "o1", "o2")
     accepted = cells.join(twice, ["c1", "c2", "o1", "o2"]).select("rid", "s0", "s1")
-    mixed = groups.groupBy("c1", "c2").agg(F.count("*").alias("k")).where("k > 1").select("c1", "c2")
-    further = groups.join(mixed, ["c1", "c2"]).select("one.*", F.lit(0).cast("long").alias("kh"))
+    mixed = cut(groups.groupBy("c1", "c2").agg(F.count("*").alias("k")).where("k > 1").select("c1", "c2"), parts)
+    further = groups.join(mixed, ["c1", "c2"]).select("rid", "m", "s0", "s1", F.lit(0).cast("long").alias("kh"))
     return accepted, further
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = WIDTHS, as_text: bool = False):
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = WIDTHS, as_text: bool = False, prefix: str = ""):
     """(result, release): ``keep`` columns plus ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row.
 
     A byte goes if a ``window``-byte string that covers it also starts anywhere else, in the same text or another; all
     strings are judged on the input.  A null text counts as empty and texts under ``window`` bytes stay whole; rows that
     repeat an id are separate texts.  Overlapping repeats inside one text count.  An empty table gives an empty result.
+    ``prefix`` goes before the four new names where ``keep`` has columns of that name.
     ``as_text`` gives ``kept`` as a string without the broken characters that byte cuts can leave at an edge.
     Call ``release()`` once the result is written: the bucketed texts lie in the shared folder until then.
     """
@@ -262,18 +268,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     held = _Bucketed(renamed, "__text", keep)
     texts = held.rows
     found = texts.select("__rid", "__z").mapInArrow(lambda it: _anchor_rows(it, window, gram), "kh long, rid long, m long, s0 long, s1 long")
-    again = found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
+    # counts are materialised before they are joined, so that both join sides are plain shuffles and a hot gram can be split
+    again = cut(found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), held.parts)
     active = found.join(again, "kh")
     accepted = []
     for width in (0, *widths):
-        got, active = _refine(texts, active, window, width)
+        got, active = _refine(texts, active, window, width, held.parts)
         accepted.append(got)
     every = accepted[0]
     for x in accepted[1:]:
         every = every.unionByName(x)
-    lists = every.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("s0", "s1")).alias("cells"))
-    joined = texts.join(lists.hint("shuffle_hash"), "__rid", "left").select("__z", "cells", *keep)
-    fields = [f for f in joined.schema.fields[2:]] + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
+    lists = every.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("s0", "s1")).alias("__cells"))
+    joined = texts.join(lists.hint("shuffle_hash"), "__rid", "left").select("__z", "__cells", *keep)
+    fields = [f for f in joined.schema.fields[2:]] + [T.StructField(prefix + n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(f"{prefix}kept", T.StringType() if as_text else T.BinaryType())]
     schema = T.StructType(fields)
     names = schema.names
     return joined.mapInArrow(lambda it: _kept_rows(it, window, as_text, names), schema), held.drop
