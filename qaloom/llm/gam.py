@@ -202,11 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     return train(np.stack(rows["x"].to_numpy()), rows["__y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Gam, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """``keep`` columns plus ``score`` of each row.  A null or empty text is scored on zero features; repeated rows alike."""
+def score(docs: DataFrame, model: Gam, keep: list[str] | None = None, text: str = "text", out: str = "score") -> DataFrame:
+    """``keep`` columns plus the score of each row as column ``out``.  A null or empty text is scored on zero features; repeated rows alike."""
     keep = keep or ["doc_id"]
     src = docs.select(*keep, text_bytes(text).alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField(out, T.DoubleType())])
     k, names = len(keep), schema.names
 
     def run(batches):

@@ -90,11 +90,12 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def measure(docs: DataFrame, text: str = "text", clean: str | None = "clean_text", max_loss: float = MAX_LOSS) -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", clean: str | None = "clean_text", max_loss: float = MAX_LOSS, prefix: str = "") -> DataFrame:
     """``docs`` plus ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept``.
 
     ``clean`` names an extra column with the text without its failing lines (None: no such column).  A null or empty text
-    has no words, fails the base rule and is not kept.  Columns of ``docs`` with these names are replaced.
+    has no words, fails the base rule and is not kept.  Columns of ``docs`` with these names are replaced; ``prefix`` goes
+    before the new names where that must not be.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n", -1)
@@ -103,26 +104,19 @@ def measure(docs: DataFrame, text: str = "text", clean: str | None = "clean_text
     full = F.filter(lines, lambda x: solid(x) > 0)
     dup = let(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     lost = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.when(line_fails(x), solid(x)).otherwise(0).cast("long"))
-    out = (
-        docs.withColumn("__w", per_words)
-        .withColumn("n_words", F.col("__w.n"))
-        .withColumn("word_chars", solid(t).cast("long"))
-        .withColumn("n_symbols", count_chars(t, "#*$%&|<>").cast("long"))
-        .withColumn("n_dup_lines", dup)
-        .withColumn("n_repeat_words", F.col("__w.r"))
-        .withColumn("lost_chars", lost)
-    )
     if clean:
-        out = out.withColumn(clean, F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("word_chars") * F.lit(max_loss))).drop("__w")
+        docs = docs.withColumn(clean, F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n"))
+    own = {"n_words": F.col("__w.n"), "word_chars": solid(t).cast("long"), "n_symbols": count_chars(t, "#*$%&|<>").cast("long"), "n_dup_lines": dup, "n_repeat_words": F.col("__w.r"), "lost_chars": lost}
+    out = docs.withColumn("__w", per_words).withColumns({prefix + k: v for k, v in own.items()}).drop("__w")
+    n, repeated, chars, gone = (F.col(prefix + c) for c in ("n_words", "n_repeat_words", "word_chars", "lost_chars"))
+    out = out.withColumn(f"{prefix}base_failed", (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n))
+    return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (gone <= chars * F.lit(max_loss)))
 
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The kept rows of ``docs``, without the lines that fail; all columns stay."""
-    judged = measure(docs.withColumn("__id", F.lit(0)), text, "__clean")
-    return judged.where("kept").select(*[F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns])
+    judged = measure(docs, text, "__clean", prefix="__q_")
+    return judged.where("__q_kept").select(*[F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def oracle(table: str = "documents") -> str:

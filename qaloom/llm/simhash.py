@@ -252,10 +252,10 @@ def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     kept = docs.where(F.col(doc_id).isNotNull()).join(gone, docs[doc_id] == F.col("__id"), "left_anti")
     if not ids.where("n > 1").isEmpty():
         kept = kept.groupBy(doc_id).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    lone = comp.where("doc_id is null and component_id is null").select("fingerprint").distinct()
+    lone = comp.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("__hex")).distinct()
     if lone.isEmpty():
         return kept
     tagged = add_fingerprint(docs.where(F.col(doc_id).isNull()), text, "__fp", docs.columns)
-    tagged = tagged.withColumn("fingerprint", F.lower(F.lpad(F.hex("__fp"), 16, "0"))).join(lone, "fingerprint", "left_semi")
-    extra = tagged.groupBy("fingerprint").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    tagged = tagged.withColumn("__hex", F.lower(F.lpad(F.hex("__fp"), 16, "0"))).join(lone, "__hex", "left_semi")
+    extra = tagged.groupBy("__hex").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return kept.unionByName(extra)
