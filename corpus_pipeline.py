@@ -28,8 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents scored below the threshold go; the model learns from the labelled rows of the raw table."""
     at = sf_dir.rstrip("/")
     model = gam.fit(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"))
-    scored = gam.score(docs.withColumn("__text", F.col("text")), model, keep=docs.columns, text="__text")
-    return scored.where(F.col("score") >= gam.THRESHOLD).select(*docs.columns)
+    scored = gam.score(docs.withColumn("__copy", F.col("text")), model, keep=docs.columns, text="__copy", out="__score")
+    return scored.where(F.col("__score") >= gam.THRESHOLD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte windows that also start elsewhere are cut out of every text."""
-    rows, release = suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True)
-    out = stage(_with_text(rows.withColumnRenamed("kept", "text").select(*docs.columns), docs.columns))
+    rows, release = suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True, prefix="__")
+    out = stage(_with_text(rows.withColumnRenamed("__kept", "text").select(*docs.columns), docs.columns))
     release()
     return out
 
