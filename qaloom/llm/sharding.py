@@ -132,3 +132,26 @@ def place_of(row_number: int, n: int, shards: int, seed: int = SEED) -> tuple[in
         p = left * b + right
         if p < n:
             return p % shards, p // shards
+
+
+def oracle(table: str = "documents", shards: int = 8, seed: int = SEED) -> str:
+    """The sharding query in DuckDB SQL: checksum by a table built from its rule, Feistel rounds, cycle walking by recursion."""
+    crc_table = "(SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || list_transform(range(8), lambda k: k), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+    crc = "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])))"
+    step = "SELECT w.rn, w.it, n, a, b, w.p // b AS l, w.p % b AS r FROM walk w, size WHERE w.it = 0 OR w.p >= n"
+    for i in range(ROUNDS):
+        k = i * 104_729 + seed * 7919 + 12_345
+        x, size = ("l", "b") if i % 2 else ("r", "a")
+        step = f"SELECT *, (((({x} + {k}) & {_M31}) * {MULTIPLIERS[i]}) & {_M31}) AS t FROM ({step})"
+        step = f"SELECT * EXCLUDE t, ((xor(t, t >> 15) * {MULTIPLIERS[(i + 3) % ROUNDS]}) & {_M31}) AS t FROM ({step})"
+        new = {"l": "l", "r": "r"} | {("r" if i % 2 else "l"): f"({'r' if i % 2 else 'l'} + xor(t, t >> 13)) % {size}"}
+        step = f"SELECT rn, it, n, a, b, {new['l']} AS l, {new['r']} AS r FROM ({step})"
+    return f"""
+WITH RECURSIVE hexed AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM {table}),
+keyed AS (SELECT doc_id, size::BIGINT AS size, {crc}::BIGINT AS text_crc32 FROM hexed, {crc_table}),
+base AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS rn FROM keyed),
+size AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT count(*) AS n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 AS a FROM base)),
+walk AS (SELECT rn, rn AS p, 0 AS it FROM base UNION ALL SELECT rn, l * b + r, it + 1 FROM ({step}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {shards})::INT AS shard, (p // {shards})::BIGINT AS slot, NULL::INT AS grown_shard, rn::BIGINT AS row_number
+FROM base JOIN (SELECT rn, arg_max(p, it) AS p FROM walk GROUP BY rn) USING (rn)
+"""
