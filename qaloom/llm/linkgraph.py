@@ -102,3 +102,37 @@ def judge_urls(pages: DataFrame, rules: Rules, url: str = "url", html: str = "ht
     own = F.when(F.coalesce("__bad", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     zero = F.lit(0.0)
     return joined.select(*keep, "host", "path", "rule", F.coalesce("__verdict", own).alias("verdict"), F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
+
+
+def oracle(rules: Rules, table: str = "pages", share: float = BLOCK_SHARE, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
+    """The URL query in DuckDB SQL, ranks rounded to five decimals; a node ``*`` that links to all seeds restarts the walk."""
+    host = f"translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}')"
+    fits = []
+    for what, pattern in sorted(rules, key=lambda r: -len(r[1])):
+        cutoff = pattern.index("/")
+        name, start = pattern[:cutoff], pattern[cutoff:]
+        fits.append((f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{start}')", pattern, what))
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{p}'" for c, p, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits) + " END"
+    link = LINK.replace("'", "''")
+
+    def walk(name: str, seed: str, src: str, dst: str) -> str:
+        return f"""{name}_seed AS (SELECT host, {seed} / (SELECT sum({seed}) FROM seeds) * {1 - damping} AS s FROM seeds WHERE {seed} > 0),
+{name}_part AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS part FROM edges
+  UNION ALL SELECT '*', host, s / {damping} FROM {name}_seed UNION ALL SELECT '*', '*', 1 / {damping}),
+{name} AS (SELECT 0 AS it, host, s AS v FROM {name}_seed UNION ALL SELECT 0, '*', 1.0::DOUBLE
+  UNION ALL SELECT it + 1, dst, sum(part * v * {damping}) FROM {name} JOIN {name}_part ON src = host WHERE it < {rounds} GROUP BY it, dst)"""
+
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, {host} AS host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) AS path, html FROM {table}),
+ruled AS (SELECT *, {rule} AS rule, {verdict} AS said FROM p),
+counted AS (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad FROM ruled WHERE host <> '' GROUP BY host),
+seeds AS (SELECT host, CASE WHEN good > bad THEN good ELSE 0 END::DOUBLE AS good, CASE WHEN 2 * bad >= n THEN bad ELSE 0 END::DOUBLE AS bad FROM counted WHERE good + bad > 0),
+edges AS (SELECT src, dst, count(*)::DOUBLE AS n FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '{link}', 1), lambda x: translate(x, '{UPPER}', '{LOWER}')))) AS dst FROM p WHERE host <> '') WHERE src <> dst GROUP BY src, dst),
+{walk('good_rank', 'good', 'src', 'dst')},
+{walk('bad_rank', 'bad', 'dst', 'src')},
+ranks AS (SELECT coalesce(g.host, b.host) AS host, coalesce(g.v, 0) AS trust, coalesce(b.v, 0) AS distrust
+  FROM (SELECT host, v FROM good_rank WHERE it = {rounds}) g FULL JOIN (SELECT host, v FROM bad_rank WHERE it = {rounds}) b ON g.host = b.host)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust > 0 AND distrust >= {share} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
+ round(coalesce(trust, 0), 5) AS trust, round(coalesce(distrust, 0), 5) AS distrust FROM ruled LEFT JOIN ranks USING (host)
+"""

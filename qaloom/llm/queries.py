@@ -118,4 +118,8 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 @_query
 def op9_url_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkgraph.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    out = linkgraph.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return out.withColumns({c: F.round(c, 5) for c in ("trust", "distrust")})
+
+
+ORACLE["op9_url_linkgraph"] = linkgraph.oracle(URL_RULES)

@@ -112,3 +112,25 @@ def test_propagation_equals_power_iteration(spark):
     for _ in range(15):
         p = 0.15 * s + 0.85 * (p @ m)
     assert all(abs(p[i] - got.get(f"h{i}", 0.0)) < 1e-9 for i in range(n))
+
+
+def test_query_equals_sql_on_a_linked_graph(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    hosts = [f"h{i}.{d}" for i, d in enumerate(["net", "com", "org", "example.net", "example.com", "com", "com", "org"])]
+    pages = []
+    for i in range(60):
+        html = "".join(f'<a href="https://{hosts[int(j)]}/x">' for j in rng.integers(0, len(hosts), 3))
+        pages.append((i, f"http://{hosts[i % len(hosts)]}/{['en', 'fr', 'de'][i % 3]}/{i}", html))
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    from qaloom.llm.queries import ORACLE
+
+    got = QUERIES["op9_url_linkgraph"](spark, str(tmp_path)).toPandas().sort_values("page_id", ignore_index=True)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(ORACLE["op9_url_linkgraph"]).df().sort_values("page_id", ignore_index=True)
+    assert {"block", "allow"} == set(got.verdict) and got.distrust.nunique() > 3
+    for c in ("host", "path", "verdict"):
+        assert got[c].tolist() == want[c].tolist(), c
+    assert np.allclose(got.trust, want.trust, atol=2e-5) and np.allclose(got.distrust, want.distrust, atol=2e-5)
