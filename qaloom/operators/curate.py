@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import question_id
@@ -91,12 +92,14 @@ def with_question_ids(pairs: DataFrame) -> DataFrame:
 
 
 def conversation_pairs(turns: DataFrame) -> DataFrame:
-    """(case_id, idx, question, answer): each user turn with the next assistant turn of its conversation."""
-    answers = F.filter("t", lambda x: x["role"] == "assistant")
-    grouped = turns.groupBy(F.col("conv_id").alias("case_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    asked = grouped.select("case_id", "t", answers.alias("a")).select("case_id", F.posexplode(F.filter("t", lambda x: x["role"] == "user")).alias("n", "u"), "a")
-    reply = F.get(F.filter("a", lambda x: x["turn"] > F.col("u.turn")), 0)
-    return asked.select("case_id", F.col("u.turn").alias("idx"), F.col("u.text").alias("question"), reply["text"].alias("answer")).where("answer is not null")
+    """(case_id, idx, question, answer): each user turn with the next assistant turn of its conversation.
+
+    One sort a conversation, latest turn first, with a running last answer: linear in the turns and never held as a list.
+    """
+    w = W.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(W.unboundedPreceding, -1)
+    said = F.when(F.col("role") == "assistant", F.col("text"))
+    out = turns.select("conv_id", "turn", "role", "text", F.last(said, ignorenulls=True).over(w).alias("answer"))
+    return out.where("role = 'user' and answer is not null").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("idx"), F.col("text").alias("question"), "answer")
 
 
 def merge_replicas(ours: DataFrame, replica: DataFrame, columns: list[str]) -> DataFrame:
