@@ -234,8 +234,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     fps = cut(add_fingerprint(src))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     links = connected(link_fingerprints(nodes.select("fp"), radius))
-    rooted = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    comp = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = cut(nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    # materialised, so that the join below has plain shuffles on both sides and a large component can be split
+    comp = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
     labels = cut(rooted.select("fp", "root").join(comp, "root").select("fp", "component_id"))
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
