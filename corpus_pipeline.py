@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import gam, line_quality, simhash, suffix_dedup
+from qaloom.llm import gam, line_quality, near_copies, suffix_dedup
 from qaloom.llm.common import drop_staged, stage
 from qaloom.llm.queries import packed
 
@@ -33,8 +33,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.one_per_group(docs).select(*docs.columns)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return near_copies.one_per_group(docs).select(*docs.columns)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,3 +112,31 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def row_digests(docs: DataFrame) -> DataFrame:
+    """``docs`` plus a 128-bit digest ``__d1, __d2`` of all columns: a key that holds wherever a row is read again."""
+    whole = [x for c in docs.columns for x in (F.isnull(c), F.col(c))]
+    return docs.withColumns({f"__d{s}": F.xxhash64(F.lit(s), *whole) for s in (1, 2)})
+
+
+def one_row_each(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each group of rows the one with the smallest ``(id, digest)``; a null id counts as the largest.
+
+    ``docs`` carries digests, ``marked`` has ``(d1, d2, id, node)`` for each of its rows and ``roots`` ``(node, root)`` for
+    the nodes that have company.  Of rows equal in all columns one stays.
+    """
+    rows = marked.groupBy("node", "d1", "d2").agg(F.first("id").alias("id"), F.count("*").alias("n"))
+    rows = cut(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"))
+    # materialised, so that a large group can be split in the join
+    first = cut(rows.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "d1", "d2")).alias("f")).select("root", "f.d1", "f.d2"))
+    key = ["__d1", "__d2"]
+    other = (F.col("x.d1") != F.col("y.d1")) | (F.col("x.d2") != F.col("y.d2"))
+    paired = rows.alias("x").join(first.alias("y"), "root").select(F.col("x.d1").alias("__d1"), F.col("x.d2").alias("__d2"), "n", other.alias("gone"))
+    paired = cut(paired)
+    kept = docs.join(paired.where("gone").select(*key), key, "left_anti")
+    twice = paired.where("not gone and n > 1").select(*key)
+    if not twice.isEmpty():
+        once = kept.join(twice, key, "left_semi").dropDuplicates(key)
+        kept = kept.join(twice, key, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return kept.drop(*key)

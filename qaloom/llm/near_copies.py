@@ -1,0 +1,141 @@
+"""Near copies by the Jaccard similarity of their word shingles; candidates are confirmed on the exact sets.
+
+Documents with equal sets are one node.  Nodes that share a MinHash band (``ROWS`` of ``BANDS * ROWS`` minima) are
+candidates: a pair at similarity s is missed with probability ``(1 - s ** ROWS) ** BANDS``, 3e-6 at 0.8.  A band that many
+share is first compared with one centre, another one in each band; of what those links leave apart all pairs are compared.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import connected, cut, one_row_each, row_digests, text_bytes
+
+SHINGLE = 5
+#: The least similarity of near copies, as a fraction.
+ALIKE = (4, 5)
+BANDS, ROWS = 24, 4
+_STEP = 512
+_PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_A, _B = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_A |= np.uint64(1)
+
+
+def _folded(columns) -> np.ndarray:
+    """One 64-bit hash of the values that stand at equal places."""
+    h = np.uint64(0)
+    for c in columns:
+        h = h * _PRIME + c
+        h = (h ^ h >> np.uint64(32)) * _MIX
+    return h ^ h >> np.uint64(29)
+
+
+def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles, A-Z lower-cased; a shorter text is one shingle, a blank one has none."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    k = min(words, len(w))
+    return np.unique(_folded(h[i : len(h) - k + 1 + i] for i in range(k)))
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """One key a band, from the minima of a set that is not empty."""
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(s), _STEP):
+        np.minimum(low, (s[at : at + _STEP, None] * _A + _B).min(0), out=low)
+    return _folded([np.arange(BANDS, dtype=np.uint64), *low.reshape(BANDS, ROWS).T])
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return ALIKE[1] * both >= ALIKE[0] * (len(a) + len(b) - both)
+
+
+def _marks(rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``d1, d2, id`` plus the node, the size of its set and its band keys."""
+    src = rows.select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), F.col(doc_id).alias("id"), text_bytes(text).alias("__text"))
+    own = [T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    schema = T.StructType(src.schema.fields[:3] + own)
+
+    def run(batches):
+        for b in batches:
+            node, size, keys = [], [], []
+            for t in b.column(3):
+                s = shingles(t.as_buffer().to_pybytes())
+                node.append(xxhash.xxh64_intdigest(s.tobytes()))
+                size.append(len(s))
+                keys.append(band_keys(s) if len(s) else np.zeros(0, np.uint64))
+            at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
+            own = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *own], names=schema.names)
+
+    return src.mapInArrow(run, schema)
+
+
+def _sets(batches):
+    for b in batches:
+        sets = [shingles(t.as_buffer().to_pybytes()).tobytes() for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+
+def _links(batches):
+    for b in batches:
+        x, y = ([np.frombuffer(s.as_buffer(), np.uint64) for s in b.column(i)] for i in (2, 3))
+        ok = pa.array([alike(s, t) for s, t in zip(x, y, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+
+def _pairs(x: str, y: str) -> list:
+    """``a < b`` of two sides, and a filter: sets of too different sizes cannot be alike."""
+    node, size = [F.col(f"{s}.node") for s in (x, y)], [F.col(f"{s}.size") for s in (x, y)]
+    fits = (node[0] != node[1]) & (F.least(*size) * ALIKE[1] >= F.greatest(*size) * ALIKE[0])
+    return [fits, F.least(*node).alias("a"), F.greatest(*node).alias("b")]
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb")
+    return cut(both.mapInArrow(_links, "a long, b long"))
+
+
+def _linked(marked: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """``(node, root)`` of every node that has a near copy."""
+    nodes = marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    slots = nodes.select("node", "size", F.explode("keys").alias("key"))
+    # counts and centres are materialised before they are joined, so that a hot key can be split
+    hit = cut(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    shared = cut(slots.join(hit, "key"))
+    wanted = cut(marked.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("d")).select("d.*", "node"))
+    sets = rows.select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), text_bytes(text).alias("__text")).join(wanted, ["d1", "d2"]).select("node", "__text")
+    sets = cut(sets.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]))
+    centre = cut(shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("o"), "node", "size")).alias("c")).select("key", "c.node", "c.size"))
+    fits, a, b = _pairs("x", "y")
+    first = cut(shared.alias("x").join(centre.alias("y"), "key").where(fits).select(a, b).distinct())
+    links = _confirmed(first, sets)
+    roots = cut(connected(links))
+    labelled = cut(shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    mixed = cut(labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
+    apart = cut(labelled.join(mixed, "key"))
+    rest = apart.alias("x").join(apart.alias("y"), "key").where((F.col("x.root") < F.col("y.root")) & fits).select(a, b).distinct()
+    more = _confirmed(cut(rest.join(first, ["a", "b"], "left_anti")), sets)
+    return connected(links.union(more))
+
+
+def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near copies; a row without a near copy always stays.
+
+    Groups are the connected components of the similarity, blank and null texts being one group.  The row with the smallest
+    id stays, a null id counting as the largest, and of equal ids the one with the smallest digest of all columns.
+    """
+    rows = row_digests(docs)
+    marked = cut(_marks(rows, text, doc_id))
+    return one_row_each(rows, marked, _linked(marked, rows, text))

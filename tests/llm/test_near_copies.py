@@ -1,0 +1,88 @@
+"""The near-duplicate stage of the pipeline against brute force on planted near copies."""
+
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from qaloom.llm import near_copies
+
+pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def brute_set(text):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\n", " ").replace("\t", " ").split(" ")
+    w = [x for x in w if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similarity(a, b):
+    return Fraction(len(a & b), len(a | b)) if a | b else Fraction(1)
+
+
+def brute_kept(rows):
+    """Positions of the rows that stay, ids first, then all columns; equal rows are one."""
+    rows = list(dict.fromkeys(rows))
+    sets = [brute_set(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= Fraction(4, 5):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(rows[i])
+    return list(groups.values())
+
+
+def planted():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    rows, n = [], 0
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(60, 250))
+        rows.append((n := n + 1, " ".join(base)))
+        for _ in range(rng.randint(0, 3)):
+            copy = list(base)
+            for _ in range(rng.randint(1, len(copy) // 40 + 1)):  # scattered edits, some of them too many
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((n := n + 1, " \n".join(copy).upper() if rng.random() < 0.2 else " ".join(copy)))
+    return rows
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    rows = planted()
+    sets = [brute_set(t) for _, t in rows]
+    near = [similarity(a, b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(Fraction(4, 5) <= s < Fraction(19, 20) for s in near) > 15 and sum(Fraction(1, 2) < s < Fraction(4, 5) for s in near) > 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(min(g) for g in brute_kept(rows))
+
+
+def test_stage_on_odd_rows(spark):
+    a, b = "one two three four five six seven", "quite other words that nobody has copied anywhere"
+    rows = [(5, a), (5, b), (5, a), (9, a.upper()), (7, None), (3, " \n"), (None, "alone without an id"), (None, b), (8, "x y"), (4, "x  Y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pipeline.near_dedup(spark, docs, "").collect()
+    got = {tuple(r) for r in out}
+    assert len(out) == 5 and got == {(5, a), (5, b), (3, " \n"), (None, "alone without an id"), (4, "x  Y")}
+    assert pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_candidates_at_the_threshold():
+    rng = np.random.default_rng(1)
+    hits = 0
+    for _ in range(1000):  # 180 of 220 hashes shared: 0.818
+        s = rng.integers(0, 1 << 64, 220, np.uint64)
+        x, y = np.sort(s[:200]), np.sort(s[20:])
+        hits += bool((near_copies.band_keys(x) == near_copies.band_keys(y)).any())
+        assert near_copies.alike(x, y)
+    assert hits >= 999
