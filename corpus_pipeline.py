@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte windows that also start elsewhere are cut out of every text."""
-    rows, release = suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True, prefix="__")
+    """Runs of 50 words and windows of 400 bytes that also start elsewhere are cut out of every text."""
+    rows, release = suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True, prefix="__", words=suffix_dedup.WORDS)
     out = stage(_with_text(rows.withColumnRenamed("__kept", "text").select(*docs.columns), docs.columns))
     release()
     return out

@@ -14,10 +14,14 @@ go from coarse to fine, most significant digit first, and after each pass a grou
 Grouping is counting: keys are 128-bit digests, counted with map-side combination and joined back, so a passage that a
 third of all documents share is one counter and not one task's list.  Of cells with equal outer bytes one representative
 goes on.  Texts are compressed and bucketed by row once; every later pass over them is a join without a text shuffle.
+
+The same passes also run over words, each word being one 64-bit hash in place of a byte: windows then are runs of words,
+whatever blanks stand between them.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -34,6 +38,10 @@ WINDOW = 400
 GRAM = 100
 #: Class widths after the first pass, in windows.
 WIDTHS = (38, 5, 1)
+#: Repeated runs of this many words are cut by the pipeline's stage, beside repeated byte windows.
+WORDS = 50
+#: Class widths in runs of words.
+WORD_WIDTHS = (7, 1)
 CHUNK = 1 << 18
 BUCKET_BYTES = 32 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -99,9 +107,17 @@ def _decoded(column: pa.Array):
         yield d.decompress(z.as_buffer()) if z.is_valid else b""
 
 
-def _anchor_rows(batches, window: int, gram: int):
+def _units(text: bytes, words: bool):
+    """What windows are counted in: the bytes of a text, or a hash of each of its words (between ASCII blanks)."""
+    if not words:
+        return text
+    w = text.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+
+
+def _anchor_rows(batches, window: int, gram: int, words: bool = False):
     def flush(rids, parts):
-        buf = np.frombuffer(b"".join(parts), np.uint8)
+        buf = np.concatenate(parts) if words else np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum([len(p) for p in parts])
         doc, place, lo, hi, h = anchors(buf, ends, window, gram)
         base = ends[doc] - np.array([len(p) for p in parts])[doc] if len(doc) else doc
@@ -111,7 +127,7 @@ def _anchor_rows(batches, window: int, gram: int):
 
     rids, parts, size = [], [], 0
     for b in batches:
-        for rid, text in zip(b.column(0).to_pylist(), _decoded(b.column(1)), strict=True):
+        for rid, text in zip(b.column(0).to_pylist(), (_units(t, words) for t in _decoded(b.column(1))), strict=True):
             # a text longer than a chunk goes in overlapping chunks, each with the windows that start in it
             for at in range(0, max(1, len(text) - window + 1), CHUNK):
                 piece = text[at : at + CHUNK + window - 1]
@@ -130,7 +146,7 @@ def _anchor_rows(batches, window: int, gram: int):
 CELL = T.StructType([T.StructField(n, T.LongType()) for n in ("c1", "c2", "o1", "o2", "rid", "m", "s0", "s1")])
 
 
-def _cell_rows(batches, window: int, width: int):
+def _cell_rows(batches, window: int, width: int, words: bool = False):
     """Cells of the given class width (0: the anchor's whole interval, keyed by its gram hash) inside active cells."""
     digest = xxhash.xxh3_128_digest
     for b in batches:
@@ -140,7 +156,7 @@ def _cell_rows(batches, window: int, width: int):
         m, s0, s1, kh = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         out_key, out = [], []
         for i, text in enumerate(_decoded(b.column(1))):
-            view, rid = memoryview(text), int(rids[i])
+            view, rid = memoryview(_units(text, words)), int(rids[i])
             for j in range(offsets[i], offsets[i + 1]):
                 a, lo, hi = int(m[j]), int(s0[j]), int(s1[j])
                 if not width:
@@ -168,17 +184,29 @@ def _cells(rows: list, keys: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=CELL.names)
 
 
-def _merge(starts: np.ndarray, lasts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal removed runs [a, b) of the windows that start in [starts, lasts]."""
+def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal removed runs [a, b) of the bytes in any of [starts, ends)."""
     order = np.argsort(starts, kind="stable")
-    a, b = starts[order], lasts[order] + window
+    a, b = starts[order], ends[order]
     reach = np.maximum.accumulate(b)
     new = np.concatenate([[True], a[1:] > reach[:-1]])
     at = np.flatnonzero(new)
     return a[at], reach[np.concatenate([at[1:], [len(a)]]) - 1]
 
 
-def _kept_rows(batches, window: int, as_text: bool, names: list[str]):
+def _byte_spans(text: bytes, cells: pa.StructArray, window: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes [start, end) that the windows of each cell cover."""
+    a, b, of_words = (cells.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    ends = b + window
+    if of_words.any():
+        at = np.array([m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)], np.int64)
+        starts = a.copy()
+        starts[of_words], ends[of_words] = at[a[of_words], 0], at[b[of_words] + words - 1, 1]
+        a = starts
+    return a, ends
+
+
+def _kept_rows(batches, window: int, words: int, as_text: bool, names: list[str]):
     for b in (w.slice(at, 1000) for w in batches for at in range(0, w.num_rows, 1000)):
         lists = b.column(1)
         n_removed, n_spans, kept, size = [], [], [], []
@@ -189,8 +217,7 @@ def _kept_rows(batches, window: int, as_text: bool, names: list[str]):
                 n_spans.append(0)
                 kept.append(text)
                 continue
-            v = cells.values
-            a, e = _merge(v.field(0).to_numpy(zero_copy_only=False), v.field(1).to_numpy(zero_copy_only=False), window)
+            a, e = _merge(*_byte_spans(text, cells.values, window, words))
             n_removed.append(int((e - a).sum()))
             n_spans.append(len(a))
             edge = np.concatenate([[0], np.stack([a, e], 1).reshape(-1), [len(text)]]).tolist()
@@ -234,11 +261,11 @@ class _Bucketed:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _refine(texts: DataFrame, active: DataFrame, window: int, width: int, parts: int) -> tuple[DataFrame, DataFrame | None]:
+def _refine(texts: DataFrame, active: DataFrame, window: int, width: int, parts: int, words: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(accepted intervals, cells to split further) of one pass over the active cells ``(rid, m, s0, s1, kh)``."""
     lists = active.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("m", "s0", "s1", "kh")).alias("cells"))
     joined = texts.select("__rid", "__z").join(lists.hint("shuffle_hash"), "__rid")
-    cells = cut(joined.mapInArrow(lambda it: _cell_rows(it, window, width), CELL), parts)
+    cells = cut(joined.mapInArrow(lambda it: _cell_rows(it, window, width, words), CELL), parts)
     # any member stands for its group: all have the same bytes; the four firsts come from one row
     one = [F.first(c).alias(c) for c in ("rid", "m", "s0", "s1")]
     groups = cells.groupBy("c1", "c2", "o1", "o2").agg(F.count("*").alias("n"), *one)
@@ -253,7 +280,21 @@ def _refine(texts: DataFrame, active: DataFrame, window: int, width: int, parts:
     return accepted, further
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = WIDTHS, as_text: bool = False, prefix: str = ""):
+def _accepted(held: _Bucketed, window: int, gram: int, widths: tuple[int, ...], words: bool) -> list[DataFrame]:
+    """Intervals ``(rid, s0, s1, words)`` of the first and last of consecutive windows that are repeated, from all passes."""
+    texts = held.rows
+    found = texts.select("__rid", "__z").mapInArrow(lambda it: _anchor_rows(it, window, gram, words), "kh long, rid long, m long, s0 long, s1 long")
+    # counts are materialised before they are joined, so that both join sides are plain shuffles and a hot gram can be split
+    again = cut(found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), held.parts)
+    active = found.join(again, "kh")
+    accepted = []
+    for width in (0, *widths):
+        got, active = _refine(texts, active, window, width, held.parts, words)
+        accepted.append(got.withColumn("words", F.lit(words)))
+    return accepted
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = WIDTHS, as_text: bool = False, prefix: str = "", words: int = 0):
     """(result, release): ``keep`` columns plus ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row.
 
     A byte goes if a ``window``-byte string that covers it also starts anywhere else, in the same text or another; all
@@ -261,26 +302,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     repeat an id are separate texts.  Overlapping repeats inside one text count.  An empty table gives an empty result.
     ``prefix`` goes before the four new names where ``keep`` has columns of that name.
     ``as_text`` gives ``kept`` as a string without the broken characters that byte cuts can leave at an edge.
+    With ``words`` each run of that many words (between ASCII blanks) goes too that also starts anywhere else, from its
+    first word's start to its last word's end; it is judged on the input like the byte windows.
     Call ``release()`` once the result is written: the bucketed texts lie in the shared folder until then.
     """
     keep = keep or ["doc_id"]
     renamed = docs.select(F.col(text).alias("__text"), *keep)
     held = _Bucketed(renamed, "__text", keep)
     texts = held.rows
-    found = texts.select("__rid", "__z").mapInArrow(lambda it: _anchor_rows(it, window, gram), "kh long, rid long, m long, s0 long, s1 long")
-    # counts are materialised before they are joined, so that both join sides are plain shuffles and a hot gram can be split
-    again = cut(found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), held.parts)
-    active = found.join(again, "kh")
-    accepted = []
-    for width in (0, *widths):
-        got, active = _refine(texts, active, window, width, held.parts)
-        accepted.append(got)
+    accepted = _accepted(held, window, gram, widths, False)
+    if words:
+        accepted += _accepted(held, words, max(1, words // 4), tuple(x for x in WORD_WIDTHS if x < max(2, words)), True)
     every = accepted[0]
     for x in accepted[1:]:
         every = every.unionByName(x)
-    lists = every.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("s0", "s1")).alias("__cells"))
+    lists = every.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("s0", "s1", "words")).alias("__cells"))
     joined = texts.join(lists.hint("shuffle_hash"), "__rid", "left").select("__z", "__cells", *keep)
     fields = [f for f in joined.schema.fields[2:]] + [T.StructField(prefix + n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(f"{prefix}kept", T.StringType() if as_text else T.BinaryType())]
     schema = T.StructType(fields)
     names = schema.names
-    return joined.mapInArrow(lambda it: _kept_rows(it, window, as_text, names), schema), held.drop
+    return joined.mapInArrow(lambda it: _kept_rows(it, window, words, as_text, names), schema), held.drop
