@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut, text_bytes
+from .common import connected, cut, one_row_each, row_digests, text_bytes
 
 RADIUS = 4
 SHINGLE = 4
@@ -244,19 +244,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stand for their near-duplicate component: the one with its smallest id.
 
-    Of rows that repeat that id the smallest by all columns stays.  Of rows without an id, one for each fingerprint whose
-    component has no id at all.  All columns stay.
+    A null id counts as the largest; of rows that share the id the one with the smallest digest of all columns stays.  Rows
+    of other components stay whatever their ids are.  All columns stay.
     """
-    comp = cut(near_duplicates(docs, text, doc_id, radius))
-    ids = comp.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    gone = ids.where("not first").select(F.col("doc_id").alias("__id"))
-    kept = docs.where(F.col(doc_id).isNotNull()).join(gone, docs[doc_id] == F.col("__id"), "left_anti")
-    if not ids.where("n > 1").isEmpty():
-        kept = kept.groupBy(doc_id).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    lone = comp.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("__hex")).distinct()
-    if lone.isEmpty():
-        return kept
-    tagged = add_fingerprint(docs.where(F.col(doc_id).isNull()), text, "__fp", docs.columns)
-    tagged = tagged.withColumn("__hex", F.lower(F.lpad(F.hex("__fp"), 16, "0"))).join(lone, "__hex", "left_semi")
-    extra = tagged.groupBy("__hex").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return kept.unionByName(extra)
+    rows = row_digests(docs)
+    src = rows.select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    marked = cut(add_fingerprint(src, out="node", keep=["d1", "d2", "id"]))
+    roots = connected(link_fingerprints(marked.select(F.col("node").alias("fp")).distinct(), radius))
+    return one_row_each(rows, marked, roots)

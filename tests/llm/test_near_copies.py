@@ -86,3 +86,11 @@ def test_candidates_at_the_threshold():
         hits += bool((near_copies.band_keys(x) == near_copies.band_keys(y)).any())
         assert near_copies.alike(x, y)
     assert hits >= 999
+
+
+def test_repeated_ids_in_different_components(spark):
+    from qaloom.llm import simhash
+
+    rows = [(5, "one two three four five six seven"), (5, "quite other words that nobody has copied"), (6, "One two three four five six seven"), (5, "one two three four five six seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.one_per_group(docs).collect()) == sorted(rows[:2])
