@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import gam, line_quality, near_copies, suffix_dedup
-from qaloom.llm.common import drop_staged, stage
+from qaloom.llm import gam, line_quality, simhash_sets, suffix_dedup
+from qaloom.llm.common import drop, scratch, stage
 from qaloom.llm.queries import packed
 
 
@@ -33,16 +33,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    return near_copies.one_per_group(docs).select(*docs.columns)
+    """One document of each group of near copies stays: SimHash over five-word shingles, similarity 0.8 or more."""
+    return simhash_sets.one_per_group(docs).select(*docs.columns)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words and windows of 400 bytes that also start elsewhere are cut out of every text."""
-    rows, release = suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True, prefix="__", words=suffix_dedup.WORDS)
-    out = stage(_with_text(rows.withColumnRenamed("__kept", "text").select(*docs.columns), docs.columns))
-    release()
-    return out
+    with scratch() as s:
+        rows = suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True, prefix="__", words=suffix_dedup.WORDS, cut_words=True)
+        return s.keep(stage(_with_text(rows.withColumnRenamed("__kept", "text").select(*docs.columns), docs.columns)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,14 +57,17 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-#: No SQL for the classifier, the fingerprints or the packing; tests hold the stages against brute force.
+#: No SQL for the classifier, the fingerprints or the packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, f in STAGES[:-1]:
-        done = stage(f(spark, docs, sf_dir))
-        drop_staged(docs)
+        with scratch() as s:
+            done = s.keep(stage(f(spark, docs, sf_dir)))
+        drop(docs)
         docs = done
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop(docs)
+    return out

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +33,86 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """What ``cut`` and ``stage`` have written inside a ``scratch`` block: folder -> how to delete it."""
+
+    def __init__(self):
+        self.written: dict[str, Callable[[], None]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, a result of ``cut`` or ``stage``, outlives the block and belongs to the next outer one, if there is one."""
+        at = _open.index(self)
+        for path in _paths(df):
+            gone = self.written.pop(path, None)
+            if gone and at:
+                _open[at - 1].written[path] = gone
+        return df
+
+    def delete(self) -> None:
+        for gone in self.written.values():
+            gone()
+        self.written.clear()
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Deletes at its end what ``cut`` and ``stage`` wrote inside, but for what is kept."""
+    s = Scratch()
+    _open.append(s)
+    try:
+        yield s
+    finally:
+        s.delete()
+        _open.remove(s)
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator's result is cut before all else that it wrote is deleted; for operators with narrow results."""
+
+    @wraps(f)
+    def run(*args, **kw) -> DataFrame:
+        with scratch() as s:
+            return s.keep(cut(f(*args, **kw)))
+
+    return run
+
+
+def _paths(df: DataFrame) -> list[str]:
+    return df.__dict__.get("_qaloom_paths", [])
+
+
+def written(df: DataFrame, path: str, gone: Callable[[], None] | None = None) -> DataFrame:
+    """Note that ``df`` reads the folder ``path``, which the innermost open block deletes."""
+    df.__dict__["_qaloom_paths"] = [path]
+    if _open:
+        _open[-1].written[path] = gone or (lambda: delete_folder(df.sparkSession, path))
+    return df
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what ``cut`` or ``stage`` wrote for ``df``; any other table stays."""
+    for path in _paths(df):
+        for s in _open:
+            s.written.pop(path, None)
+        delete_folder(df.sparkSession, path)
+
+
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage (for narrow tables).
 
     ``parts`` bounds the files: small results of many shuffle partitions then do not become as many tiny files.
     """
     shared_dir(df.sparkSession)
-    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+    out = (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+    return written(out, out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
 
 
 def parts_for(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
@@ -49,17 +125,10 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     schema = df.schema
+    if _paths(df):  # staged or cut already
+        return df
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete a staged table whose readers have all been materialised."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/staged-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return written(spark.read.schema(schema).parquet(path), path)
 
 
 def text_bytes(col: str | Column) -> Column:
@@ -97,12 +166,14 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not last[0]:
             break
-        sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low2.select("u", F.col("m").alias("v"))).distinct())
+        # the minima are materialised before they are joined, so that both join sides are plain shuffles and a hub can be split
+        with scratch() as s:
+            sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = cut(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+            large = cut(sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+            low2 = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+            small = large.join(low2, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = s.keep(cut(small.union(low2.select("u", F.col("m").alias("v"))).distinct()))
         now = mark(e)
         if now == last:
             break
@@ -120,11 +191,12 @@ def row_digests(docs: DataFrame) -> DataFrame:
     return docs.withColumns({f"__d{s}": F.xxhash64(F.lit(s), *whole) for s in (1, 2)})
 
 
-def one_row_each(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+def one_row_each(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of each group of rows the one with the smallest ``(id, digest)``; a null id counts as the largest.
 
     ``docs`` carries digests, ``marked`` has ``(d1, d2, id, node)`` for each of its rows and ``roots`` ``(node, root)`` for
-    the nodes that have company.  Of rows equal in all columns one stays.
+    the nodes that have company.  Of rows equal in all columns one stays.  The second result is the cut table that the first
+    still reads.
     """
     rows = marked.groupBy("node", "d1", "d2").agg(F.first("id").alias("id"), F.count("*").alias("n"))
     rows = cut(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"))
@@ -133,10 +205,10 @@ def one_row_each(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFr
     key = ["__d1", "__d2"]
     other = (F.col("x.d1") != F.col("y.d1")) | (F.col("x.d2") != F.col("y.d2"))
     paired = rows.alias("x").join(first.alias("y"), "root").select(F.col("x.d1").alias("__d1"), F.col("x.d2").alias("__d2"), "n", other.alias("gone"))
-    paired = cut(paired)
+    paired = cut(paired.where("gone or n > 1"))
     kept = docs.join(paired.where("gone").select(*key), key, "left_anti")
     twice = paired.where("not gone and n > 1").select(*key)
     if not twice.isEmpty():
         once = kept.join(twice, key, "left_semi").dropDuplicates(key)
         kept = kept.join(twice, key, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
-    return kept.drop(*key)
+    return kept.drop(*key), paired

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gam, line_quality, linkgraph, packing, sharding, simhash, spm, suffix_dedup, telephony, token_counts
-from .common import crc_bucket, cut
+from .common import crc_bucket, tidy
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("QALOOM_TOKENIZERS", "/opt/tokenizers")
@@ -81,12 +81,11 @@ ORACLE["op7_line_quality"] = line_quality.oracle()
 
 
 @_query
+@tidy
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows, release = suffix_dedup.remove_repeats(docs)
-    out = cut(rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
-    release()
-    return out
+    rows = suffix_dedup.remove_repeats(docs, words=suffix_dedup.WORDS)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")
 
 
 @_query

@@ -5,8 +5,10 @@ million equal texts is one node.  Candidates come from the pigeonhole rule: two
 apart agree in at least one of ``radius + 1`` blocks.  A bucket of equal block values that is larger than
 ``BUCKET_CAP`` is split again by the same rule on its remaining bits, and what is still too large is compared chunk by
 chunk, so no task holds more than two chunks and no link is lost.  Inside a bucket the fingerprints are stored as 64 vertical bit
-planes; a query's distances to 64 fingerprints at a time are counted with carry-save counters, and a word of 64 is
+planes; a query's distances to 64 fingerprints at a time are counted with carry-save adders, and a word of 64 is
 abandoned as soon as all its lanes exceed the radius.  A bucket emits a spanning forest of its links, never all pairs.
+
+``simhash_sets`` has the form for sets of word shingles and a similarity, on wider fingerprints.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut, one_row_each, row_digests, text_bytes
+from .common import connected, cut, text_bytes, tidy
 
 RADIUS = 4
 SHINGLE = 4
@@ -56,32 +58,50 @@ def add_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", keep:
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """Vertical storage: row p holds bit p of 64 fingerprints per word."""
-    pad = np.zeros(-len(fps) % 64, np.uint64)
-    bits = np.unpackbits(np.concatenate([fps, pad]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    lanes = np.ascontiguousarray(bits.reshape(-1, 64, 64).transpose(2, 0, 1))
+    """Vertical storage: row p holds bit p of 64 fingerprints per word; a fingerprint is a number or a row of numbers."""
+    fps = fps.reshape(len(fps), -1)
+    pad = np.zeros((-len(fps) % 64, fps.shape[1]), np.uint64)
+    bits = np.unpackbits(np.concatenate([fps, pad]).view(np.uint8), axis=1, bitorder="little")
+    lanes = np.ascontiguousarray(bits.reshape(-1, 64, bits.shape[1]).transpose(2, 0, 1))
     return np.ascontiguousarray(np.packbits(lanes, axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
 
 
+def _add(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save adder of three bit planes: (sum plane, carry plane)."""
+    u = a ^ x
+    return u ^ y, a & x | u & y
+
+
 def near_masks(planes: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """For each (query fingerprint, word of 64 fingerprints): the lanes within ``radius`` bits, as a mask.
 
-    Returns the indices of the surviving (query, word) pairs and their masks.  Counters are bit-sliced: ``c[k]`` holds
-    bit k of 64 distances, preset so that the carry out of the top counter marks a distance over the radius.
+    Returns the indices of the surviving (query, word) pairs and their masks.  A fingerprint has 64 bits or, as a row of
+    ``query``, several words of 64; ``planes`` has a row for each bit.  Counters are bit-sliced: ``c[k]`` holds bit k of 64
+    distances.  Eight planes at a time pass a tree of carry-save adders; what leaves it, worth eight, ripples into the higher
+    counters.  They are preset so that the carry out of the top one marks a distance over the radius.
     """
-    levels = int(radius + 1).bit_length()
+    query = query.reshape(len(query), -1)
+    levels = max(3, int(radius + 1).bit_length())
     start = (1 << levels) - (radius + 1)  # overflows exactly at radius + 1 differing bits
     live = np.arange(len(query))
     q, w = query, word
     full = ~np.uint64(0)
     c = [np.full(len(q), full if start >> k & 1 else 0, np.uint64) for k in range(levels)]
     dead = np.zeros(len(q), np.uint64)
-    for p in range(64):
-        x = planes[p, w] ^ (np.uint64(0) - (q >> np.uint64(p) & np.uint64(1)))
-        for k in range(levels):  # half adders: one new bit into the vertical counters
-            c[k], x = c[k] ^ x, c[k] & x
-        dead |= x
-        if p % 8 == 7 and p >= 15:
+    for at in range(0, len(planes), 8):
+        bits = q[:, at // 64]
+        x = [planes[p, w] ^ (np.uint64(0) - (bits >> np.uint64(p % 64) & np.uint64(1))) for p in range(at, at + 8)]
+        fours = []
+        for i in (0, 4):
+            c[0], two = _add(c[0], x[i], x[i + 1])
+            c[0], other = _add(c[0], x[i + 2], x[i + 3])
+            c[1], four = _add(c[1], two, other)
+            fours.append(four)
+        c[2], over = _add(c[2], *fours)
+        for k in range(3, levels):
+            c[k], over = c[k] ^ over, c[k] & over
+        dead |= over
+        if at >= 8:
             keep = np.flatnonzero(dead != full)
             if len(keep) < len(live):
                 live, q, w, dead = live[keep], q[keep], w[keep], dead[keep]
@@ -187,7 +207,8 @@ def candidate_groups(nodes: DataFrame, radius: int = RADIUS, cap: int = BUCKET_C
     level1 = nodes.select("fp", F.posexplode(_block_keys(list(range(64)), parts, F.lit(1))).alias("blk", "gkey"))
     done, level = None, level1
     for depth in (1, 2):
-        sizes = level.groupBy("gkey").agg(F.count("*").alias("n")).where(F.col("n") > cap)
+        # materialised, so that the join has plain shuffles on both sides and a large bucket can be split
+        sizes = cut(level.groupBy("gkey").agg(F.count("*").alias("n")).where(F.col("n") > cap))
         marked = level.join(sizes, "gkey", "left")
         fits = marked.where("n is null").select("gkey", "fp")
         done = fits if done is None else done.unionByName(fits)
@@ -223,6 +244,7 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, cap: int = BUCKET_
     return dealt.mapInArrow(lambda it: _forest_batches(it, radius), "a long, b long")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """One row ``(doc_id, fingerprint, component_id)`` per input row.
 
@@ -239,16 +261,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     comp = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
     labels = cut(rooted.select("fp", "root").join(comp, "root").select("fp", "component_id"))
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stand for their near-duplicate component: the one with its smallest id.
-
-    A null id counts as the largest; of rows that share the id the one with the smallest digest of all columns stays.  Rows
-    of other components stay whatever their ids are.  All columns stay.
-    """
-    rows = row_digests(docs)
-    src = rows.select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    marked = cut(add_fingerprint(src, out="node", keep=["d1", "d2", "id"]))
-    roots = connected(link_fingerprints(marked.select(F.col("node").alias("fp")).distinct(), radius))
-    return one_row_each(rows, marked, roots)

@@ -1,28 +1,32 @@
-"""Exact removal of repeated byte windows by a depth-limited radix sort of suffixes.
-
-Suffixes count as equal once they agree through ``window`` bytes, so no suffix is ordered deeper than that.  The passes
-go from coarse to fine, most significant digit first, and after each pass a group of one is dropped:
-
-* Every window has an anchor: the place of its smallest ``GRAM``-byte hash (leftmost of equals).  The anchor depends on
-  the window's bytes only, so equal windows have their anchors at equal offsets.  The first digit is the anchor's gram;
-  one row stands for all consecutive windows of an anchor.
-* A cell (windows of one anchor whose offsets fall into one class) has two keys: the bytes that all windows of its class
-  share (core) and all bytes that its own windows touch (outer).  Cells with equal outer bytes are repeated whole and
-  done.  Cells whose core nobody else has are unique and dropped.  What is left is split into narrower classes, down to
-  one window, where core and outer are the window itself: the equal groups are exactly the repeated windows.
-
-Grouping is counting: keys are 128-bit digests, counted with map-side combination and joined back, so a passage that a
-third of all documents share is one counter and not one task's list.  Of cells with equal outer bytes one representative
-goes on.  Texts are compressed and bucketed by row once; every later pass over them is a join without a text shuffle.
-
-The same passes also run over words, each word being one 64-bit hash in place of a byte: windows then are runs of words,
-whatever blanks stand between them.
+"""Exact removal of repeated windows by a depth-limited, most-significant-digit-first radix sort of sparse suffixes.
+
+Suffixes count as equal once they agree through ``window`` bytes (or words), so none is looked at deeper than that.  Sparse:
+one suffix stands for all windows that share an anchor, the place of a window's smallest ``gram``-byte hash (leftmost of
+equals).  An anchor depends on the window's bytes only, so equal windows have their anchors at equal offsets, and a window's bytes can
+be read in one fixed order: from the anchor on, then to both sides.  Digits are taken in that order:
+
+* The first digit is the anchor's gram, which all windows of the anchor share.
+* Each further pass splits a class of windows into narrower classes of neighbours, down to one window.  A class's next
+  digit is what its windows share beyond the bytes of earlier passes; its key is the digest of the parent's key and that
+  digit, so equal keys are equal prefixes.
+* After each pass a group of one is dropped.  Cells with equal keys that also agree in all other bytes their own windows touch
+  are repeated whole and accepted; of these one goes on.  In the last pass the equal groups are exactly the repeated windows.
+
+Nothing has to be put in order inside a digit, so the distribution step is grouping by key: keys are 128-bit digests, counted
+with map-side combination and joined back, and a passage that a third of all documents share is one counter and not one
+task's list.  Texts are compressed and bucketed by row once; every pass over them is a join without a text shuffle, and
+a long text's cells go in blocks.
+
+The same passes run over bytes and over words, each word being one 64-bit hash in place of a byte: windows then are runs
+of words, whatever blanks stand between them.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, parts_for, shared_dir, text_bytes
+from .common import cut, delete_folder, parts_for, scratch, shared_dir, stage, text_bytes, written
 
 WINDOW = 400
 GRAM = 100
 #: Class widths after the first pass, in windows.
 WIDTHS = (38, 5, 1)
-#: Repeated runs of this many words are cut by the pipeline's stage, beside repeated byte windows.
+#: Repeated runs of this many words are found beside repeated byte windows.
 WORDS = 50
-#: Class widths in runs of words.
-WORD_WIDTHS = (7, 1)
+#: Class widths in runs of words, as many passes.
+WORD_WIDTHS = (12, 4, 1)
 CHUNK = 1 << 18
 BUCKET_BYTES = 32 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -115,73 +119,98 @@ def _units(text: bytes, words: bool):
     return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
 
 
-def _anchor_rows(batches, window: int, gram: int, words: bool = False):
-    def flush(rids, parts):
-        buf = np.concatenate(parts) if words else np.frombuffer(b"".join(parts), np.uint8)
-        ends = np.cumsum([len(p) for p in parts])
-        doc, place, lo, hi, h = anchors(buf, ends, window, gram)
-        base = ends[doc] - np.array([len(p) for p in parts])[doc] if len(doc) else doc
-        shift = np.array([r[1] for r in rids])[doc] - base if len(doc) else doc
-        cols = (h.view(np.int64), np.array([r[0] for r in rids], np.int64)[doc], place + shift, lo + shift, hi + shift)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["kh", "rid", "m", "s0", "s1"])
+class Unit(NamedTuple):
+    """One kind of windows: bytes or words, the window's length, the gram's, and the class width of every pass."""
 
-    rids, parts, size = [], [], 0
-    for b in batches:
-        for rid, text in zip(b.column(0).to_pylist(), (_units(t, words) for t in _decoded(b.column(1))), strict=True):
-            # a text longer than a chunk goes in overlapping chunks, each with the windows that start in it
-            for at in range(0, max(1, len(text) - window + 1), CHUNK):
-                piece = text[at : at + CHUNK + window - 1]
-                if len(piece) < window:
-                    continue
-                rids.append((rid, at))
-                parts.append(piece)
-                size += len(piece)
-                if size >= CHUNK:
-                    yield flush(rids, parts)
-                    rids, parts, size = [], [], 0
-    if parts:
-        yield flush(rids, parts)
+    words: bool
+    window: int
+    gram: int
+    widths: tuple[int, ...]
+
+
+FOUND = "u boolean, kh long, rid long, m long, s0 long, s1 long"
 
 
-CELL = T.StructType([T.StructField(n, T.LongType()) for n in ("c1", "c2", "o1", "o2", "rid", "m", "s0", "s1")])
+def _anchor_rows(batches, units: list[Unit]):
+    """One row for all windows ``s0..s1`` of an anchor at ``m``; ``kh`` is the hash of its gram."""
+    names = ["u", "kh", "rid", "m", "s0", "s1"]
 
+    def flush(unit, rids, parts):
+        buf = np.concatenate(parts) if unit.words else np.frombuffer(b"".join(parts), np.uint8)
+        size = np.array([len(p) for p in parts])
+        ends = np.cumsum(size)
+        doc, place, lo, hi, h = anchors(buf, ends, unit.window, unit.gram)
+        shift = np.array([r[1] for r in rids])[doc] - (ends - size)[doc]
+        columns = (h.view(np.int64) ^ unit.words, np.array([r[0] for r in rids], np.int64)[doc], place + shift, lo + shift, hi + shift)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), unit.words)), *(pa.array(c.astype(np.int64)) for c in columns)], names=names)
 
-def _cell_rows(batches, window: int, width: int, words: bool = False):
-    """Cells of the given class width (0: the anchor's whole interval, keyed by its gram hash) inside active cells."""
-    digest = xxhash.xxh3_128_digest
+    held = [([], [], [0]) for _ in units]
+    for b in batches:
+        for rid, text in zip(b.column(0).to_pylist(), _decoded(b.column(1)), strict=True):
+            for unit, (rids, parts, size) in zip(units, held, strict=True):
+                whole = _units(text, unit.words)
+                # a text longer than a chunk goes in overlapping chunks, each with the windows that start in it
+                for at in range(0, len(whole) - unit.window + 1, CHUNK):
+                    piece = whole[at : at + CHUNK + unit.window - 1]
+                    rids.append((rid, at))
+                    parts.append(piece)
+                    size[0] += len(piece)
+                    if size[0] >= CHUNK:
+                        yield flush(unit, rids, parts)
+                        rids.clear(), parts.clear(), size.__setitem__(0, 0)
+    for unit, (rids, parts, _) in zip(units, held, strict=True):
+        if parts:
+            yield flush(unit, rids, parts)
+
+
+#: A cell: its class's key, that key with all bytes of its windows, its windows, its class's first and last window.
+CELL = T.StructType([T.StructField("u", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("k1", "k2", "o1", "o2", "rid", "s0", "s1", "l", "r"))])
+
+
+def _cell_rows(batches, units: dict[bool, Unit], step: int):
+    """The cells of pass ``step`` inside the listed cells (0: these themselves, their keys being the gram's hash)."""
+    digest, pack = xxhash.xxh3_128_digest, struct.Struct("<qq").pack
+    last, text, view = None, b"", {}
     for b in batches:
-        rids = b.column(0).to_numpy(zero_copy_only=False)
         lists = b.column(2)
         flat, offsets = lists.values, lists.offsets.to_numpy()
-        m, s0, s1, kh = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-        out_key, out = [], []
-        for i, text in enumerate(_decoded(b.column(1))):
-            view, rid = memoryview(_units(text, words)), int(rids[i])
+        u, *numbers = (flat.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(7))
+        out, keys = [], []
+        for i, rid in enumerate(b.column(0).to_pylist()):
+            if rid != last:
+                last, text, view = rid, next(_decoded(b.column(1).slice(i, 1))), {}
             for j in range(offsets[i], offsets[i + 1]):
-                a, lo, hi = int(m[j]), int(s0[j]), int(s1[j])
-                if not width:
-                    out_key.append(digest(view[lo : hi + window], a - lo))
-                    out.append((int(kh[j]), 0, rid, a, lo, hi))
+                lo, hi, l, r, k1, k2 = (c[j] for c in numbers)
+                unit = units[u[j]]
+                if u[j] not in view:
+                    view[u[j]] = memoryview(_units(text, unit.words)).cast("B")
+                t, w, n = view[u[j]], unit.window, 8 if unit.words else 1
+                if not step:
+                    out.append((u[j], k1, k2, rid, lo, hi, l, r))
+                    keys.append(digest(t[lo * n : (hi + w) * n], r - lo))
                     continue
-                for c in range((a - hi) // width, (a - lo) // width + 1):
-                    left, right = a - (c * width + width - 1), a - c * width  # the class's windows, first and last
-                    core = digest(view[right : left + window], c * 64 + width)
-                    left, right = max(left, lo), min(right, hi)
-                    out_key.append(digest(view[left : right + window], (a - left) * 64 + width))
-                    k = np.frombuffer(core, "<i8")
-                    out.append((int(k[0]), int(k[1]), rid, a, left, right))
+                width, parent = unit.widths[step - 1], pack(k1, k2)
+                for c in range((r - hi) // width, (r - lo) // width + 1):
+                    right = r - c * width
+                    left = max(l, right - width + 1)
+                    # the digit: what these windows share beyond the parent's [r, l + window); at first all they share
+                    fresh = (t[right * n : (left + w) * n],) if step == 1 else (t[right * n : r * n], t[(l + w) * n : (left + w) * n])
+                    key = digest(b"".join((parent, *fresh)), c * 64 + step)
+                    a, z = max(left, lo), min(right, hi)
+                    out.append((u[j], *struct.unpack("<qq", key), rid, a, z, left, right))
+                    keys.append(digest(b"".join((key, t[a * n : right * n], t[(left + w) * n : (z + w) * n])), right - a))
                 if len(out) >= 50_000:
-                    yield _cells(out, out_key)
-                    out_key, out = [], []
+                    yield _cells(out, keys)
+                    out, keys = [], []
         if out:
-            yield _cells(out, out_key)
+            yield _cells(out, keys)
 
 
 def _cells(rows: list, keys: list[bytes]) -> pa.RecordBatch:
     c = np.array(rows, np.int64)
     o = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-    cols = [c[:, 0], c[:, 1], o[:, 0], o[:, 1], c[:, 2], c[:, 3], c[:, 4], c[:, 5]]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=CELL.names)
+    columns = [c[:, 0].astype(bool), c[:, 1], c[:, 2], o[:, 0], o[:, 1], *(c[:, i] for i in range(3, 8))]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=CELL.names)
 
 
 def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,131 +223,132 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[at], reach[np.concatenate([at[1:], [len(a)]]) - 1]
 
 
-def _byte_spans(text: bytes, cells: pa.StructArray, window: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes [start, end) that the windows of each cell cover."""
-    a, b, of_words = (cells.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-    ends = b + window
-    if of_words.any():
-        at = np.array([m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)], np.int64)
-        starts = a.copy()
-        starts[of_words], ends[of_words] = at[a[of_words], 0], at[b[of_words] + words - 1, 1]
-        a = starts
-    return a, ends
+def _merged_rows(batches):
+    """Of ``rid, u`` and a list of cells the maximal intervals of consecutive windows."""
+    for b in batches:
+        lists = b.column(2)
+        a, z = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        offsets = lists.offsets.to_numpy()
+        got = [_merge(a[x:y], z[x:y] + 1) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+        row = pa.array(np.repeat(np.arange(len(got)), [len(x) for x, _ in got]))
+        ends = [np.concatenate([g[i] for g in got] or [np.zeros(0, np.int64)]) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(ends[0]), pa.array(ends[1] - 1)], names=["rid", "u", "s0", "s1"])
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _kept_rows(batches, window: int, words: int, as_text: bool, names: list[str]):
+def _kept_rows(batches, window: int, words: int, cut_words: bool, as_text: bool, names: list[str]):
+    none = np.zeros(0, np.int64)
     for b in (w.slice(at, 1000) for w in batches for at in range(0, w.num_rows, 1000)):
         lists = b.column(1)
-        n_removed, n_spans, kept, size = [], [], [], []
+        n_removed, n_spans, n_words, kept, size = [], [], [], [], []
         for text, cells in zip(_decoded(b.column(0)), lists, strict=True):
             size.append(len(text))
-            if not cells.is_valid or not len(cells):
+            u, s0, s1 = (cells.values.field(i).to_numpy(zero_copy_only=False) for i in range(3)) if cells.is_valid else (none.astype(bool), none, none)
+            runs, stops = s0[u], s1[u] + words
+            n_words.append(int(np.subtract(*_merge(runs, stops)[::-1]).sum()) if len(runs) else 0)
+            a, e = s0[~u], s1[~u] + window
+            if cut_words and len(runs):
+                at = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
+                a, e = np.concatenate([a, at[runs, 0]]), np.concatenate([e, at[stops - 1, 1]])
+            if not len(a):
                 n_removed.append(0)
                 n_spans.append(0)
                 kept.append(text)
                 continue
-            a, e = _merge(*_byte_spans(text, cells.values, window, words))
+            a, e = _merge(a, e)
             n_removed.append(int((e - a).sum()))
             n_spans.append(len(a))
             edge = np.concatenate([[0], np.stack([a, e], 1).reshape(-1), [len(text)]]).tolist()
             kept.append(b"".join(text[x:y] for x, y in zip(edge[::2], edge[1::2], strict=True)))
         rest = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-        own = [pa.array(size, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), rest]
-        yield pa.RecordBatch.from_arrays([*b.columns[2:], *own], names=names)
-
-
-class _Bucketed:
-    """The input's rows with compressed text, bucketed by a row id in the shared folder."""
-
-    def __init__(self, docs: DataFrame, text: str, keep: list[str]):
-        spark = self.spark = docs.sparkSession
-        self.keep = keep
-        size = docs.agg(F.sum(F.octet_length(text_bytes(text)))).first()[0] or 0
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-        self.parts = parts_for(spark, size)  # of the narrow tables, which are a fraction of the texts
-        src = docs.select(F.monotonically_increasing_id().alias("__rid"), text_bytes(text).alias("__z"), *keep)
-
-        names = src.columns
-
-        def squeeze(batches):
-            c = zstandard.ZstdCompressor(level=1)
-            for b in batches:
-                z = pa.array([c.compress(t.as_buffer()) for t in b.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), z, *b.columns[2:]], names=names)
-
-        self.name = f"qaloom_texts_{uuid.uuid4().hex}"
-        self.path = f"{shared_dir(spark).rstrip('/')}/staged-{self.name}"
-        rows = src.mapInArrow(squeeze, src.schema).repartition(n, "__rid")
-        rows.write.bucketBy(n, "__rid").option("path", self.path).option("compression", "none").saveAsTable(self.name)
-
-    @property
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _refine(texts: DataFrame, active: DataFrame, window: int, width: int, parts: int, words: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(accepted intervals, cells to split further) of one pass over the active cells ``(rid, m, s0, s1, kh)``."""
-    lists = active.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("m", "s0", "s1", "kh")).alias("cells"))
-    joined = texts.select("__rid", "__z").join(lists.hint("shuffle_hash"), "__rid")
-    cells = cut(joined.mapInArrow(lambda it: _cell_rows(it, window, width, words), CELL), parts)
-    # any member stands for its group: all have the same bytes; the four firsts come from one row
-    one = [F.first(c).alias(c) for c in ("rid", "m", "s0", "s1")]
-    groups = cells.groupBy("c1", "c2", "o1", "o2").agg(F.count("*").alias("n"), *one)
-    if width == 1:
-        twice = cut(groups.where("n > 1").select("c1", "c2"), parts)
-        return cells.join(twice, ["c1", "c2"]).select("rid", "s0", "s1"), None
-    groups = cut(groups, parts)
-    twice = groups.where("n > 1").select("c1", "c2", "o1", "o2")
-    accepted = cells.join(twice, ["c1", "c2", "o1", "o2"]).select("rid", "s0", "s1")
-    mixed = cut(groups.groupBy("c1", "c2").agg(F.count("*").alias("k")).where("k > 1").select("c1", "c2"), parts)
-    further = groups.join(mixed, ["c1", "c2"]).select("rid", "m", "s0", "s1", F.lit(0).cast("long").alias("kh"))
-    return accepted, further
-
-
-def _accepted(held: _Bucketed, window: int, gram: int, widths: tuple[int, ...], words: bool) -> list[DataFrame]:
-    """Intervals ``(rid, s0, s1, words)`` of the first and last of consecutive windows that are repeated, from all passes."""
-    texts = held.rows
-    found = texts.select("__rid", "__z").mapInArrow(lambda it: _anchor_rows(it, window, gram, words), "kh long, rid long, m long, s0 long, s1 long")
-    # counts are materialised before they are joined, so that both join sides are plain shuffles and a hot gram can be split
-    again = cut(found.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), held.parts)
-    active = found.join(again, "kh")
-    accepted = []
-    for width in (0, *widths):
-        got, active = _refine(texts, active, window, width, held.parts, words)
-        accepted.append(got.withColumn("words", F.lit(words)))
-    return accepted
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = WIDTHS, as_text: bool = False, prefix: str = "", words: int = 0):
-    """(result, release): ``keep`` columns plus ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row.
+        own = [pa.array(x, pa.int64()) for x in (size, n_removed, n_spans, n_words)]
+        yield pa.RecordBatch.from_arrays([*b.columns[2:], *own, rest], names=names)
+
+
+def _bucketed(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, int]:
+    """The rows with compressed text, bucketed by a row id in the shared folder, and the partitions for narrow tables."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text_bytes(text)))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    src = docs.select(F.monotonically_increasing_id().alias("__rid"), text_bytes(text).alias("__z"), *keep)
+    names = src.columns
+
+    def squeeze(batches):
+        c = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            z = pa.array([c.compress(t.as_buffer()) for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), z, *b.columns[2:]], names=names)
+
+    name = f"qaloom_texts_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/staged-{name}"
+
+    def gone():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_folder(spark, path)
+
+    rows = src.mapInArrow(squeeze, src.schema).repartition(n, "__rid")
+    rows.write.bucketBy(n, "__rid").option("path", path).option("compression", "none").saveAsTable(name)
+    return written(spark.table(name), path, gone), parts_for(spark, size)  # narrow tables are a fraction of the texts
+
+
+def _refine(texts: DataFrame, active: DataFrame, units: dict[bool, Unit], step: int, parts: int) -> tuple[DataFrame, DataFrame | None]:
+    """(accepted intervals ``rid, u, s0, s1``, cells to split further) of one pass over the active cells."""
+    with scratch() as s:
+        lists = active.groupBy(F.col("rid").alias("__rid"), F.floor(F.col("s0") / CHUNK)).agg(F.collect_list(F.struct("u", "s0", "s1", "l", "r", "k1", "k2")).alias("cells"))
+        joined = texts.select("__rid", "__z").join(lists.select("__rid", "cells").hint("shuffle_hash"), "__rid")
+        cells = cut(joined.mapInArrow(lambda it: _cell_rows(it, units, step), CELL), parts)
+        key = ["u", "k1", "k2"]
+        # any member stands for its group: all have the same bytes; the firsts come from one row
+        one = [F.first(c).alias(c) for c in ("rid", "s0", "s1", "l", "r")]
+        groups = cells.groupBy(*key, "o1", "o2").agg(F.count("*").alias("n"), *one)
+        if step == max(len(x.widths) for x in units.values()):
+            twice = cut(groups.where("n > 1").select(*key), parts)
+            return s.keep(cut(cells.join(twice, key).select("rid", "u", "s0", "s1"), parts)), None
+        groups = cut(groups, parts)
+        twice = groups.where("n > 1").select(*key, "o1", "o2")
+        accepted = cut(cells.join(twice, [*key, "o1", "o2"]).select("rid", "u", "s0", "s1"), parts)
+        mixed = cut(groups.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key), parts)
+        further = cut(groups.join(mixed, key).select("rid", "u", "s0", "s1", "l", "r", "k1", "k2"), parts)
+        return s.keep(accepted), s.keep(further)
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM, widths: tuple[int, ...] = WIDTHS, as_text: bool = False, prefix: str = "", words: int = 0, cut_words: bool = False) -> DataFrame:
+    """``keep`` columns plus ``n_bytes, n_removed, n_spans, n_repeated_words, kept`` (the remaining bytes) of every row.
 
     A byte goes if a ``window``-byte string that covers it also starts anywhere else, in the same text or another; all
     strings are judged on the input.  A null text counts as empty and texts under ``window`` bytes stay whole; rows that
     repeat an id are separate texts.  Overlapping repeats inside one text count.  An empty table gives an empty result.
-    ``prefix`` goes before the four new names where ``keep`` has columns of that name.
+    ``prefix`` goes before the new names where ``keep`` has columns of that name; other columns of ``docs`` are not read.
     ``as_text`` gives ``kept`` as a string without the broken characters that byte cuts can leave at an edge.
-    With ``words`` each run of that many words (between ASCII blanks) goes too that also starts anywhere else, from its
-    first word's start to its last word's end; it is judged on the input like the byte windows.
-    Call ``release()`` once the result is written: the bucketed texts lie in the shared folder until then.
+    With ``words``, ``n_repeated_words`` counts the words in runs of that many words (between ASCII blanks) that also start
+    anywhere else; with ``cut_words`` these runs go too, from a run's first word's start to its last word's end.
+    The result reads tables in the shared folder: call this in a ``scratch`` block and write the result before its end.
     """
     keep = keep or ["doc_id"]
-    renamed = docs.select(F.col(text).alias("__text"), *keep)
-    held = _Bucketed(renamed, "__text", keep)
-    texts = held.rows
-    accepted = _accepted(held, window, gram, widths, False)
+    units = [Unit(False, window, gram, widths)]
     if words:
-        accepted += _accepted(held, words, max(1, words // 4), tuple(x for x in WORD_WIDTHS if x < max(2, words)), True)
+        units.append(Unit(True, words, max(1, words // 4), WORD_WIDTHS))
+    by_kind = {x.words: x for x in units}
+    texts, parts = _bucketed(docs.select(F.col(text).alias("__text"), *keep), "__text", keep)
+    found = stage(texts.select("__rid", "__z").mapInArrow(lambda it: _anchor_rows(it, units), FOUND))
+    # counts are materialised before they are joined, so that both join sides are plain shuffles and a hot gram can be split
+    again = cut(found.groupBy("u", "kh").agg(F.count("*").alias("n")).where("n > 1").select("u", "kh"), parts)
+    span = F.when(F.col("u"), F.lit(words - units[-1].gram)).otherwise(F.lit(window - gram))
+    active = found.join(again, ["u", "kh"]).select("rid", "u", "s0", "s1", (F.col("m") - span).alias("l"), F.col("m").alias("r"), F.col("kh").alias("k1"), F.lit(0).cast("long").alias("k2"))
+    accepted = []
+    for step in range(1 + max(len(x.widths) for x in units)):
+        got, active = _refine(texts, active, by_kind, step, parts)
+        accepted.append(got)
     every = accepted[0]
     for x in accepted[1:]:
         every = every.unionByName(x)
-    lists = every.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("s0", "s1", "words")).alias("__cells"))
+    blocks = every.groupBy("rid", "u", F.floor(F.col("s0") / CHUNK)).agg(F.collect_list(F.struct("s0", "s1")).alias("cells")).select("rid", "u", "cells")
+    merged = blocks.mapInArrow(_merged_rows, "rid long, u boolean, s0 long, s1 long")
+    lists = merged.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("u", "s0", "s1")).alias("__cells"))
     joined = texts.join(lists.hint("shuffle_hash"), "__rid", "left").select("__z", "__cells", *keep)
-    fields = [f for f in joined.schema.fields[2:]] + [T.StructField(prefix + n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(f"{prefix}kept", T.StringType() if as_text else T.BinaryType())]
-    schema = T.StructType(fields)
+    own = [T.StructField(prefix + n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans", "n_repeated_words")]
+    schema = T.StructType([*joined.schema.fields[2:], *own, T.StructField(f"{prefix}kept", T.StringType() if as_text else T.BinaryType())])
     names = schema.names
-    return joined.mapInArrow(lambda it: _kept_rows(it, window, words, as_text, names), schema), held.drop
+    return joined.mapInArrow(lambda it: _kept_rows(it, window, words, cut_words, as_text, names), schema)

@@ -1,6 +1,7 @@
 """Near-duplicate components and repeated spans against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -93,8 +94,26 @@ def test_components_of_edge_rows(spark):
             low[r] = min(i, low.get(r, i))
     assert got == sorted(((i, f"{f:016x}", low.get(r)) for (i, _), f, r in zip(ROWS, fps, roots)), key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-    kept = simhash.one_per_group(df.withColumn("fingerprint", F.lit("mine"))).collect()
-    assert sorted(str((r.doc_id, r.fingerprint)) for r in kept) == sorted(str((i, "mine")) for i in (2, 7, 4, None))
+
+
+def test_star_of_fingerprints(spark):
+    """A hub with many neighbours: its group is split, and all of it is one component."""
+    flips = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i in range(64) for j in range(i))]
+    nodes = spark.createDataFrame([(int(np.array(f, np.uint64).view(np.int64)),) for f in flips], "fp long")
+    roots = common.connected(simhash.link_fingerprints(nodes, 4, 1024)).collect()
+    assert len(roots) == len(flips) and len({r.root for r in roots}) == 1
+    spokes = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert common.connected(spokes).agg(F.count("*"), F.max("root")).first()[:] == (100_001, 0)
+
+
+def test_scratch_is_emptied(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    folder = common.shared_dir(spark).removeprefix("file:")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+    before = files()
+    out = simhash.near_duplicates(df)
+    left = files() - before
+    assert len({os.path.dirname(f) for f in left}) <= 1 and len(out.collect()) == len(ROWS)
 
 
 def brute_repeats(texts, window):
@@ -126,9 +145,9 @@ def test_repeats_are_exact(spark, seed):
         texts.append(t)
     texts += [texts[3], None, "", shared[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("cells", F.lit(1)).repartition(3)
-    rows, release = suffix_dedup.remove_repeats(df, window=40, gram=10, widths=(7, 2, 1))
-    got = [tuple(r)[1:] for r in rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).orderBy("doc_id").collect()]
-    release()
+    with common.scratch():
+        rows = suffix_dedup.remove_repeats(df, window=40, gram=10, widths=(7, 2, 1))
+        got = [tuple(r)[1:] for r in rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).orderBy("doc_id").collect()]
     assert got == brute_repeats([(t or "").encode() for t in texts], 40)
 
 
@@ -137,10 +156,16 @@ def test_repeats_in_long_and_odd_rows(spark):
     long = "".join(rng.choice("abcdefgh ") for _ in range(700_000))
     rows = [(1, long), (1, "x" * 399), (2, "y" * 401), (None, long[1000:1500] + "é"), (3, long[262_000:262_500])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out, release = suffix_dedup.remove_repeats(df, as_text=True)
-    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in out.collect()}
-    release()
+    with common.scratch():
+        out = suffix_dedup.remove_repeats(df, as_text=True)
+        got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in out.collect()}
     assert got == {(1, 700_000): (1000, 2), (1, 399): (0, 0), (2, 401): (401, 1), (None, 502): (500, 1), (3, 500): (500, 1)}
-    out, release = suffix_dedup.remove_repeats(df.limit(0))
-    assert out.count() == 0
-    release()
+    with common.scratch():
+        assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_repeats_in_one_long_character_run(spark):
+    df = spark.createDataFrame([(1, "a" * 1_000_000), (2, "b" * 300 + "a" * 399)], "doc_id long, text string")
+    with common.scratch():
+        got = sorted((r.doc_id, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == [(1, 1_000_000, 1, b""), (2, 0, 0, b"b" * 300 + b"a" * 399)]

@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from qaloom.llm import near_copies
+from qaloom.llm import simhash, simhash_sets
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -83,14 +83,47 @@ def test_candidates_at_the_threshold():
     for _ in range(1000):  # 180 of 220 hashes shared: 0.818
         s = rng.integers(0, 1 << 64, 220, np.uint64)
         x, y = np.sort(s[:200]), np.sort(s[20:])
-        hits += bool((near_copies.band_keys(x) == near_copies.band_keys(y)).any())
-        assert near_copies.alike(x, y)
+        hits += bool((simhash_sets.band_keys(x) == simhash_sets.band_keys(y)).any())
+        assert simhash_sets.alike(x, y)
     assert hits >= 999
 
 
-def test_repeated_ids_in_different_components(spark):
-    from qaloom.llm import simhash
+def test_fingerprints_at_the_threshold():
+    """Pairs at the least similarity lie within the radius; the bit-sliced masks count wide fingerprints exactly."""
+    rng = np.random.default_rng(2)
+    for n in (5, 9, 40, 220, 3000):
+        far, fps = [], []
+        for _ in range(300):
+            s = rng.integers(0, 1 << 64, n * 11 // 9 + 1, np.uint64)
+            k = -(-8 * len(s) // 10)  # the shared part of the union
+            one, two = s[: k + (len(s) - k) // 2], np.concatenate([s[:k], s[k + (len(s) - k) // 2 :]])
+            x, y = simhash_sets.set_fingerprint(one), simhash_sets.set_fingerprint(two)
+            far.append(int(np.bitwise_count(x ^ y).sum()))
+            fps.append(y)
+        assert np.mean(np.array(far) <= simhash_sets.RADIUS) >= (0.99 if n < 40 else 1.0), n
+    lanes = np.stack(fps[:64])
+    q = lanes[:1] ^ np.array([[255, 1 << 63]], np.uint64)
+    want = [int(np.bitwise_count(v ^ q[0]).sum()) <= 60 for v in lanes]
+    live, mask = simhash.near_masks(simhash._planes(lanes), q, np.zeros(1, np.int64), 60)
+    assert live.tolist() == [0] and [bool(int(mask[0]) >> i & 1) for i in range(64)] == want and 0 < sum(want) < 64
+
+
+def test_last_step_finds_what_centres_miss(spark):
+    """A chain of near copies: neighbours are alike, ends are not."""
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(5000)]
+    base = rng.choices(words, k=200)
+    rows = []
+    for i in range(30):
+        rows.append((i, " ".join(base)))
+        for _ in range(3):
+            base[rng.randrange(200)] = rng.choice(words)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(min(g) for g in brute_kept(rows))
+
 
+def test_repeated_ids_in_different_components(spark):
     rows = [(5, "one two three four five six seven"), (5, "quite other words that nobody has copied"), (6, "One two three four five six seven"), (5, "one two three four five six seven")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(tuple(r) for r in simhash.one_per_group(docs).collect()) == sorted(rows[:2])
+    assert sorted(tuple(r) for r in simhash_sets.one_per_group(docs).collect()) == sorted(rows[:2])
