@@ -131,6 +131,18 @@ def stage(df: DataFrame) -> DataFrame:
     return written(spark.read.schema(schema).parquet(path), path)
 
 
+def clear_of(docs: DataFrame, keep: list[str], own: list[str]) -> tuple[DataFrame, list[str]]:
+    """``docs`` and ``keep`` with kept columns renamed that an output column's name clashes with: underscores go behind them."""
+    taken, out = {*own, *keep}, []
+    for c in keep:
+        new = c
+        while new in own or (new != c and new in taken):
+            new += "_"
+        taken.add(new)
+        out.append(new)
+    return docs.select("*", *[F.col(c).alias(n) for c, n in zip(keep, out, strict=True) if n != c]), out
+
+
 def text_bytes(col: str | Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     c = F.col(col) if isinstance(col, str) else col

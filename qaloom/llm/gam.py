@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, text_bytes
+from .common import clear_of, crc_bucket, text_bytes
 
 MAX_TRAIN = 20_000
 FOLDS = 5
@@ -187,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     """Train on labelled documents outside the held-out fold (crc32 of the id, modulo 5, is 0).
 
     At most ``max_train`` rows are used, those with the smallest id hashes; only they cross to the driver, as features.
-    An id with several labels counts as 1 if at least half of them are.  Null labels and ids are left out.
+    An id with several labels counts as 1 if at least half of them are; of an id's texts the one with the smallest hash
+    counts.  Null labels and ids are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", FOLDS) != 0))
     known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("__y"))
@@ -195,16 +196,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     span = 1 << 20
     part = min(span, int(span * 0.97 * max_train / max(1, n)))
     known = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(span)) < part)
-    rows = add_features(docs.select("doc_id", text).join(F.broadcast(known), "doc_id"), ["doc_id", "__y"], text).toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)[:max_train]
+    place = F.xxhash64(F.lit(5), "doc_id").alias("__place")
+    some = docs.select("doc_id", text, place, F.xxhash64(text).alias("__text_hash")).join(F.broadcast(known), "doc_id")
+    rows = add_features(some, ["doc_id", "__y", "__place", "__text_hash"], text).toPandas()
+    rows["__place"] %= span
+    rows = rows.sort_values(["__place", "doc_id", "__text_hash"]).drop_duplicates("doc_id").reset_index(drop=True)[:max_train]
     if rows.empty:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0))
     return train(np.stack(rows["x"].to_numpy()), rows["__y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Gam, keep: list[str] | None = None, text: str = "text", out: str = "score") -> DataFrame:
-    """``keep`` columns plus the score of each row as column ``out``.  A null or empty text is scored on zero features; repeated rows alike."""
-    keep = keep or ["doc_id"]
+    """``keep`` columns plus the score of each row as column ``out``.  A null or empty text is scored on zero features; repeated rows alike.
+
+    An empty table gives an empty result; a kept column named like ``out`` gets an underscore.
+    """
+    docs, keep = clear_of(docs, keep or ["doc_id"], [out])
     src = docs.select(*keep, text_bytes(text).alias("__text"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField(out, T.DoubleType())])
     k, names = len(keep), schema.names

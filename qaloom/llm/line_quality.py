@@ -9,6 +9,8 @@ inside its row: nothing is exploded or shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,52 +73,71 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """True if a line with words breaks a rule; a line without words passes."""
-    n = F.size(words_of(line))
+    """True if a line with words breaks a rule; a line without words passes.  Counts are taken only where they can matter."""
     bars = count_chars(line, SEPARATORS)
     runs = F.size(F.regexp_extract_all(line, F.lit(r"([#*$%&<>]{2,})"), F.lit(0)))
     shouts = F.size(F.regexp_extract_all(line, F.lit(r"(!!)"), F.lit(0)))
-    ends = line.rlike(END)
+    phrases = let(F.lower(line), lambda x: reduce(or_, [x.contains(p) for p in BOILERPLATE.split("|")]))
     return let(
-        n,
+        F.size(words_of(line)),
         lambda n: (n > 0)
         & (
-            ((bars >= 3) & (4 * bars >= n))
-            | ((runs >= 3) & (5 * runs >= n))
-            | ((shouts >= 3) & (5 * shouts >= n))
-            | ((n <= FRAGMENT_WORDS) & ~ends)
-            | F.lower(line).rlike(BOILERPLATE)
+            ((n <= FRAGMENT_WORDS) & ~line.rlike(END))
+            | let(bars, lambda b: (b >= 3) & (4 * b >= n))
+            | ((count_chars(line, "#*$%&<>") >= 6) & (runs >= 3) & (5 * runs >= n))
+            | (line.contains("!!") & (shouts >= 3) & (5 * shouts >= n))
+            | phrases
         ),
     )
 
 
+def measures(text: Column, max_loss: float = MAX_LOSS, clean: str = "clean_text", prefix: str = "") -> Column:
+    """A struct of all that ``measure`` returns; every part is computed once, as bound variables of nested lambdas."""
+    solid = lambda x: F.length(F.translate(x, BLANKS, "")).cast("long")
+
+    def of(t: Column) -> Column:
+        lines = F.split(t, "\n", -1)
+        dup = let(F.filter(lines, lambda x: solid(x) > 0), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+        per_words = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
+        rest = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
+        first = F.struct(per_words.alias("w"), solid(t).alias("chars"), count_chars(t, "#*$%&|<>").cast("long").alias("symbols"), dup.alias("dup"), rest.alias("rest"))
+        return let(let(first, lambda m: F.struct(m.alias("m"), (m["chars"] - solid(m["rest"])).alias("lost"), _base_failed(m).alias("failed"))), named)
+
+    def named(x: Column) -> Column:
+        m = x["m"]
+        own = {"n_words": m["w"]["n"], "word_chars": m["chars"], "n_symbols": m["symbols"], "n_dup_lines": m["dup"], "n_repeat_words": m["w"]["r"], "lost_chars": x["lost"], "base_failed": x["failed"]}
+        kept = ~x["failed"] & (x["lost"] <= m["chars"] * F.lit(max_loss))
+        return F.struct(*(v.alias(prefix + k) for k, v in own.items()), kept.alias(f"{prefix}kept"), m["rest"].alias(clean))
+
+    return let(F.coalesce(text, F.lit("")), of)
+
+
+def _base_failed(m: Column) -> Column:
+    return (m["w"]["n"] < MIN_WORDS) | (100 * m["w"]["r"] > MAX_REPEAT_PERCENT * m["w"]["n"])
+
+
 def measure(docs: DataFrame, text: str = "text", clean: str | None = "clean_text", max_loss: float = MAX_LOSS, prefix: str = "") -> DataFrame:
     """``docs`` plus ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept``.
 
     ``clean`` names an extra column with the text without its failing lines (None: no such column).  A null or empty text
-    has no words, fails the base rule and is not kept.  Columns of ``docs`` with these names are replaced; ``prefix`` goes
-    before the new names where that must not be.
+    has no words, fails the base rule and is not kept.  Repeated rows are judged alike, an empty table gives an empty result.
+    Columns of ``docs`` with these names are replaced; ``prefix`` goes before the new names where that must not be.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(t, "\n", -1)
-    solid = lambda x: F.length(F.translate(x, BLANKS, ""))
-    per_words = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
-    full = F.filter(lines, lambda x: solid(x) > 0)
-    dup = let(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    lost = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.when(line_fails(x), solid(x)).otherwise(0).cast("long"))
-    if clean:
-        docs = docs.withColumn(clean, F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n"))
-    own = {"n_words": F.col("__w.n"), "word_chars": solid(t).cast("long"), "n_symbols": count_chars(t, "#*$%&|<>").cast("long"), "n_dup_lines": dup, "n_repeat_words": F.col("__w.r"), "lost_chars": lost}
-    out = docs.withColumn("__w", per_words).withColumns({prefix + k: v for k, v in own.items()}).drop("__w")
-    n, repeated, chars, gone = (F.col(prefix + c) for c in ("n_words", "n_repeat_words", "word_chars", "lost_chars"))
-    out = out.withColumn(f"{prefix}base_failed", (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n))
-    return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (gone <= chars * F.lit(max_loss)))
+    one = measures(F.col(text), max_loss, clean or "__clean", prefix)
+    own = [f"{prefix}{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")]
+    rest = [F.col(c) for c in docs.columns if c not in {*own, clean}]
+    out = docs.select(*rest, F.inline(F.array(one)))
+    return out if clean else out.drop("__clean")
 
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The kept rows of ``docs``, without the lines that fail; all columns stay."""
-    judged = measure(docs, text, "__clean", prefix="__q_")
-    return judged.where("__q_kept").select(*[F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns])
+    """The kept rows of ``docs``, without the lines that fail; all columns stay, also those named like a measure.
+
+    The verdict is taken inside the generator, so a text is judged once and no filter computes it again.
+    """
+    kept = F.filter(F.array(measures(F.col(text), clean="__clean", prefix="__q_")), lambda m: m["__q_kept"])
+    judged = docs.select("*", F.inline(kept))
+    return judged.select(*[F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def oracle(table: str = "documents") -> str:

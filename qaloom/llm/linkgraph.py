@@ -11,14 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import clear_of, cut, drop, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#\s>]+)"""
 DAMPING = 0.85
-ROUNDS = 20
-SETTLED = 1e-6
+SETTLED = 1e-7
+#: More rounds than any graph needs at this damping: 0.85 ** 400 is 6e-29.  Reaching them is an error.
+ROUNDS = 400
+#: Rounds in one plan, before the ranks are written and compared.
+STRIDE = 6
 BLOCK_SHARE = 0.5
 
 Rules = list[tuple[str, str]]
@@ -57,55 +60,70 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     """Personalised PageRank: ``(host, rank)`` from ``seeds`` (``host, weight``; weights are normalised) over ``src -> dst``.
 
     rank = (1 - damping) * seed + damping * sum of the ranks of linking hosts, each split over its links by count; a host
-    without links passes nothing on.  Ends after ``rounds`` or once the ranks change by less than ``settled`` in sum.
+    without links passes nothing on.  Goes on until a round changes the ranks by less than ``settled`` in sum, and raises if ``rounds``
+    do not reach that; with ``settled`` 0 it makes just these rounds.
     """
     total = seeds.agg(F.sum("weight")).first()[0] or 0.0
     start = cut(seeds.where("weight > 0").select("host", (F.col("weight") / F.lit(total or 1.0) * (1 - damping)).alias("seed")))
     rank = start.select("host", F.col("seed").alias("rank"))
     if edges.isEmpty() or not total:
         return rank
-    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
+    # sums are materialised before they are joined, so that both sides are plain shuffles and a hub can be split
+    out = cut(edges.groupBy("src").agg(F.sum("n").alias("all")))
     share = cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part")))
-    for _ in range(rounds):
-        flow = share.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("part") * F.col("rank") * damping).alias("v"))
-        fresh = flow.unionByName(start.select("host", F.col("seed").alias("v"))).groupBy("host").agg(F.sum("v").alias("rank"))
-        fresh = cut(fresh)
-        change = fresh.join(rank.withColumnRenamed("rank", "was"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-        rank = fresh
+
+    def after(r: DataFrame) -> DataFrame:
+        flow = share.join(r.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("part") * F.col("rank") * damping).alias("v"))
+        return flow.unionByName(start.select("host", F.col("seed").alias("v"))).groupBy("host").agg(F.sum("v").alias("rank"))
+
+    done = 0
+    while done < rounds:
+        for _ in range(min(STRIDE, rounds - done) - 1):
+            rank = after(rank)
+            done += 1
+        was = cut(rank)
+        rank = cut(after(was))
+        done += 1
+        change = rank.join(was.withColumnRenamed("rank", "was"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+        drop(was)
         if change < settled:
-            break
+            return rank
+    if settled:
+        raise RuntimeError("ranks did not settle")
     return rank
 
 
-def judge_urls(pages: DataFrame, rules: Rules, url: str = "url", html: str = "html", keep: list[str] | None = None, share: float = BLOCK_SHARE, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Rules, url: str = "url", html: str = "html", keep: list[str] | None = None, share: float = BLOCK_SHARE, damping: float = DAMPING) -> DataFrame:
     """``keep`` columns plus ``host, path, rule, verdict, trust, distrust`` of every page.
 
     Null urls have empty host and path and are allowed; null html has no links; repeated pages are judged alike and count
-    each as a seed.  An empty table gives an empty result.
+    each as a seed.  An empty table gives an empty result; a kept column that is named like a new one gets an underscore.
     """
-    keep = keep or ["page_id"]
+    pages, keep = clear_of(pages, keep or ["page_id"], ["host", "path", "rule", "verdict", "trust", "distrust"])
     host, path = host_of(url), path_of(url)
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     base = pages.select(*[F.col(c) for c in keep], host.alias("host"), path.alias("path"), F.col(html).alias("__html"))
     ruled = base.withColumn("rule", rule).withColumn("__verdict", verdict)
     good, bad = (F.count_if(F.coalesce(F.col("__verdict") == v, F.lit(False))).cast("double") for v in ("allow", "block"))
     counted = ruled.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad")).where("good + bad > 0")
-    # a host is a blocked seed if rules block most of its pages, a trusted one if they allow more than they block
-    seeds = cut(counted.select("host", F.when(F.col("good") > F.col("bad"), F.col("good")).otherwise(0.0).alias("good"), F.when(2 * F.col("bad") >= F.col("n"), F.col("bad")).otherwise(0.0).alias("bad")))
-    edges = cut(host_edges(base, "__html"))
-    trust = propagate(seeds.select("host", F.col("good").alias("weight")), edges, damping, rounds).withColumnRenamed("rank", "trust")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(seeds.select("host", F.col("bad").alias("weight")), back, damping, rounds).withColumnRenamed("rank", "distrust")
-    hosts = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    hosts = cut(hosts.withColumn("__bad", (F.col("distrust") > 0) & (F.col("distrust") >= share * (F.col("trust") + F.col("distrust")))))
+    with scratch() as s:
+        # a host is a blocked seed if rules block most of its pages, a trusted one if they allow more than they block
+        seeds = cut(counted.select("host", F.when(F.col("good") > F.col("bad"), F.col("good")).otherwise(0.0).alias("good"), F.when(2 * F.col("bad") >= F.col("n"), F.col("bad")).otherwise(0.0).alias("bad")))
+        edges = cut(host_edges(base, "__html"))
+        trust = propagate(seeds.select("host", F.col("good").alias("weight")), edges, damping).withColumnRenamed("rank", "trust")
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+        distrust = propagate(seeds.select("host", F.col("bad").alias("weight")), back, damping).withColumnRenamed("rank", "distrust")
+        hosts = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+        hosts = s.keep(cut(hosts.withColumn("__bad", (F.col("distrust") > 0) & (F.col("distrust") >= share * (F.col("trust") + F.col("distrust"))))))
     joined = ruled.drop("__html").join(hosts, "host", "left")
     own = F.when(F.coalesce("__bad", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     zero = F.lit(0.0)
     return joined.select(*keep, "host", "path", "rule", F.coalesce("__verdict", own).alias("verdict"), F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
 
 
-def oracle(rules: Rules, table: str = "pages", share: float = BLOCK_SHARE, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
-    """The URL query in DuckDB SQL, ranks rounded to five decimals; a node ``*`` that links to all seeds restarts the walk."""
+def oracle(rules: Rules, table: str = "pages", share: float = BLOCK_SHARE, damping: float = DAMPING, rounds: int = 120) -> str:
+    """The URL query in DuckDB SQL, ranks rounded to five decimals after ``rounds`` rounds
+    (0.85 ** 120 is 3e-9); a node ``*`` that links to all seeds restarts the walk."""
     host = f"translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}')"
     fits = []
     for what, pattern in sorted(rules, key=lambda r: -len(r[1])):

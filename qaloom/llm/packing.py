@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import clear_of, scratch, stage
 from .wordcache import SpacedBpe
 
 CAPACITY = 2048
@@ -32,9 +33,10 @@ _encoders: dict[str, SpacedBpe] = {}
 def tokenize_pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Per document its ids and one ``end_id``, cut into pieces of ``capacity`` ids: ``piece, start, length, ids`` (binary).
 
-    ``ids`` are little-endian unsigned 32-bit.  A null or blank text has the end id alone.  ``keep`` columns are copied.
+    ``ids`` are little-endian unsigned 32-bit.  A null or blank text has the end id alone.  ``keep`` columns are copied, one that
+    is named like a new column with an underscore behind; repeated rows stay repeated, an empty table gives an empty result.
     """
-    keep = keep or ["doc_id"]
+    docs, keep = clear_of(docs, keep or ["doc_id"], ["piece", "start", "length", "ids"])
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
     end = np.array([end_id], "<u4").tobytes()
@@ -129,14 +131,15 @@ def _pack_partition(batches, number: int, capacity: int, names: list[str], base:
     yield from t.to_batches(max_chunksize=10_000)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: int = 4, report: Callable[[dict], None] | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, report: Callable[[dict], None] | None = None) -> DataFrame:
     """``pieces`` (a long column ``length`` in 1..capacity, any other columns) plus ``sequence_id`` and ``offset``.
 
-    Every row comes back once, also repeated rows and rows with nulls in other columns.  An empty table gives an empty result.  ``report``
-    receives per round the sequences, the partitions' summed gap to their bounds and the released pieces.
+    Every row comes back once, also repeated rows and rows with nulls in other columns; columns named ``sequence_id`` or ``offset``
+    get an underscore.  An empty table gives an empty result.  Rounds go on until no partition has a gap to its bound or a
+    round saves no sequence.  The result reads tables in the shared folder, which belong to an enclosing ``scratch`` block.  ``report`` receives per round the sequences, the partitions' summed gap to their bounds and the released pieces.
     """
-    spark = pieces.sparkSession
-    names = pieces.columns
+    pieces, names = clear_of(pieces, pieces.columns, ["sequence_id", "offset"])
+    pieces = pieces.select(*names)
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("__released", T.BooleanType()), T.StructField("__gap", T.LongType())])
 
     def once(rows: DataFrame, n: int, base: int) -> DataFrame:
@@ -144,25 +147,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds:
         dealt = rows.repartition(parts)
         return stage(dealt.mapInArrow(lambda it: _pack_partition(it, parts, capacity, names, base), schema))
 
-    rows = stage(pieces)
-    n = rows.count()
-    if not n:
-        return rows.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    packed = once(rows, n, 0)
-    finished = []
-    for base in range(1, rounds + 1):
-        sums = packed.agg(F.count_if("__released"), F.count_if(F.col("offset") == 0), F.count_if(F.col("__released") & (F.col("offset") == 0))).first()
-        released, bins, open_bins = sums
-        if report:
-            report({"round": base - 1, "sequences": bins, "released": released, "released_sequences": open_bins})
-        if not released or (n <= part):
-            break
-        again = once(packed.where("__released").select(*names), released, base)
-        new_bins = again.where("offset = 0").count()
-        if new_bins >= open_bins:
-            break
-        finished.append(packed.where("not __released"))
-        packed, n = again, released
+    with scratch() as s:
+        rows = stage(pieces)
+        n = rows.count()
+        if not n:
+            return s.keep(rows).select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        packed = s.keep(once(rows, n, 0))
+        finished = []
+        for base in count(1):
+            released, bins, open_bins = packed.agg(F.count_if("__released"), F.count_if(F.col("offset") == 0), F.count_if(F.col("__released") & (F.col("offset") == 0))).first()
+            if report:
+                report({"round": base - 1, "sequences": bins, "released": released, "released_sequences": open_bins})
+            if not released:
+                break
+            again = once(packed.where("__released").select(*names), released, base)
+            new_bins = again.where("offset = 0").count()
+            if new_bins >= open_bins:
+                break
+            finished.append(packed.where("not __released"))
+            packed = s.keep(again)
     finished.append(packed)
     out = finished[0]
     for x in finished[1:]:

@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 from . import gam, line_quality, linkgraph, packing, sharding, simhash, spm, suffix_dedup, telephony, token_counts
 from .common import crc_bucket, tidy
 
-#: Where the public vocabulary files lie.
-TOKENIZERS = os.environ.get("QALOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file: in the folder that QALOOM_TOKENIZERS names, else where its package has it."""
+    if folder := os.environ.get("QALOOM_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -36,13 +44,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+@tidy
 def packed(docs: DataFrame) -> DataFrame:
     """Packing of whole documents, with each piece's checksum in place of its ids."""
-    pieces = packing.tokenize_pieces(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    pieces = packing.tokenize_pieces(docs, tokenizer("word_bpe_49k.json"))
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 @_query
+@tidy
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
@@ -99,12 +109,12 @@ def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return token_counts.section_counts(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", ["lang", "source"])
+    return token_counts.section_counts(docs, tokenizer("byte_bpe_50k.tiktoken"), ["lang", "source"])
 
 
 @_query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = tokenizer("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "text")
     coded = spm.encode(docs, model, keep=["doc_id", "text_crc32"])
     plain = spm.decode(coded.withColumn("ids_crc32", F.crc32("ids")).withColumn("n_ids", (F.octet_length("ids") / 4).cast("long")), model, keep=["doc_id", "text_crc32", "n_ids", "ids_crc32"])
@@ -116,6 +126,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 @_query
+@tidy
 def op9_url_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linkgraph.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
     return out.withColumns({c: F.round(c, 5) for c in ("trust", "distrust")})

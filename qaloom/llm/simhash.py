@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut, text_bytes, tidy
+from .common import clear_of, connected, cut, text_bytes, tidy
 
 RADIUS = 4
 SHINGLE = 4
@@ -45,7 +45,7 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
 
 def add_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default ``doc_id``) plus the signed 64-bit fingerprint.  A null or blank text has fingerprint 0."""
-    keep = keep or ["doc_id"]
+    docs, keep = clear_of(docs, keep or ["doc_id"], [out])
     src = docs.select(*keep, text_bytes(text).alias("__text"))
     schema = src.select(*keep, F.lit(0).cast("long").alias(out)).schema
 

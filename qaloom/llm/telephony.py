@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import clear_of
+
 RATE, OUT_RATE = 8000, 16000
 ADPCM_BLOCK = 256
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
@@ -47,19 +49,20 @@ MULAW, ALAW = mulaw_table(), alaw_table()
 
 
 def decode_adpcm(blocks: np.ndarray, predictor: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Mono IMA nibbles (low one first) of many blocks at once: (blocks, 2 * bytes) samples.
+    """Mono IMA nibbles (low one first) of many blocks at once: (blocks, 1 + 2 * bytes) samples.
 
-    ``blocks`` is (n, bytes); ``predictor`` and ``index`` are each block's header state.
+    ``blocks`` is (n, bytes); ``predictor`` and ``index`` are each block's header state, the predictor being the first sample.
     """
     codes = np.stack([blocks & 15, blocks >> 4], axis=2).reshape(len(blocks), -1)
-    out = np.empty(codes.shape, np.int16)
+    out = np.empty((len(codes), 1 + codes.shape[1]), np.int16)
     p, k = predictor.astype(np.int64), index.astype(np.int64)
+    out[:, 0] = p
     for t in range(codes.shape[1]):
         c, step = codes[:, t].astype(np.int64), STEPS[k]
         diff = (step >> 3) + (step >> 2) * (c & 1) + (step >> 1) * (c >> 1 & 1) + step * (c >> 2 & 1)
         p = np.clip(np.where(c & 8, p - diff, p + diff), -32768, 32767)
         k = np.clip(k + INDEX_STEP[c], 0, 88)
-        out[:, t] = p
+        out[:, t + 1] = p
     return out
 
 
@@ -89,7 +92,8 @@ def write_wav(codec: str, payload: bytes, rate: int = RATE) -> bytes:
     """A mono WAV that holds ``payload`` unchanged as the codec's units.
 
     mu-law and A-law: one byte a sample.  ADPCM: two samples a byte, in blocks of ``ADPCM_BLOCK`` bytes with the standard
-    four-byte header (predictor 0, index 0) and zero-filled last block; the fact chunk holds the true byte count.
+    four-byte header (predictor 0, index 0) and zero-filled last block.  The fact chunk holds the number of samples: one a block
+    from its header and two a payload byte, so the payload's length can be read back from it.
     """
     if codec == "adpcm":
         size = ADPCM_BLOCK - 4
@@ -98,17 +102,21 @@ def write_wav(codec: str, payload: bytes, rate: int = RATE) -> bytes:
         flat = np.zeros(n * size, np.uint8)
         flat[: len(payload)] = np.frombuffer(payload, np.uint8)
         body[:, 4:] = flat.reshape(n, size)
-        data = body.tobytes()
+        data, samples = body.tobytes(), n + 2 * len(payload)
         per_block = 2 * size + 1
         fmt = struct.pack("<HHIIHHHH", TAGS[codec], 1, rate, rate * ADPCM_BLOCK // per_block, ADPCM_BLOCK, 4, 2, per_block)
     else:
-        data, fmt = payload, struct.pack("<HHIIHHH", TAGS[codec], 1, rate, rate, 1, 8, 0)
-    rest = b"WAVE" + _chunk(b"fmt ", fmt) + _chunk(b"fact", struct.pack("<I", len(payload))) + _chunk(b"data", data)
+        data, samples, fmt = payload, len(payload), struct.pack("<HHIIHHH", TAGS[codec], 1, rate, rate, 1, 8, 0)
+    rest = b"WAVE" + _chunk(b"fmt ", fmt) + _chunk(b"fact", struct.pack("<I", samples)) + _chunk(b"data", data)
     return b"RIFF" + struct.pack("<I", len(rest)) + rest
 
 
 def parse_wav(media: bytes) -> tuple[str, int, bytes, np.ndarray]:
-    """(codec, rate, payload, codes) of a file as ``write_wav`` makes it; codes: bytes, or ADPCM blocks with their headers."""
+    """(codec, rate, payload, codes) of a mono file; codes: bytes, or ADPCM blocks with their headers.
+
+    The payload is as long as the fact chunk's samples say, or all there is where that chunk is missing; a broken last block
+    of ADPCM is filled with zeros.
+    """
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, parts = 12, {}
@@ -118,11 +126,13 @@ def parse_wav(media: bytes) -> tuple[str, int, bytes, np.ndarray]:
         at += 8 + n + (n & 1)
     tag, _, rate, _, block = struct.unpack_from("<HHIIH", parts[b"fmt "])
     codec = {v: k for k, v in TAGS.items()}[tag]
-    data, n = parts[b"data"], struct.unpack("<I", parts[b"fact"])[0]
-    codes = np.frombuffer(data, np.uint8)
+    data = parts[b"data"]
+    samples = struct.unpack("<I", parts[b"fact"])[0] if b"fact" in parts else None
     if codec != "adpcm":
-        return codec, rate, data[:n], codes
-    blocks = codes.reshape(-1, block)
+        data = data[:samples]
+        return codec, rate, data, np.frombuffer(data, np.uint8)
+    blocks = np.frombuffer(data + bytes(-len(data) % block), np.uint8).reshape(-1, block)
+    n = blocks.size if samples is None else max(0, samples - len(blocks)) // 2
     return codec, rate, blocks[:, 4:].reshape(-1)[:n].tobytes(), blocks
 
 
@@ -137,14 +147,14 @@ def read_many(files: list[bytes]) -> list[tuple[str, int, bytes, np.ndarray]]:
     for width, which in by_width.items():
         blocks = np.concatenate([parsed[i][3] for i in which])
         heads = blocks[:, :4].copy().view("<i2")
-        out = np.empty((len(blocks), 2 * (width - 4)), np.int16)
+        out = np.empty((len(blocks), 1 + 2 * (width - 4)), np.int16)
         for at in range(0, len(blocks), 1 << 14):
             some = slice(at, at + (1 << 14))
             out[some] = decode_adpcm(blocks[some, 4:], heads[some, 0], np.minimum(blocks[some, 2], 88))
         at = 0
         for i in which:
             n = len(parsed[i][3])
-            pcm[i] = out[at : at + n].reshape(-1)[: 2 * len(parsed[i][2])]
+            pcm[i] = out[at : at + n].reshape(-1)[: n + 2 * len(parsed[i][2])]
             at += n
     table = {"mulaw": MULAW, "alaw": ALAW}
     return [(c, rate, payload, pcm[i] if i in pcm else table[c][codes]) for i, (c, rate, payload, codes) in enumerate(parsed)]
@@ -162,7 +172,12 @@ def features(pcm: np.ndarray, rate: int) -> str:
 
 
 def store_payloads(rows: DataFrame, payload: str, codec: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns plus ``media`` (the WAV file) of each binary ``payload`` under the codec named in column ``codec``."""
+    """``keep`` columns plus ``media`` (the WAV file) of each binary ``payload`` under the codec named in column ``codec``.
+
+    A null payload or codec gives a null file, an unknown codec raises.  Repeated rows get equal files, an empty table gives an
+    empty result, and a kept column named ``media`` gets an underscore.
+    """
+    rows, keep = clear_of(rows, keep, ["media"])
     src = rows.select(*keep, F.col(payload).alias("__p"), F.col(codec).alias("__c"))
     schema = T.StructType([*src.schema.fields[: len(keep)], T.StructField("media", T.BinaryType())])
     k = len(keep)
@@ -170,7 +185,7 @@ def store_payloads(rows: DataFrame, payload: str, codec: str, keep: list[str]) -
     def run(batches):
         for whole in batches:
             for b in _slices(whole, k):
-                media = [write_wav(c, p) for p, c in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True)]
+                media = [None if p is None or c is None else write_wav(c, p) for p, c in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(media, pa.binary())], names=schema.names)
 
     return src.mapInArrow(run, schema)
@@ -179,8 +194,9 @@ def store_payloads(rows: DataFrame, payload: str, codec: str, keep: list[str]) -
 def decode_media(rows: DataFrame, media: str, keep: list[str], out_rate: int = OUT_RATE) -> DataFrame:
     """``keep`` columns plus what a stored file holds: ``codec, payload, rate, pcm`` (resampled, little-endian 16-bit), ``feature``.
 
-    A null file gives nulls; a damaged one raises.
+    A null file gives nulls; a damaged one raises.  Kept columns named like a new one get an underscore.
     """
+    rows, keep = clear_of(rows, keep, ["codec", "payload", "rate", "pcm", "feature"])
     src = rows.select(*keep, F.col(media).alias("__m"))
     k = len(keep)
     fields = (("codec", T.StringType()), ("payload", T.BinaryType()), ("rate", T.IntegerType()), ("pcm", T.BinaryType()), ("feature", T.StringType()))

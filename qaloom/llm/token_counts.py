@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import clear_of
+
 #: first: the section of a token's first byte; last: of its last byte; most: of most of its bytes (ties: the earlier one).
 RULES = ("first", "last", "most")
 #: The split pattern of the byte-level vocabulary (a fixed value of that tokenizer).
@@ -63,11 +65,12 @@ def section_counts(docs: DataFrame, vocabulary: str, fields: list[str], body: st
 
     A document is its ``fields`` and then its ``body``, each ended by a newline (the body is not); every field is a section
     and so is every line of the body with its newline.  Null fields count as empty.  A section that is empty (as of an empty body) still has a row.
+    Repeated rows are counted each, an empty table gives an empty result, a kept column named like a new one gets an underscore.
     Counts of a document's sections sum to the tokens of the whole document.  Character offsets are in code points.
     """
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule}")
-    keep = keep or ["doc_id"]
+    docs, keep = clear_of(docs, keep or ["doc_id"], ["field", "section", "char_start", "char_end", "n_tokens", "n_crossing"])
     whole = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__{i}") for i, c in enumerate([*fields, body])]
     src = docs.select(*keep, *whole)
     own = (("field", T.StringType()), ("section", T.IntegerType()), ("char_start", T.LongType()), ("char_end", T.LongType()), ("n_tokens", T.LongType()), ("n_crossing", T.LongType()))

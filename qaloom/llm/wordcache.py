@@ -101,12 +101,16 @@ class WordMerges:
         for token, i in vocab.items():
             if all(c in letters for c in token.removesuffix(suffix)):
                 known[raw(token)] = i
-        self.id_bytes = [np.array([known.get(t, 0)], "<u4").tobytes() for t, _ in sorted(ranks.items(), key=lambda kv: kv[1])]
+        #: None: a symbol that the vocabulary lacks; meeting it is an error, never another id
+        self.id_bytes = [np.array([known[t]], "<u4").tobytes() if t in known else None for t, _ in sorted(ranks.items(), key=lambda kv: kv[1])]
         self.core = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def encode(self, word: bytes) -> bytes:
         ids = self.id_bytes
-        return b"".join([ids[r] for r in self.core.encode_single_piece(word + self.END)])
+        got = [ids[r] for r in self.core.encode_single_piece(word + self.END)]
+        if None in got:
+            raise ValueError("the vocabulary lacks a symbol of " + repr(word))
+        return b"".join(got)
 
 
 _BLANK = str.maketrans("\t\n\r\x0b\x0c", "     ")

@@ -46,10 +46,32 @@ def test_files_hold_payloads(codec):
     if codec == "adpcm":
         size = telephony.ADPCM_BLOCK - 4
         for p, (*_, pcm) in zip(payloads, got):
-            want = [s for at in range(0, len(p), size) for s in slow_adpcm(p[at : at + size])]
+            want = [s for at in range(0, len(p), size) for s in [0, *slow_adpcm(p[at : at + size])]]
             assert pcm.tolist() == want
 
 
+def test_files_of_others(spark):
+    """Nulls, files without a fact chunk, a header state that is not zero, and a kept column that clashes."""
+    import struct
+
+    def wav(fmt, data, fact=None):
+        chunk = lambda n, b: n + struct.pack("<I", len(b)) + b + bytes(len(b) & 1)
+        body = b"WAVE" + chunk(b"fmt ", fmt) + (chunk(b"fact", struct.pack("<I", fact)) if fact is not None else b"") + chunk(b"data", data)
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    plain = wav(struct.pack("<HHIIHH", 7, 1, 8000, 8000, 1, 8), b"abc")
+    blocks = struct.pack("<hBB", -500, 9, 0) + bytes(range(60))
+    adpcm = wav(struct.pack("<HHIIHHHH", 17, 1, 8000, 4055, 64, 4, 2, 121), blocks, 1 + 2 * 50)
+    (_, _, p, pcm), (_, _, q, heard) = telephony.read_many([plain, adpcm])
+    assert p == b"abc" and pcm.tolist() == telephony.MULAW[list(b"abc")].tolist()
+    assert q == bytes(range(50)) and heard.tolist() == [-500, *slow_adpcm(bytes(range(50)), -500, 9)]
+    df = spark.createDataFrame([(1, None, "alaw", "m"), (2, b"xy", None, "m"), (3, b"xy", "alaw", "m")], "id int, p binary, c string, media string")
+    stored = telephony.store_payloads(df, "p", "c", ["id", "media"])
+    assert [(r.id, r.media is None, r.media_) for r in stored.orderBy("id").collect()] == [(1, True, "m"), (2, True, "m"), (3, False, "m")]
+    back = telephony.decode_media(stored, "media", ["id"]).orderBy("id").collect()
+    assert [(r.codec, r.payload) for r in back] == [(None, None), (None, None), ("alaw", b"xy")]
+
+
 def test_resampling():
     x = np.array([0, 100, -100], np.int16)
     assert telephony.resample(x, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -100]
@@ -114,6 +136,15 @@ def test_propagation_equals_power_iteration(spark):
     assert all(abs(p[i] - got.get(f"h{i}", 0.0)) < 1e-9 for i in range(n))
 
 
+def test_walk_settles_or_raises(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, n double")
+    seeds = spark.createDataFrame([("a", 2.0)], "host string, weight double")
+    got = {r.host: r["rank"] for r in linkgraph.propagate(seeds, edges).collect()}
+    assert abs(got["a"] - 0.15 / (1 - 0.85**2)) < 1e-6 and abs(got["b"] - 0.85 * got["a"]) < 1e-6
+    with pytest.raises(RuntimeError):
+        linkgraph.propagate(seeds, edges, rounds=12)
+
+
 def test_query_equals_sql_on_a_linked_graph(spark, tmp_path):
     import duckdb
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from qaloom.llm import gam, line_quality, packing, sharding, spm, token_counts, wordcache
-from qaloom.llm.queries import TOKENIZERS
+from qaloom.llm.queries import tokenizer
 
 ODD = [(1, "One two, three. <|endoftext|> it's"), (1, "One two, three. <|endoftext|> it's"), (2, None), (3, ""), (None, "Ünïcode ÉÀ ſ İi Σας ½ 1234 a.b,c \x1c\x85  z"), (4, "w " * 9000), (5, "\U0001f600" * 30 + "\n\t\r\x0b\x0c x_y")]
 
@@ -22,8 +22,8 @@ def odd(spark):
 def test_pieces_and_packing(spark, odd):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
-    rows = packing.pack(packing.tokenize_pieces(odd, f"{TOKENIZERS}/word_bpe_49k.json"), part=4).collect()
+    tok = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    rows = packing.pack(packing.tokenize_pieces(odd, tokenizer("word_bpe_49k.json")), part=4).collect()
     want = []
     for i, t in ODD:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
@@ -37,7 +37,7 @@ def test_pieces_and_packing(spark, odd):
     for p in places.values():
         p.sort()
         assert p[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(p, p[1:])) and p[-1][0] + p[-1][1] <= 2048
-    assert packing.pack(packing.tokenize_pieces(odd.limit(0), f"{TOKENIZERS}/word_bpe_49k.json")).count() == 0
+    assert packing.pack(packing.tokenize_pieces(odd.limit(0), tokenizer("word_bpe_49k.json"))).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -67,13 +67,36 @@ def test_word_tokenizer_parity():
 
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = tokenizer("word_bpe_49k.json")
     tok, enc, rng = Tokenizer.from_file(path), wordcache.SpacedBpe(path, packing.WORD_PIECES, cap=50), random.Random(0)
     alphabet = " \n\t\x1c\x85\xa0abCDéÉßµªº²½019.,;!?'’\"|<>_-ΣσςİǰJ̌́…日本語<|endoftext|>it's we'RE"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_tokenizer_parity_on_documents(sf):
+    """All of sf0.01, ids by the library, text by text."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    texts = [t or "" for t in pq.read_table(f"{sf.rsplit('/', 1)[0]}/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in wordcache.SpacedBpe(path, packing.WORD_PIECES).encode(texts)] == want
+    merges = wordcache.WordMerges({"a</w>": 0}, [], "</w>")
+    with pytest.raises(ValueError):
+        merges.encode(b"b")
+
+
+def test_kept_names_that_clash(spark, odd):
+    df = odd.withColumns({c: F.lit("mine") for c in ("piece", "offset", "sequence_id", "field", "section", "out")})
+    rows = packing.pack(packing.tokenize_pieces(df, tokenizer("word_bpe_49k.json"), keep=["doc_id", "piece", "offset", "sequence_id"])).collect()
+    assert {(r.piece_, r.offset_, r.sequence_id_) for r in rows} == {("mine",) * 3} and {r.offset for r in rows} > {0}
+    rows = token_counts.section_counts(df, tokenizer("byte_bpe_50k.tiktoken"), [], keep=["doc_id", "field", "section"]).collect()
+    assert {(r.field, r.field_, r.section_) for r in rows} == {("text", "mine", "mine")}
+    assert {r.out_ for r in spm.encode(df, tokenizer("piece_bpe_32k.model"), keep=["out"], out="out").collect()} == {"mine"}
+
+
 def test_sharding(spark, odd):
     r = sharding.shard_rows(odd, shards=3).collect()
     assert sorted(x.position for x in r) == list(range(len(ODD)))
@@ -114,6 +137,23 @@ def test_line_quality(spark):
     assert line_quality.clean_documents(df.limit(0)).count() == 0
 
 
+def brute_features(t, squeeze):
+    import re
+
+    raw = t.encode()
+    w = re.findall(rb"[^ \t\n\r\x0b\x0c]+", raw)
+    if not w:
+        return [0.0] * len(gam.FEATURES)
+    n, lines = len(raw), [x.rstrip() for x in raw.split(b"\n") if x.strip()]
+    share = lambda ok: sum(map(ok, raw)) / n
+    return [
+        float(np.log1p(len(w))), sum(map(len, w)) / len(w), share(lambda c: c in b"#*$%&|<>"), share(lambda c: c == 33), share(lambda c: 65 <= c <= 90),
+        share(lambda c: 48 <= c <= 57), share(lambda c: c > 127), len(set(w)) / len(w), sum(a == b for a, b in zip(w, w[1:])) / len(w),
+        sum(c in b".," for c in raw) / len(w), len(w) / len(lines), sum(x[-1] in b".!?" for x in lines) / len(lines), 1 - len(set(lines)) / len(lines),
+        len(squeeze.compress(raw)) / n, float(max(map(len, w))),
+    ]
+
+
 def test_gam(spark, odd, sf):
     docs, labels = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/documents.parquet"), spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/labels.parquet")
     model = gam.fit(docs, labels)
@@ -123,6 +163,20 @@ def test_gam(spark, odd, sf):
     assert auc > 0.95 and (good >= gam.THRESHOLD).mean() > 0.95
     scored = gam.score(odd, model, keep=["doc_id", "score"], out="__s").collect()
     assert len(scored) == len(ODD) and all(0 <= r["__s"] <= 1 for r in scored)
+    # scores and features against plain versions: look-ups one by one
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1)
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 200").collect()}
+    plain = {r.doc_id: r.score for r in gam.score(docs.where("doc_id < 200"), model).collect()}
+    for i, t in texts.items():
+        x = brute_features(t or "", squeeze)
+        z = model.base + sum(table[sum(v >= e for e in edges)] for v, edges, table in zip(x, model.edges, model.tables))
+        z += sum(table[sum(x[a] >= e for e in model.coarse[a])][sum(x[b] >= e for e in model.coarse[b])] for (a, b), table in zip(model.pairs, model.pair_tables))
+        assert abs(plain[i] - 1 / (1 + np.exp(-z))) < 1e-9, i
+    twice = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    a, b = gam.fit(twice, labels, max_train=50), gam.fit(twice.repartition(7), labels, max_train=50)
+    assert a.base == b.base and all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables))
     none = gam.fit(odd, labels.limit(0))
     assert gam.score(odd, none).first().score == 0.5
     one = gam.fit(docs, labels.where("quality = 1"))
@@ -136,9 +190,9 @@ def test_gam(spark, odd, sf):
 def test_token_counts(spark, odd):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
     df = odd.withColumn("lang", F.lit("en")).withColumn("field", F.lit(None).cast("string"))
-    rows = token_counts.section_counts(df, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", ["lang", "field"]).toPandas()
+    rows = token_counts.section_counts(df, tokenizer("byte_bpe_50k.tiktoken"), ["lang", "field"]).toPandas()
     for i, t in {i: t for i, t in ODD if i != 1}.items():
         text = "en\n\n" + (t or "")
         tok.encode_special_tokens = True
@@ -159,7 +213,7 @@ def test_token_counts(spark, odd):
 def test_sentencepiece_parity(spark, odd):
     import sentencepiece
 
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = tokenizer("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = spm.encode(odd, path).collect()
     want = {(i, tuple(sp.encode(t or ""))) for i, t in ODD}
@@ -184,15 +238,17 @@ def test_sentencepiece_unigram_model():
 
     pieces = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("▁a", -1.0, 1), ("b", -2.0, 1), ("ab", -1.5, 1), ("a", -2.5, 1), ("▁ab", -1.2, 1)]
     buf = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in pieces)
+    pieces.append(("bab", 0.0, 4))
+    buf += field(1, 2, field(1, 2, b"bab") + field(2, 5, struct.pack("<f", 0.0)) + field(3, 0, b"\x04"))
     buf += field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(1, 2, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x01"))
     sp = sentencepiece.SentencePieceProcessor(model_proto=buf)
     m = spm.parse_model(buf)
-    assert (m.kind, len(m.pieces), m.remove_extra_whitespaces) == (spm.UNIGRAM, 7, True)
+    assert (m.kind, len(m.pieces), m.remove_extra_whitespaces) == (spm.UNIGRAM, 8, True)
     import tempfile
 
     with tempfile.NamedTemporaryFile(suffix=".model") as f:
         f.write(buf)
         f.flush()
         codec = spm.Codec(f.name, 1)
-        for t in ("ab", "a ab  b", "abab aab", "b", ""):
+        for t in ("ab", "a ab  b", "abab aab", "b", "", "abab", "bab", "aababb babbab"):
             assert np.frombuffer(next(iter(codec.encode([t]))), "<u4").tolist() == sp.encode(t), t
