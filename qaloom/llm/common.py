@@ -110,9 +110,14 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
 
     ``parts`` bounds the files: small results of many shuffle partitions then do not become as many tiny files.
     """
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
     out = (df.coalesce(parts) if parts else df).checkpoint(eager=True)
-    return written(out, out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    # a checkpoint inherits its plan's size estimate, a product over all joins: carried from cut to cut it gets millions of
+    # digits long.  Read as a plain source, the table has the default estimate, and adaptive execution sees real sizes.
+    rdd = out._jdf.queryExecution().analyzed().rdd()
+    plain = spark._jsparkSession.internalCreateDataFrame(rdd, out._jdf.schema(), False)
+    return written(DataFrame(plain, spark), rdd.getCheckpointFile().get())
 
 
 def parts_for(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
