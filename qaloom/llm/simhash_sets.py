@@ -4,11 +4,12 @@ Documents with equal sets are one node, with a ``64 * WORDS``-bit SimHash of its
 some 15 % of the bits, ``RADIUS`` of ``128`` leaves out one such pair in 10^5.  At that radius pigeonhole blocks would have
 3 bits, so the blocks inside which fingerprints are compared come from MinHash bands (``ROWS`` of ``BANDS * ROWS`` minima; a
 pair at 0.8 shares none with probability ``(1 - 0.8 ** ROWS) ** BANDS``, 3e-6).  What the fingerprints let through is confirmed on
-the exact sets, in three steps that never list the pairs inside a group:
+the exact sets, in two steps that never list the pairs inside a group:
 
 1. every node with the nearest of its blocks' centres (another member in each block);
-2. of each two groups that a centre links, the nearest pair;
-3. in blocks that still hold several groups, all pairs of different groups, by the bit-sliced counters of ``simhash``.
+2. in blocks that still hold several groups, members of different groups by the bit-sliced counters of ``simhash``; what they
+   let through is confirmed inside the block's task, and a block gives a spanning forest of its links.  Blocks of more than
+   ``CAP`` members are compared chunk by chunk, every two chunks in a task of their own.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SHINGLE = 5
 ALIKE = (4, 5)
 WORDS, RADIUS = 2, 41
 BANDS, ROWS = 24, 4
+CAP = 512
 _STEP = 512
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _A, _B = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -148,35 +150,56 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(_links, "a long, b long"))
 
 
-def _near_in_block(batches):
-    """Rows ``key, root`` and a node's columns, sorted by key: the near pairs of different roots in each run of equal keys.
-
-    Blocks are held one at a time, as numbers; the bit-sliced counters go over it query by query.
-    """
+def _block_links(root: np.ndarray, node: np.ndarray, size: np.ndarray, fps: np.ndarray, z: pa.ChunkedArray) -> list[tuple[int, int]]:
+    """Links between members of different roots that join all roots which near copies join."""
+    n = len(node)
+    planes, words = _planes(fps), -(-n // 64)
+    step = max(1, (1 << 15) // words)
+    above: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+    d, links = zstandard.ZstdDecompressor(), []
+
+    def find(r: int) -> int:
+        while (up := above.get(r, r)) != r:
+            r = up
+        return r
+
+    def made(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(d.decompress(z[i].as_buffer()))
+        return sets[i]
+
+    for at in range(0, n, step):
+        q = np.repeat(np.arange(at, min(n, at + step)), words)
+        w = np.tile(np.arange(words), len(q) // words)
+        live, mask = near_masks(planes, fps[q], w, RADIUS)
+        r, lane = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        x, y = q[live[r]], w[live[r]] * 64 + lane
+        ok = y < x  # the padding lanes lie behind all members
+        x, y = x[ok], y[ok]
+        ok = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * ALIKE[1] >= np.maximum(size[x], size[y]) * ALIKE[0])
+        for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+            a, b = find(int(root[i])), find(int(root[j]))
+            if a != b and alike(made(i), made(j)):
+                above[max(a, b)] = min(a, b)
+                links.append((int(node[i]), int(node[j])))
+    return links
+
+
+def _near_in_blocks(batches):
+    """Rows ``key, root``, a node's columns and its compressed text, sorted by key: the links of each run of equal keys."""
     carry: pa.Table | None = None
 
-    def pairs(t: pa.Table):
-        key, root, node, size, *fp = (c.to_numpy() for c in t.columns)
+    def links(t: pa.Table):
+        key, root, node, size, *fp = (c.to_numpy() for c in t.columns[:-1])
+        fps = np.stack(fp, 1).view(np.uint64)
         edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            n = hi - lo
-            if n < 2:
+            if hi - lo < 2:
                 continue
-            own = np.stack([c[lo:hi] for c in fp], 1).view(np.uint64)
-            planes, words = _planes(own), -(-n // 64)
-            step = max(1, (1 << 15) // words)
-            for at in range(0, n, step):
-                q = np.repeat(np.arange(at, min(n, at + step)), words)
-                w = np.tile(np.arange(words), len(q) // words)
-                live, mask = near_masks(planes, own[q], w, RADIUS)
-                r, lane = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-                x, y = lo + q[live[r]], lo + w[live[r]] * 64 + lane
-                ok = y < x  # the padding lanes lie behind all members
-                x, y = x[ok], y[ok]
-                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-                ok = (root[x] != root[y]) & (small * ALIKE[1] >= large * ALIKE[0])
-                x, y = x[ok], y[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[x], node[y])), pa.array(np.minimum(node[x], node[y]))], names=["a", "b"])
+            found = _block_links(root[lo:hi], node[lo:hi], size[lo:hi], fps[lo:hi], t.column(t.num_columns - 1).slice(lo, hi - lo))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -185,10 +208,10 @@ def _near_in_block(batches):
             continue
         key = t.column(0).to_numpy()
         cutoff = int(np.flatnonzero(key == key[-1])[0])
-        yield from pairs(t.slice(0, cutoff))
+        yield from links(t.slice(0, cutoff))
         carry = t.slice(cutoff)
     if carry is not None:
-        yield from pairs(carry)
+        yield from links(carry)
 
 
 def _rooted(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -211,34 +234,18 @@ def _linked(marked: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     centre = cut(shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("o"), *_OWN)).alias("c")).select("key", "c.*"))
     to_centre = shared.alias("x").join(centre.alias("y"), "key").where((F.col("x.node") != F.col("y.node")) & _fits(F.col("x.size"), F.col("y.size")))
     to_centre = to_centre.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _distance("x", "y").alias("d")).where(F.col("d") <= RADIUS)
-    first = cut(to_centre.groupBy("a", "b").agg(F.first("d").alias("d")))
-    nearest = cut(first.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")))
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = cut(nodes.select("node", "d.d1", "d.d2").join(ends, "node"))
-        plain = rows.select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), text_bytes(text).alias("__text")).mapInArrow(_squeezed, "d1 long, d2 long, z binary")
-        return cut(plain.join(wanted, ["d1", "d2"]).select("node", "z").dropDuplicates(["node"]))
-
-    texts = texts_of(first)
+    nearest = cut(to_centre.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")))
+    wanted = cut(nodes.select("node", "d.d1", "d.d2").join(shared.select("node").distinct(), "node"))
+    plain = rows.select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), text_bytes(text).alias("__text")).mapInArrow(_squeezed, "d1 long, d2 long, z binary")
+    texts = cut(plain.join(wanted, ["d1", "d2"]).select("node", "z").dropDuplicates(["node"]))
     labels = cut(connected(_confirmed(nearest, texts)))
-
-    def ends_of(pairs: DataFrame) -> DataFrame:
-        x, y = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-        both = pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
-        return both.where("ra <> rb")
-
-    across = cut(ends_of(first).groupBy(F.least("ra", "rb").alias("p"), F.greatest("ra", "rb").alias("q")).agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("e")).select("e.*"))
-    tried = cut(nearest.union(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if not across.isEmpty():
-        labels = _rooted(labels, _confirmed(across, texts))
     named = cut(shared.join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("root"), *_OWN))
-    mixed = cut(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
-    blocks = named.join(mixed, "key").repartition("key").sortWithinPartitions("key").select("key", "root", *_OWN)
-    rest = cut(blocks.mapInArrow(_near_in_block, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = _rooted(labels, _confirmed(rest, texts.unionByName(texts_of(rest).join(texts.select("node"), "node", "left_anti"))))
-    return labels
+    mixed = cut(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
+    chunks = F.ceil(F.col("n") / CAP)
+    tile = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64("key", F.least("c", j), F.greatest("c", j)))
+    tiled = named.join(mixed, "key").withColumn("c", F.pmod(F.xxhash64(F.lit(77), "node"), chunks)).select(F.explode(tile).alias("tile"), "root", *_OWN)
+    blocks = tiled.join(texts, "node").select("tile", "root", *_OWN, "z").repartition("tile").sortWithinPartitions("tile")
+    return _rooted(labels, cut(blocks.mapInArrow(_near_in_blocks, "a long, b long").distinct()))
 
 
 def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
