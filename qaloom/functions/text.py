@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,9 +14,15 @@ WORD = r"[\p{L}\p{N}_]+"
 #: Spellings of a category that mean the same (fixed values).
 CATEGORY_ALIASES = {"Medial-Lateral Orientation": "Medial-Lateral Orientation (Centricity)"}
 #: Control strings that generation leaves in a text (fixed values).
-CONTROL_TOKENS = ("<s>", "</s>", "<pad>", "<unk>", "<image>")
+CONTROL_TOKENS = ("<|begin_of_text|>", "<|end_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>")
 #: Ordered suffixes of judgment file names (fixed values).
-JUDGE_SUFFIXES = ("_gpt_eval", "_gemini_eval", "_qwen_eval", "_full_predictions", "_predictions", "_eval")
+JUDGE_SUFFIXES = ("_gemini2.5_eval_full.json", "_gemini2.5_eval_fixed.json", "_gemini2.5_eval.json", "_gemini_eval.json", "_gpt_eval.json", "_qwen_eval.json")
+#: Ordered suffixes of prediction file names (fixed values).
+PREDICTION_SUFFIXES = ("_predictions_full.jsonl", "_predictions.jsonl")
+#: Ordered literal repairs of a broken JSON list (fixed values).
+JSON_REPAIRS = ((",\n]", "\n]"), (", ]", "]"), (",]", "]"), ('"}  {', '"}, {'), ("}\n  {", "},\n  {"))
+#: One item of a Python list literal: a quoted string with escapes, a name or a number.
+LITERAL = r"""(?:'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|None|True|False|[-+]?\d+(?:\.\d+)?)"""
 FENCE = "`" * 3
 
 
@@ -23,6 +30,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda variable is bound, a column would be copied into its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text by Unicode word characters; null and empty have none."""
     return F.size(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(f"({WORD})"), F.lit(0))).cast("long")
@@ -50,16 +62,18 @@ def default_text(text: str | Column, fallback: str) -> Column:
 
 def strip_code_fence(text: str | Column, language: str = "json") -> Column:
     """A fenced block's body: backticks and newlines at both ends go, then a leading language line; other text is stripped."""
-    t = strip(text)
-    body = F.regexp_replace(t, "^[`\n]+|[`\n]+$", "")
-    body = F.regexp_replace(body, rf"^{language}\s*\n", "")
-    return F.when(t.startswith(FENCE), strip(F.regexp_replace(body, rf"^{language}(?=[\[{{])", ""))).otherwise(t)
+
+    def unfenced(t: Column) -> Column:
+        body = F.regexp_replace(t, "^[`\n]+|[`\n]+$", "")
+        body = F.regexp_replace(body, rf"^{language}\s*\n", "")
+        return F.when(t.startswith(FENCE), strip(F.regexp_replace(body, rf"^{language}(?=[\[{{])", ""))).otherwise(t)
+
+    return let(strip(text), unfenced)
 
 
 def sanitize_json(text: str | Column) -> Column:
     """Ordered literal repairs: commas before a closing bracket go, missing commas between objects come in."""
-    steps = ((",\n]", "\n]"), (",]", "]"), ("}\n{", "},\n{"), ("} {", "}, {"), ("}{", "},{"))
-    return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), steps, _c(text))
+    return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), JSON_REPAIRS, _c(text))
 
 
 def _last(text: Column, mark: str) -> Column:
@@ -85,23 +99,38 @@ def repair_list(text: str | Column) -> Column:
 
 def parse_list(text: str | Column, element: T.DataType, lenient: bool = True) -> Column:
     """Tolerant parse of a JSON list: as it is, its bracketed part, that part with newlines escaped, and last (lenient) the repaired one."""
-    t = strip_code_fence(text)
     kind = T.ArrayType(element)
-    inner = extract_list(t)
-    tries = [t, inner, F.replace(inner, F.lit("\n"), F.lit("\\n")), sanitize_json(inner)]
-    if lenient:
-        tries.append(repair_list(t))
-    return F.coalesce(*(F.from_json(x, kind) for x in tries))
+
+    def tried(t: Column) -> Column:
+        parts = let(extract_list(t), lambda x: F.coalesce(*(F.from_json(y, kind) for y in (x, F.replace(x, F.lit("\n"), F.lit("\\n")), sanitize_json(x)))))
+        return F.coalesce(F.from_json(t, kind), parts, *([F.from_json(repair_list(t), kind)] if lenient else []))
+
+    return let(strip_code_fence(text), tried)
 
 
 def parse_categories(text: str | Column) -> Column:
-    """A list of labels from a JSON list, else from double-quoted, else from single-quoted strings; blanks go, labels are stripped."""
-    t = strip_code_fence(text, "python")
-    t = strip_code_fence(t, "json")
-    double = F.regexp_extract_all(t, F.lit('"([^"]*)"'), F.lit(1))
-    single = F.regexp_extract_all(t, F.lit("'([^']*)'"), F.lit(1))
-    got = F.coalesce(F.from_json(t, T.ArrayType(T.StringType())), F.when(F.size(double) > 0, double), F.when(F.size(single) > 0, single), F.array().cast("array<string>"))
-    return F.filter(F.transform(got, strip), lambda x: x.isNotNull() & (x != ""))
+    """A list of labels from a JSON list, else from a Python list literal, else from quoted strings between brackets.
+
+    Of the last, double-quoted strings come before single-quoted ones.  Empty items and None go, labels are stripped.
+    """
+
+    def item(x: Column) -> Column:
+        body = F.substring(x, F.lit(2), F.length(x) - 2)
+        for escape, char in (("\\n", "\n"), ("\\t", "\t"), ("\\'", "'"), ('\\"', '"')):
+            body = F.regexp_replace(body, r"(?<!\\)((?:\\\\)*)\\" + escape[1], "$1" + char)
+        body = F.replace(body, F.lit("\\\\"), F.lit("\\"))
+        return F.when(x.rlike("^['\"]"), body).when(x.rlike(r"^(None|False|[-+]?0+(\.0+)?)$"), F.lit(None)).otherwise(x)
+
+    def parsed(t: Column) -> Column:
+        literal = F.when(t.rlike(rf"^\[\s*(?:{LITERAL}\s*(?:,\s*{LITERAL}\s*)*+(?:,\s*)?)?\]$"), F.transform(F.regexp_extract_all(t, F.lit(f"({LITERAL})"), F.lit(1)), item))
+        boxed = t.rlike(r"(?s)^\[.*\]$")
+        double = F.regexp_extract_all(t, F.lit('"([^"]*)"'), F.lit(1))
+        single = F.regexp_extract_all(t, F.lit("'([^']*)'"), F.lit(1))
+        quoted = F.when(boxed & (F.size(double) > 0), double).when(boxed & (F.size(single) > 0), single)
+        got = F.coalesce(F.from_json(t, T.ArrayType(T.StringType())), literal, quoted, F.array().cast("array<string>"))
+        return F.filter(F.transform(got, strip), lambda x: x.isNotNull() & (x != ""))
+
+    return let(strip_code_fence(strip_code_fence(text, "python"), "json"), parsed)
 
 
 def canonical_categories(labels: str | Column) -> Column:
@@ -136,11 +165,11 @@ def response_text(text: str | Column, parts: str | Column) -> Column:
 
 
 def model_of_file(name: str | Column) -> Column:
-    """File stem without the first judge suffix that fits."""
-    stem = F.regexp_replace(F.element_at(F.split(_c(name), "/"), -1), r"\.(jsonl|json|csv)$", "")
-    out = stem
-    for s in reversed(JUDGE_SUFFIXES):
-        out = F.when(stem.endswith(s), F.substring(stem, F.lit(1), F.length(stem) - len(s))).otherwise(out)
+    """File name without the first judge or prediction suffix that fits, else its stem."""
+    file = F.element_at(F.split(_c(name), "/"), -1)
+    out = F.regexp_replace(file, r"\.(jsonl|json|csv)$", "")
+    for s in reversed((*JUDGE_SUFFIXES, *PREDICTION_SUFFIXES)):
+        out = F.when(file.endswith(s), F.substring(file, F.lit(1), F.length(file) - len(s))).otherwise(out)
     return out
 
 

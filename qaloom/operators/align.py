@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.paths import normalize_image_id
+from ..functions.text import normalize
+
 
 def with_occurrence(rows: DataFrame, keys: list[str], order: list[str], out: str = "occ") -> DataFrame:
     """The 0-based occurrence number of each row among those with its key."""
@@ -18,19 +21,30 @@ def occurrence_join(left: DataFrame, right: DataFrame, keys: list[str], left_ord
     return a.join(b.select(*keys, "occ", *values), [*keys, "occ"], "left")
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Question and answer stripped, null being empty."""
+    return rows.withColumns({c: normalize(c) for c in ("question", "answer")})
+
+
 def assign_question_ids(predictions: DataFrame, questions: DataFrame) -> DataFrame:
-    """Predictions with ``qid`` by (image_id, question, answer) and occurrence; else ``image::pos`` or ``unknown::pos``."""
-    got = occurrence_join(predictions, questions, ["image_id", "question", "answer"], ["pos"], ["qid"], ["qid"])
-    image = F.coalesce(F.nullif("image_id", F.lit("")), F.lit("unknown"))
-    return got.withColumn("qid", F.coalesce("qid", F.concat(image, F.lit("::"), F.col("pos").cast("string")))).drop("occ")
+    """Predictions with ``qid`` by (image_id, question, answer) and occurrence; else ``image::pos`` or ``unknown::pos``.
+
+    Questions and answers are compared stripped, null as empty.  A prediction's image is brought to its volume's file name; none
+    counts as empty.
+    """
+    image = F.when(F.coalesce("image_id", F.lit("")) != "", normalize_image_id("image_id")).otherwise(F.lit(""))
+    got = occurrence_join(_keyed(predictions).withColumn("image_id", image), _keyed(questions), ["image_id", "question", "answer"], ["pos"], ["qid"], ["qid"])
+    named = F.coalesce(F.nullif("image_id", F.lit("")), F.lit("unknown"))
+    return got.withColumn("qid", F.coalesce("qid", F.concat(named, F.lit("::"), F.col("pos").cast("string")))).drop("occ")
 
 
 def fifo_question_ids(judgments: DataFrame, predictions: DataFrame) -> DataFrame:
     """Judgments with the ``qid`` of the first unused prediction of the same question and answer of their model.
 
-    Images are ignored, as judgments carry none; an unmatched row becomes ``unknown::model::pos``.
+    Images are ignored, as judgments carry none; texts are compared stripped, null as empty; an unmatched row becomes
+    ``unknown::model::pos``.
     """
-    got = occurrence_join(judgments, predictions, ["model", "question", "answer"], ["pos"], ["pos"], ["qid"])
+    got = occurrence_join(_keyed(judgments), _keyed(predictions), ["model", "question", "answer"], ["pos"], ["pos"], ["qid"])
     return got.withColumn("qid", F.coalesce("qid", F.concat(F.lit("unknown::"), "model", F.lit("::"), F.col("pos").cast("string")))).drop("occ")
 
 

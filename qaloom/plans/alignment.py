@@ -10,29 +10,35 @@ from . import _data as D
 from .registry import query
 
 _KEY = "md5(text)"
+#: Questions of two in three documents belong to another image, so their predictions find none.
+_IMAGE = "(lang || CASE WHEN doc_id % 3 = 0 THEN '.nii.gz' ELSE '.other.nii.gz' END)"
+#: Judgments of even documents have a question that nobody was asked.
+_ASKED = "(md5(text) || CASE WHEN doc_id % 2 = 0 THEN '?' ELSE '' END)"
 
 
 def _docs(spark, sf):
     return D.documents(spark, sf).select("doc_id", "source", "lang", F.md5(F.col("text").cast("binary")).alias("question"))
 
 
-@query("occurrence_join", f"""WITH p AS (SELECT doc_id AS pos, lang AS image_id, {_KEY} AS question, row_number() OVER (PARTITION BY lang, {_KEY} ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0),
- q AS (SELECT 'id' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS qid, lang AS image_id, {_KEY} AS question, row_number() OVER (PARTITION BY lang, {_KEY} ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 = 0)
+@query("occurrence_join", f"""WITH p AS (SELECT doc_id AS pos, lang || '.nii.gz' AS image_id, {_KEY} AS question, row_number() OVER (PARTITION BY lang, {_KEY} ORDER BY doc_id) AS k FROM documents),
+ q AS (SELECT 'id' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS qid, {_IMAGE} AS image_id, {_KEY} AS question, row_number() OVER (PARTITION BY {_IMAGE}, {_KEY} ORDER BY doc_id) AS k FROM documents)
  SELECT pos, coalesce(qid, image_id || '::' || CAST(pos AS VARCHAR)) AS qid FROM p LEFT JOIN q USING (image_id, question, k)""")
 def occurrence_join(spark, sf):
-    d = _docs(spark, sf).withColumn("answer", F.lit("")).withColumnRenamed("lang", "image_id")
-    p = d.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "pos")
-    q = d.where("doc_id % 3 = 0").withColumn("qid", F.concat(F.lit("id"), F.lpad(F.col("doc_id").cast("string"), 9, "0")))
+    d = _docs(spark, sf).withColumnRenamed("lang", "image_id")
+    p = d.withColumnRenamed("doc_id", "pos").withColumn("question", F.concat(F.lit(" "), "question", F.lit("\n"))).withColumn("answer", F.lit(None).cast("string"))
+    image = F.concat("image_id", F.when(F.col("doc_id") % 3 == 0, ".nii.gz").otherwise(".other.nii.gz"))
+    q = d.withColumn("image_id", image).withColumn("answer", F.lit("")).withColumn("qid", F.concat(F.lit("id"), F.lpad(F.col("doc_id").cast("string"), 9, "0")))
     return align.assign_question_ids(p, q).select("pos", "qid")
 
 
-@query("fifo_join", f"""WITH j AS (SELECT doc_id AS pos, lang AS model, {_KEY} AS question, row_number() OVER (PARTITION BY lang, {_KEY} ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 1),
+@query("fifo_join", f"""WITH j AS (SELECT doc_id AS pos, lang AS model, {_ASKED} AS question, row_number() OVER (PARTITION BY lang, {_ASKED} ORDER BY doc_id) AS k FROM documents),
  p AS (SELECT CAST(doc_id AS VARCHAR) AS qid, lang AS model, {_KEY} AS question, row_number() OVER (PARTITION BY lang, {_KEY} ORDER BY doc_id) AS k FROM documents)
  SELECT pos, model, coalesce(qid, 'unknown::' || model || '::' || CAST(pos AS VARCHAR)) AS qid FROM j LEFT JOIN p USING (model, question, k)""")
 def fifo_join(spark, sf):
     d = _docs(spark, sf).withColumn("answer", F.lit("")).withColumnRenamed("lang", "model")
     p = d.withColumn("qid", F.col("doc_id").cast("string")).withColumnRenamed("doc_id", "pos")
-    return align.fifo_question_ids(d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "pos"), p).select("pos", "model", "qid")
+    asked = F.concat(F.lit("\t"), "question", F.when(F.col("doc_id") % 2 == 0, "? ").otherwise(" "))
+    return align.fifo_question_ids(d.withColumn("question", asked).withColumnRenamed("doc_id", "pos"), p).select("pos", "model", "qid")
 
 
 #: Judges of different lengths: places are ranks in a source, judge v1 lacks the last two, v2 the last one.

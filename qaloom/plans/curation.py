@@ -70,10 +70,11 @@ def image_map_last_wins(spark, sf):
 
 
 @query("qa_export_skip_missing", f"""SELECT CAST(case_id AS VARCHAR) AS case_id, coalesce(p.url, b.text) AS image_path, question, answer FROM {D.PAIRS} q
- LEFT JOIN pages p ON p.page_id = q.case_id AND p.page_id % 2 = 0 LEFT JOIN benchmark b ON b.item_id = q.case_id WHERE coalesce(p.url, b.text) IS NOT NULL""")
+ LEFT JOIN pages p ON CASE WHEN p.page_id % 2 = 0 THEN p.page_id ELSE -1 - p.page_id END = q.case_id LEFT JOIN benchmark b ON b.item_id = q.case_id WHERE coalesce(p.url, b.text) IS NOT NULL""")
 def qa_export_skip_missing(spark, sf):
     pairs = D.conversation_pairs(spark, sf).withColumn("case_id", F.col("case_id").cast("string"))
-    first = table(spark, sf, "pages").where("page_id % 2 = 0").select(F.col("page_id").cast("string").alias("case_id"), F.col("url").alias("image_path"))
+    case = F.when(F.col("page_id") % 2 == 0, F.col("page_id")).otherwise(-1 - F.col("page_id"))  # odd pages belong to no case
+    first = table(spark, sf, "pages").select(case.cast("string").alias("case_id"), F.col("url").alias("image_path"))
     second = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), F.col("text").alias("image_path"))
     return curate.export_rows(curate.with_images(pairs, first, second, skip_missing=True))
 

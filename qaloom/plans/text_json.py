@@ -43,16 +43,17 @@ def output_path(spark, sf):
     return _names(spark, sf).select("conv_id", "turn", paths.output_path("name", "out", ".npz").alias("path"))
 
 
-_RAW = "chr(10) || ' ' || substr(text, 1, 40) || ' ' || chr(9)"
+_RAW = "chr(10) || ' ' || coalesce(text, '') || ' ' || chr(9)"
 
 
 def _raw(spark, sf):
-    return D.documents(spark, sf).select("doc_id", F.concat(F.lit("\n "), F.substring("text", 1, 40), F.lit(" \t")).alias("t"))
+    return D.documents(spark, sf).select("doc_id", F.concat(F.lit("\n "), F.coalesce("text", F.lit("")), F.lit(" \t")).alias("t"))
 
 
-@query("text_normalize", f"SELECT doc_id, lower(regexp_replace({_RAW}, '^\\s+|\\s+$', '', 'g')) AS t FROM documents")
+@query("text_normalize", f"SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS n FROM (SELECT doc_id, lower(regexp_replace({_RAW}, '^\\s+|\\s+$', '', 'g')) AS t FROM documents)")
 def text_normalize(spark, sf):
-    return _raw(spark, sf).select("doc_id", text.normalize("t", lower=True).alias("t"))
+    t = _raw(spark, sf).select("doc_id", text.normalize("t", lower=True).alias("t"))
+    return t.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").cast("long").alias("n"))
 
 
 @query("code_fence_strip", "SELECT event_id, props AS body FROM events")
@@ -62,11 +63,17 @@ def code_fence_strip(spark, sf):
     return e.select("event_id", text.strip_code_fence(F.when(F.col("event_id") % 2 == 0, fenced).otherwise(F.concat(F.lit(" "), "props", F.lit("\n")))).alias("body"))
 
 
-@query("sanitize_json", "SELECT event_id, '[' || props || ',' || props || ',' || chr(10) || props || chr(10) || ']' AS fixed FROM events")
+_FIXED = """CASE event_id % 3 WHEN 0 THEN '[' || props || ',' || chr(10) || '  ' || props || chr(10) || ']'
+ WHEN 1 THEN '[{"a": "' || event_type || '"}, {"a": 1}]' ELSE '[' || props || ']' END"""
+
+
+@query("sanitize_json", f"SELECT event_id, {_FIXED} AS fixed FROM events")
 def sanitize_json(spark, sf):
     e = table(spark, sf, "events")
-    broken = F.concat(F.lit("["), "props", "props", F.lit("\n"), "props", F.lit(",\n]"))
-    return e.select("event_id", text.sanitize_json(broken).alias("fixed"))
+    m = F.col("event_id") % 3
+    lines = F.concat(F.lit("["), "props", F.lit("\n  "), "props", F.lit(",\n]"))
+    objects = F.concat(F.lit('[{"a": "'), "event_type", F.lit('"}  {"a": 1},]'))
+    return e.select("event_id", text.sanitize_json(F.when(m == 0, lines).when(m == 1, objects).otherwise(F.concat(F.lit("["), "props", F.lit(", ]")))).alias("fixed"))
 
 
 @query("regex_recover", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN doc_id % 2 = 0 END AS verdict FROM documents")
@@ -79,7 +86,8 @@ def regex_recover(spark, sf):
 
 @query("json_props_parse", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props_parse(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    listed = text.parse_list(F.concat(F.lit("["), "props", F.lit("]")), T.StructType([T.StructField("k", T.LongType())]))
+    return table(spark, sf, "events").select("event_id", listed[0]["k"].alias("k"))
 
 
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
@@ -100,7 +108,7 @@ def json_truncated_repair(spark, sf):
     return e.select("event_id", text.repair_list(cut).alias("repaired"))
 
 
-@query("category_parse", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || ';' || source WHEN 1 THEN lang || ';' || source WHEN 2 THEN 'Medial-Lateral Orientation (Centricity);Medial-Lateral Orientation (Centricity)' ELSE '' END AS labels FROM documents")
+@query("category_parse", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || ';' || source WHEN 1 THEN lang || ';' || source WHEN 2 THEN 'Medial-Lateral Orientation (Centricity);Medial-Lateral Orientation (Centricity)' ELSE 'it''s;' || lang END AS labels FROM documents")
 def category_parse(spark, sf):
     d = D.documents(spark, sf)
     m = F.col("doc_id") % 4
@@ -108,7 +116,7 @@ def category_parse(spark, sf):
         F.when(m == 0, F.concat(F.lit('["'), "lang", F.lit('", " '), "source", F.lit('"]')))
         .when(m == 1, F.concat(F.lit("['"), "lang", F.lit("', '"), "source", F.lit(" ']")))
         .when(m == 2, F.lit('["Medial-Lateral Orientation", "Medial-Lateral Orientation (Centricity)", " "]'))
-        .otherwise(F.lit("none"))
+        .otherwise(F.concat(F.lit("['it\\'s', None, \""), "lang", F.lit('",]')))
     )
     return d.select("doc_id", F.array_join(text.canonical_categories(text.parse_categories(raw)), ";").alias("labels"))
 
@@ -116,5 +124,6 @@ def category_parse(spark, sf):
 @query("model_names_from_files", "SELECT doc_id, source AS model FROM documents")
 def model_names_from_files(spark, sf):
     d = D.documents(spark, sf)
-    tail = F.element_at(F.array(*(F.lit(s) for s in text.JUDGE_SUFFIXES)), (F.col("doc_id") % len(text.JUDGE_SUFFIXES)).cast("int") + 1)
-    return d.select("doc_id", text.model_of_file(F.concat(F.lit("dir/"), "source", tail, F.lit(".json"))).alias("model"))
+    tails = ["_gemini2.5_eval_full.json", "_gemini2.5_eval_fixed.json", "_gemini2.5_eval.json", "_gemini_eval.json", "_gpt_eval.json", "_qwen_eval.json", "_predictions_full.jsonl", "_predictions.jsonl"]
+    tail = F.element_at(F.array(*(F.lit(s) for s in tails)), (F.col("doc_id") % len(tails)).cast("int") + 1)
+    return d.select("doc_id", text.model_of_file(F.concat(F.lit("dir/"), "source", tail)).alias("model"))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.text import first_truthy, model_of_file
+from ..functions.text import PREDICTION_SUFFIXES, first_truthy, model_of_file
 
 
 def read_reports_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -125,11 +124,12 @@ def list_volumes(spark: SparkSession, root: str, pattern: str = "*.nii.gz") -> D
 
 
 def pick_prediction_file(files: DataFrame, model: str) -> DataFrame:
-    """Of ``files`` (column ``name``) the first existing of a model's candidate names: ``_full`` first, then dash and underscore swaps."""
+    """Of ``files`` (column ``name``) the first existing of a model's candidate names: for each spelling ``_full``, then plain."""
     stems = list(dict.fromkeys([model, model.replace("-", "_"), model.replace("_", "-")]))
-    names = [f"{s}{x}_predictions.jsonl" for x in ("_full", "") for s in stems]
+    names = [s + x for s in stems for x in PREDICTION_SUFFIXES]
     rank = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("name"))
-    return files.withColumn("rank", rank).where("rank > 0").withColumn("first", F.row_number().over(W.orderBy("rank"))).where("first = 1").drop("first", "rank")
+    found = files.select(F.struct(*files.columns).alias("file"), rank.alias("rank")).where("rank > 0")
+    return found.agg(F.min_by("file", "rank").alias("file")).where("file is not null").select("file.*")
 
 
 def catalog_batches(catalog: DataFrame, order: str, size: int = 100) -> DataFrame:

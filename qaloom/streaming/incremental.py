@@ -41,13 +41,18 @@ def window_rows(rows: DataFrame, order: str, skip: int = 0, limit: int | None =
 
 
 def place_rows(rows: DataFrame, key: str, out: str = "place", buckets: int = 64) -> DataFrame:
-    """Dense 0-based places in ``key`` order without a global window: range buckets, their counts, and ranks inside them."""
-    bounds = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    span = F.greatest((F.col("hi") - F.col("lo") + 1) / F.lit(float(buckets)), F.lit(1.0))
-    dealt = rows.crossJoin(F.broadcast(bounds)).withColumn("__b", F.floor((F.col(key) - F.col("lo")) / span).cast("int")).drop("lo", "hi")
+    """Dense 0-based places in order of a numeric ``key`` without a global window: buckets, their counts, and ranks inside them.
+
+    The buckets' bounds are quantiles of the data, so a bucket holds about an equal share of the rows whatever their keys
+    are; there are at least as many as shuffle partitions.  Null keys come first.  Ties are ranked by a digest of all columns.
+    """
+    columns = rows.columns
+    buckets = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("b")).first()["b"] or []
+    dealt = rows.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col(key))) if bounds else F.lit(0))
     counts = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    ranked = dealt.withColumn("__k", F.row_number().over(W.partitionBy("__b").orderBy(key)))
+    ranked = dealt.withColumn("__k", F.row_number().over(W.partitionBy("__b").orderBy(key, F.xxhash64(*columns))))
     return ranked.join(F.broadcast(before), "__b").withColumn(out, (F.col("__before") + F.col("__k") - 1).cast("long")).drop("__b", "__k", "__before")
 
 

@@ -33,6 +33,8 @@ def test_code_fence(spark):
 
 def test_sanitize_and_repair(spark):
     assert one(spark, text.sanitize_json("t"), t='[{"i":1},\n]') == '[{"i":1}\n]'
+    assert one(spark, text.sanitize_json("t"), t='[{"i":"1"}  {"i":2}\n  {"i":3}, ]') == '[{"i":"1"}, {"i":2},\n  {"i":3}]'
+    assert one(spark, text.sanitize_json("t"), t='[{"i":1}{"i":2},]') == '[{"i":1}{"i":2}]'
     assert one(spark, text.repair_list("t"), t='[{"i":1},{"i"') == '[{"i":1}]'
     assert one(spark, text.repair_list("t"), t="nothing") is None
     assert one(spark, text.extract_list("t"), t="x [1] y") == "[1]"
@@ -50,6 +52,8 @@ def test_categories(spark):
     assert one(spark, text.parse_categories("t"), t="['A','B']") == ["A", "B"]
     assert one(spark, text.parse_categories("t"), t='["A", " B "]') == ["A", "B"]
     assert one(spark, text.parse_categories("t"), t="none") == []
+    assert one(spark, text.parse_categories("t"), t=r"""['it\'s', None, "b\\c", 0, 7, '',]""") == ["it's", r"b\c", "7"]
+    assert one(spark, text.parse_categories("t"), t="""["A", broken, 'B']""") == ["A"]
     name = "Medial-Lateral Orientation"
     assert one(spark, text.canonical_categories("t"), t=[name, f"{name} (Centricity)", " "]) == [f"{name} (Centricity)"] * 2
 
@@ -64,12 +68,13 @@ def test_recover_verdict(spark):
 def test_small_helpers(spark):
     assert one(spark, text.first_truthy("a", "b"), a="", b="x") == "x"
     assert one(spark, text.default_text("a", "d"), a="") == "d"
-    assert one(spark, text.strip_control_tokens("a"), a="<s> hi </s>") == "hi"
+    assert one(spark, text.strip_control_tokens("a"), a="<|begin_of_text|><|start_header_id|> hi <|end_header_id|><|eot_id|><|end_of_text|>") == "hi"
     assert one(spark, text.drop_prompt_echo("a", "p"), a=" Q? yes", p="Q?") == "yes"
     assert one(spark, text.drop_prompt_echo("a", "p"), a="well, Q? yes", p="Q?") == "well, Q? yes"
     assert one(spark, text.response_text("a", "p"), a="", p=["x", "y"]) == "x\ny"
     assert one(spark, text.model_of_file("a"), a="d/m3d_gpt_eval.json") == "m3d"
-    assert one(spark, text.model_of_file("a"), a="ctchat_full_predictions.jsonl") == "ctchat"
+    for tail in ("_gemini2.5_eval_full.json", "_gemini2.5_eval_fixed.json", "_gemini2.5_eval.json", "_gemini_eval.json", "_qwen_eval.json", "_predictions_full.jsonl", "_predictions.jsonl"):
+        assert one(spark, text.model_of_file("a"), a="x/ct_chat" + tail) == "ct_chat", tail
     assert one(spark, text.display_label("a", {"m": "M"}), a="m") == "M"
     assert one(spark, text.display_label("a", {"m": "M"}), a="z") == "z"
     assert one(spark, text.floor2(F.lit(2.0) / 3)) == 0.66

@@ -79,8 +79,10 @@ def test_jsonl_sink_and_map(spark, tmp_path):
 
 
 def test_prediction_file_choice(spark):
-    f = spark.createDataFrame([("ct_chat_predictions.jsonl",), ("ct-chat_full_predictions.jsonl",), ("x",)], "name string")
-    assert files.pick_prediction_file(f, "ct-chat").first().name == "ct-chat_full_predictions.jsonl"
+    f = spark.createDataFrame([("ct_chat_predictions_full.jsonl",), ("ct-chat_predictions.jsonl",), ("ct-chat_full_predictions.jsonl",), ("x",)], "name string")
+    assert files.pick_prediction_file(f, "ct-chat").first().name == "ct-chat_predictions.jsonl"
+    assert files.pick_prediction_file(f, "ct_chat").first().name == "ct_chat_predictions_full.jsonl"
+    assert files.pick_prediction_file(f, "none").count() == 0
 
 
 def test_nifti_round_trip(spark, tmp_path):

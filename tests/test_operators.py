@@ -65,9 +65,9 @@ def test_category_counts_twice(spark):
 
 
 def test_occurrences(spark):
-    q = spark.createDataFrame([("i", "q", "a", "i::0"), ("i", "q", "a", "i::1")], "image_id string, question string, answer string, qid string")
-    p = spark.createDataFrame([("i", "q", "a", 5), ("i", "q", "a", 7), ("i", "q", "a", 9), ("", "q", "a", 10)], "image_id string, question string, answer string, pos long")
-    assert rows(align.assign_question_ids(p, q), "pos", "qid") == [(5, "i::0"), (7, "i::1"), (9, "i::9"), (10, "unknown::10")]
+    q = spark.createDataFrame([("i.nii.gz", "q", None, "i.nii.gz::0"), ("i.nii.gz", " q", "", "i.nii.gz::1")], "image_id string, question string, answer string, qid string")
+    p = spark.createDataFrame([("d/i.npy", "q ", "", 5), ("i", "q", None, 7), ("i.nii.gz", "\nq", " ", 9), (None, "q", "", 10)], "image_id string, question string, answer string, pos long")
+    assert rows(align.assign_question_ids(p, q), "pos", "qid") == [(5, "i.nii.gz::0"), (7, "i.nii.gz::1"), (9, "i.nii.gz::9"), (10, "unknown::10")]
 
 
 def test_judges_of_unequal_length(spark):
