@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -120,6 +121,12 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return written(DataFrame(plain, spark), rdd.getCheckpointFile().get())
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parts_for(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
     """Partitions for ``size`` bytes at ``each`` bytes, two a core at least."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-size // each))

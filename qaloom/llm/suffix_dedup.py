@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, delete_folder, parts_for, scratch, shared_dir, stage, text_bytes, written
+from .common import cut, delete_folder, parts_for, release_shuffles, scratch, shared_dir, stage, text_bytes, written
 
 WINDOW = 400
 GRAM = 100
@@ -298,7 +298,7 @@ def _refine(texts: DataFrame, active: DataFrame, units: dict[bool, Unit], step:
     with scratch() as s:
         lists = active.groupBy(F.col("rid").alias("__rid"), F.floor(F.col("s0") / CHUNK)).agg(F.collect_list(F.struct("u", "s0", "s1", "l", "r", "k1", "k2")).alias("cells"))
         joined = texts.select("__rid", "__z").join(lists.select("__rid", "cells").hint("shuffle_hash"), "__rid")
-        cells = cut(joined.mapInArrow(lambda it: _cell_rows(it, units, step), CELL), parts)
+        cells = stage(joined.mapInArrow(lambda it: _cell_rows(it, units, step), CELL).coalesce(parts))
         key = ["u", "k1", "k2"]
         # any member stands for its group: all have the same bytes; the firsts come from one row
         one = [F.first(c).alias(c) for c in ("rid", "s0", "s1", "l", "r")]
@@ -306,7 +306,7 @@ def _refine(texts: DataFrame, active: DataFrame, units: dict[bool, Unit], step:
         if step == max(len(x.widths) for x in units.values()):
             twice = cut(groups.where("n > 1").select(*key), parts)
             return s.keep(cut(cells.join(twice, key).select("rid", "u", "s0", "s1"), parts)), None
-        groups = cut(groups, parts)
+        groups = stage(groups.coalesce(parts))
         twice = groups.where("n > 1").select(*key, "o1", "o2")
         accepted = cut(cells.join(twice, [*key, "o1", "o2"]).select("rid", "u", "s0", "s1"), parts)
         mixed = cut(groups.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key), parts)
@@ -329,7 +329,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     keep = keep or ["doc_id"]
     units = [Unit(False, window, gram, widths)]
     if words:
-        units.append(Unit(True, words, max(1, words // 4), WORD_WIDTHS))
+        units.append(Unit(True, words, max(1, words // 8), WORD_WIDTHS))
     by_kind = {x.words: x for x in units}
     texts, parts = _bucketed(docs.select(F.col(text).alias("__text"), *keep), "__text", keep)
     found = stage(texts.select("__rid", "__z").mapInArrow(lambda it: _anchor_rows(it, units), FOUND))
@@ -341,6 +341,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     for step in range(1 + max(len(x.widths) for x in units)):
         got, active = _refine(texts, active, by_kind, step, parts)
         accepted.append(got)
+        release_shuffles(texts.sparkSession)
     every = accepted[0]
     for x in accepted[1:]:
         every = every.unionByName(x)
