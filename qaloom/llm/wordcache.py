@@ -11,6 +11,8 @@ import regex
 
 #: Chunks kept per generation; at most two generations live, about 200 bytes an entry.
 CACHE_CAP = 300_000
+#: Characters that ``SpacedBpe`` splits before it looks their chunks up, few enough for these to stay in the processor's cache.
+SLICE = 1 << 14
 
 
 class ChunkCache:
@@ -125,7 +127,7 @@ class SpacedBpe:
     """
 
     SAFE = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-    ODD = re.compile(r"(?:[^\w\s]|_)[.,](?:\s|$)")
+    ODD = re.compile(r"[.,](?<=(?:[^\w\s]|_)[.,])(?:\s|$)")  # a search for the stop first: few places to look at
     CONTROL = re.compile(r"[\x1c-\x1f]")
 
     def __init__(self, path: str, pieces: str, cap: int = CACHE_CAP):
@@ -169,5 +171,5 @@ class SpacedBpe:
 
     def encode(self, texts: list[str]) -> Iterable[bytes]:
         """Little-endian unsigned 32-bit ids of each text, in order."""
-        for some in by_size(texts):
+        for some in by_size(texts, SLICE):
             yield from self.chunks.join([self._split(t) for t in some])
