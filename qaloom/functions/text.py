@@ -198,7 +198,8 @@ def numbered_prompt(items: str | Column, template: str = "{i}. {x}") -> Column:
 
 
 def data_uri(image: str | Column, mime: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(_c(image)))
+    """The bytes as a data URI; ``base64`` breaks its lines after 76 characters, which an URI must not."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(_c(image)), "\r\n", ""))
 
 
 def chat_messages(question: str | Column, uris: str | Column, system: str | None = None) -> Column:

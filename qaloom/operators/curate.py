@@ -52,6 +52,11 @@ def uncategorized(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("category").isNull())
 
 
+def allowed_models(rows: DataFrame, models: list[str] | None, column: str = "model") -> DataFrame:
+    """Rows of the listed models; None allows all."""
+    return rows if models is None else rows.where(F.col(column).isin(models))
+
+
 def image_map(rows: DataFrame, key: str, path: str, order: str, keep: str = "first") -> DataFrame:
     """One path a key: the first or last by ``order``."""
     pick = F.min_by if keep == "first" else F.max_by

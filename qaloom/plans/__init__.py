@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-THEMES = ("leaderboard", "lengths", "curation", "alignment", "text_json", "similarity", "volumes", "incremental")
+THEMES = ("leaderboard", "lengths", "curation", "alignment", "text_json", "prompts", "files", "similarity", "volumes", "incremental")
 
 
 def load() -> tuple[dict, dict]:

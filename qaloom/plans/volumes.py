@@ -106,6 +106,7 @@ def middle_slice(spark, sf):
     return D.documents(spark, sf).select("doc_id", sampling.middle_index("n_chars").alias("middle"))
 
 
-@query("slice_fit")
+@query("slice_fit", """WITH RECURSIVE s AS (SELECT doc_id, CAST(n_chars % 90 AS INT) AS n, n_chars % 500 AS t FROM documents
+ UNION ALL SELECT doc_id, greatest(least(CAST(floor(n * 0.8::DOUBLE) AS INT), n - 1), 1), t FROM s WHERE n * 260 + t > 8000 AND n > 1) SELECT doc_id, min(n) AS slices FROM s GROUP BY doc_id""")
 def slice_fit(spark, sf):
     return D.documents(spark, sf).select("doc_id", sampling.fit_slices((F.col("n_chars") % 90).cast("int"), 260, F.col("n_chars") % 500, 8000).alias("slices"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.text import PREDICTION_SUFFIXES, first_truthy, model_of_file
+from ..functions.text import PREDICTION_SUFFIXES, first_truthy, model_of_file, strip
 
 
 def read_reports_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -46,13 +47,26 @@ def read_qa(spark: SparkSession, path: str) -> DataFrame:
     return qa_pairs_of(as_map.unionByName(last))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, pos, line)``: a file's non-blank lines with their 0-based places; a long file is read by many tasks.
+
+    Row ids grow inside a split, so a line's place is its id less the split's first one, plus the lines of the file's earlier
+    splits.  The table of splits has one row for each, and a file's window holds its splits alone.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.col("value").alias("line"))
+    lines = raw.where(strip("line") != "").withColumn("__id", F.monotonically_increasing_id())
+    splits = lines.groupBy("path", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(W.partitionBy("path").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("path", "__block", "__first", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    return lines.join(splits, ["path", "__block"]).select("path", (F.col("__id") - F.col("__first") + F.col("__before")).alias("pos"), "line")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
     """JSON-lines rows with ``model`` (file name) and ``pos`` (0-based place among the file's non-blank lines).
 
-    Strict: a malformed line raises.  Lenient: it is skipped, but still counts as a place.  Lines are split inside each
-    file's row, so places need no global sort.
+    Strict: a malformed line raises.  Lenient: it is skipped, but still counts as a place.
     """
-    lines = read_whole(spark, path).select("path", F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    lines = numbered_lines(spark, path)
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     mode = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = lines.withColumn("r", F.from_json("line", schema if strict else full, mode))
@@ -117,6 +131,13 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return long.select("question_id", "model", F.nullif(F.trim("cell"), F.lit("")).cast("double").alias("score"))
 
 
+def read_length_series(spark: SparkSession, path: str) -> DataFrame:
+    """``(label, pos, n_words, include_questions)`` of precomputed series: one list of lengths a label, kept in order."""
+    whole = read_whole(spark, path).select(F.from_json("value", schemas.LENGTH_SERIES).alias("s"))
+    each = whole.select("s.include_questions", F.explode(F.arrays_zip(F.col("s.labels").alias("label"), F.col("s.series").alias("lengths"))).alias("x"))
+    return each.select(F.col("x.label").alias("label"), F.posexplode("x.lengths").alias("pos", "n_words"), "include_questions")
+
+
 def list_volumes(spark: SparkSession, root: str, pattern: str = "*.nii.gz") -> DataFrame:
     """``(name, path)`` of every matching file below ``root``; of equal names the last path counts.  Contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")

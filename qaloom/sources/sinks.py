@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -47,9 +48,44 @@ def ragged_union(*frames: DataFrame) -> DataFrame:
     return out.select(*sorted(out.columns))
 
 
-def write_items(df: DataFrame, path: str, scores: list[str] | None = None) -> None:
+def stats_json(rows: DataFrame) -> DataFrame:
+    """``value``: one JSON object a row, to be written as text; null fields are left out."""
+    return rows.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def item_rows(df: DataFrame, scores: list[str] | None = None) -> DataFrame:
     """Per item question, answer and prediction, with the scores named."""
-    write_jsonl(df.select("question", "answer", "prediction", *(scores or [])), path)
+    return df.select("question", "answer", "prediction", *(scores or []))
+
+
+def write_items(df: DataFrame, path: str, scores: list[str] | None = None) -> None:
+    write_jsonl(item_rows(df, scores), path)
+
+
+def write_boxed(rows: DataFrame, path: str, box: Callable[[Column], Column], per_file: int = 10_000) -> None:
+    """JSON files of about ``per_file`` rows, so that none grows with the input: ``box`` makes a file's value of its list of rows.
+
+    Rows are dealt by a digest of all columns, so that a lost file comes back the same; equal rows lie in one file.
+    """
+    files = max(1, -(-rows.count() // per_file))
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
+    lists = rows.groupBy(part.alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    lists.select("part", F.to_json(box(F.col("rows"))).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+
+
+def write_qa(pairs: DataFrame, path: str, as_list: bool = False, cases_per_file: int = 10_000) -> None:
+    """Cases with their pairs in index order: maps from case to pairs, or lists of cases."""
+    each = pairs.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("idx", "question", "answer"))).alias("p"))
+    body = F.transform("p", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer")))
+    cases = each.select(F.col("case_id").cast("string").alias("case_id"), body.alias("qa_pairs"))
+    as_map = lambda rows: F.map_from_entries(F.transform(rows, lambda r: F.struct(r["case_id"], F.struct(r["qa_pairs"].alias("qa_pairs")))))
+    write_boxed(cases, path, (lambda rows: rows) if as_list else as_map, cases_per_file)
+
+
+def write_reports_csv(reports: DataFrame, path: str) -> None:
+    """Report rows as CSV that ``read_reports_csv`` reads back: quotes doubled, blanks and line breaks kept."""
+    out = reports.select("file_name", "findings_en", "impressions_en").write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    out.option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_tensors(volumes: DataFrame, folder: str, kind: str = "npy") -> DataFrame:

@@ -1,5 +1,7 @@
 """Column functions on hand-written edge rows."""
 
+import base64
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +84,7 @@ def test_small_helpers(spark):
     assert one(spark, text.ratio(F.lit(1), F.lit(0), None)) is None
     assert one(spark, text.numbered_prompt("p"), p=["x", "y"]) == "1. x\n2. y"
     assert one(spark, text.data_uri(F.lit(b"ab"))) == "data:image/jpeg;base64,YWI="
+    assert one(spark, text.data_uri(F.lit(b"ab" * 90))) == "data:image/jpeg;base64," + base64.b64encode(b"ab" * 90).decode()
     got = one(spark, text.chat_messages("q", "u", "s"), q="why", u=["d1", "d2"])
     assert [(r["type"], r["value"]) for r in got] == [("system", "s"), ("image", "d1"), ("text", "SLICE 1"), ("image", "d2"), ("text", "SLICE 2"), ("text", "why")]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from qaloom import schemas
 from qaloom.functions import arrays
-from qaloom.operators import external, metrics, volume
+from qaloom.operators import curate, external, metrics, volume
 from qaloom.functions.porter import stem
 from qaloom.sources import files, sinks, volumes
 from qaloom.streaming import incremental
@@ -46,6 +46,41 @@ def test_jsonl(spark, tmp_path):
     assert files.read_json_or_lines(spark, bad, schemas.PREDICTION).count() == 2
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    for name in "ab":
+        write(tmp_path / f"{name}.jsonl", "".join(f'{{"question":"{name}{i}"}}\n' + "\n \n" * (i % 3 == 0) for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert files.numbered_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = files.read_jsonl(spark, str(tmp_path), schemas.PREDICTION).select("model", "pos", "question").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.model, r.pos, r.question) for r in got) == sorted((n, i, f"{n}{i}") for n in "ab" for i in range(3000))
+
+
+def test_items_stats_series_and_allow_list(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "a", "p", 0.5, "m"), ("r", None, "x", None, "n")], "question string, answer string, prediction string, bleu double, model string")
+    sinks.write_items(rows, str(tmp_path / "items"), ["bleu"])
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "items").glob("part-*.json"))).splitlines()
+    assert sorted((json.loads(x) for x in lines), key=lambda x: x["question"]) == [{"question": "q", "answer": "a", "prediction": "p", "bleu": 0.5}, {"question": "r", "prediction": "x"}]
+    assert [json.loads(r.value) for r in sinks.stats_json(rows.groupBy("model").count().orderBy("model")).collect()] == [{"model": "m", "count": 1}, {"model": "n", "count": 1}]
+    at = write(tmp_path / "series.json", json.dumps({"labels": ["m", "n"], "series": [[3, 1], []], "include_questions": True}))
+    assert [tuple(r) for r in files.read_length_series(spark, at).orderBy("pos").collect()] == [("m", 0, 3, True), ("m", 1, 1, True)]
+    assert curate.allowed_models(rows, ["n"]).count() == 1 and curate.allowed_models(rows, None).count() == 2
+
+
+def test_many_files_of_bounded_size(spark, tmp_path):
+    pairs = spark.createDataFrame([(c, i, f"q{c}{i}", 'a "quoted"\nline') for c in range(40) for i in (4, 2)], "case_id long, idx long, question string, answer string")
+    for as_list in (False, True):
+        at = tmp_path / f"qa-{as_list}"
+        sinks.write_qa(pairs, str(at), as_list, cases_per_file=10)
+        assert len(list(at.glob("part=*"))) > 1
+        got = files.read_qa(spark, str(at)).select("case_id", "idx", "question", "answer").collect()
+        assert sorted(map(tuple, got)) == sorted((str(c), k, f"q{c}{i}", 'a "quoted"\nline') for c in range(40) for k, i in ((0, 2), (1, 4)))
+
+
 def test_judge_files(spark, tmp_path):
     rows = [{"question": "q", "is_correct": True, "jury_is_correct": False}, {"question": "r", "is_correct": None}]
     for name, body, want in (("a", rows, [True, None]), ("b", {"jury": rows}, [False, None]), ("c", {"items": rows}, [True, None]), ("d", {"else": 1}, [])):
