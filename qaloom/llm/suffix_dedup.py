@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, delete_folder, parts_for, release_shuffles, scratch, shared_dir, stage, text_bytes, written
+from .common import WORD, cut, delete_folder, parts_for, release_shuffles, scratch, shared_dir, stage, text_bytes, written
 
 WINDOW = 400
 GRAM = 100
@@ -353,3 +353,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     schema = T.StructType([*joined.schema.fields[2:], *own, T.StructField(f"{prefix}kept", T.StringType() if as_text else T.BinaryType())])
     names = schema.names
     return joined.mapInArrow(lambda it: _kept_rows(it, window, words, cut_words, as_text, names), schema)
+
+
+def oracle(table: str = "documents", window: int = WINDOW, words: int = WORDS) -> str:
+    """The query's columns in DuckDB SQL, from a digest of every window: for small tables."""
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b, coalesce(text, '') AS x FROM {table}),
+n AS (SELECT *, octet_length(b) AS n, regexp_extract_all(x, '{WORD}') AS w FROM t),
+win AS (SELECT r, i, md5(array_slice(b, i, i + {window - 1})) AS h FROM (SELECT r, b, unnest(range(1, n - {window - 2})) AS i FROM n WHERE n >= {window})),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+stepped AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + {window} THEN 1 ELSE 0 END AS new FROM rep),
+numbered AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM stepped),
+runs AS (SELECT r, min(i) AS a, max(i) + {window - 1} AS e FROM numbered GROUP BY r, g),
+totals AS (SELECT r, sum(e - a + 1) AS removed, count(*) AS spans FROM runs GROUP BY r),
+pieces AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS s, a - 1 AS z FROM runs UNION ALL SELECT r, max(e) + 1, NULL FROM runs GROUP BY r),
+rest AS (SELECT r, unhex(string_agg(substr(hex(b), 2 * s - 1, 2 * (coalesce(z, n) - s + 1)), '' ORDER BY s)) AS kept FROM pieces JOIN n USING (r) GROUP BY r),
+wwin AS (SELECT r, i, md5(array_to_string(w[i:i+{words - 1}], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - {words - 2})) AS i FROM n WHERE len(w) >= {words})),
+wrep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM wwin) WHERE c > 1),
+words AS (SELECT r, sum(least({words}, coalesce(nxt - i, {words}))) AS k FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM wrep) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, coalesce(k, 0)::BIGINT AS n_repeated_words, sha256(coalesce(kept, b)) AS kept_sha256
+FROM n LEFT JOIN totals USING (r) LEFT JOIN rest USING (r) LEFT JOIN words USING (r)
+"""
