@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import normalize_image_id
 from ..functions.text import normalize
 
+#: Occurrences are numbered in blocks of 2^20 places.
+BLOCK_BITS = 20
 
-def with_occurrence(rows: DataFrame, keys: list[str], order: list[str], out: str = "occ") -> DataFrame:
-    """The 0-based occurrence number of each row among those with its key."""
-    return rows.withColumn(out, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+
+def with_occurrence(rows: DataFrame, keys: list[str], order: list[str], out: str = "occ", bits: int = BLOCK_BITS) -> DataFrame:
+    """The 0-based occurrence number of each row among those with its key; null keys are equal to each other, ties in any order.
+
+    If the first order column is an integer (a place), rows are numbered in blocks of 2^bits consecutive values of it, and a
+    block's numbers begin behind those of its key's earlier blocks: a key with very many rows then is many tasks' work.
+    """
+    if not isinstance(rows.schema[order[0]].dataType, T.IntegralType):
+        return rows.withColumn(out, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+    # the key as one struct: never null itself, so windows and the join hash the same columns and share one shuffle
+    dealt = rows.withColumns({"__key": F.struct(*keys), "__block": F.shiftright(F.col(order[0]).cast("long"), bits)})
+    dealt = dealt.withColumn("__block", F.coalesce("__block", F.lit(-(1 << 63))))
+    earlier = W.partitionBy("__key").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__key", "__block").agg(F.count("*").alias("__n"))
+    before = sizes.select("__key", "__block", F.sum("__n").over(earlier).alias("__before")).where("__before is not null")
+    number = F.row_number().over(W.partitionBy("__key", "__block").orderBy(*order)) - 1
+    placed = dealt.withColumn("__at", number).join(before, ["__key", "__block"], "left")
+    return placed.select(*rows.columns, (F.col("__at") + F.coalesce("__before", F.lit(0))).cast("long").alias(out))
 
 
 def occurrence_join(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str], values: list[str]) -> DataFrame:

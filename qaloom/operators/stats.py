@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 #: Upper ends of the half-open histogram bins (fixed values).
 EDGES = (0, 5, 10, 20, 30, 40, 50, 100)
 GRID = 220
+#: Shares that a label's distinct values are dealt to, each with its own copy of the grid.
+SHARES = 32
 
 
 def summary(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -45,16 +47,19 @@ def bandwidth(sd, n):
 def kde(rows: DataFrame, label: str, value: str, points: int = GRID, log: bool = False) -> DataFrame:
     """``(label, i, x, density)``: a Gaussian kernel density on an even grid from the smallest to the largest value.
 
-    Values are counted first, so the grid meets distinct values only.  ``log`` works on log10 of positive values.
+    Values are counted first, so the grid meets distinct values only, and a label's values are dealt to ``SHARES`` tasks
+    whose sums are combined.  ``log`` works on log10 of positive values.
     """
     v = F.col(value).cast("double")
     src = rows.where(v > 0).select(label, F.log10(v).alias("v")) if log else rows.select(label, v.alias("v"))
     counted = src.where("v is not null").groupBy(label, "v").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("__share", F.pmod(F.xxhash64("v"), F.lit(SHARES)).cast("int"))
     whole = src.where("v is not null").groupBy(label).agg(F.stddev_pop("v").alias("sd"), F.count("*").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     grid = whole.select(label, "total", "lo", "hi", bandwidth(F.col("sd"), F.col("total")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     grid = grid.withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
+    grid = grid.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
     z = (F.col("x") - F.col("v")) / F.col("h")
-    dense = grid.join(counted, label).groupBy(label, "i", "x", "h", "total").agg(F.sum(F.col("n") * F.exp(z * z * -0.5)).alias("s"))
+    dense = grid.join(counted, [label, "__share"]).groupBy(label, "i", "x", "h", "total").agg(F.sum(F.col("n") * F.exp(z * z * -0.5)).alias("s"))
     return dense.select(label, "i", "x", (F.col("s") / (F.col("total") * F.col("h") * 2.5066282746310002)).alias("density"))
 
 

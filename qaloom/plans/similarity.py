@@ -58,9 +58,11 @@ def corpus_bleu(spark, sf):
     return metrics.corpus_bleu(metrics.bleu_stats(_pairs(spark, sf), []), []).withColumn("bleu", F.round("bleu", 6))
 
 
+_WORDS = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
 def _rouge_sql(n: int) -> str:
-    tok = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
-    return f"""WITH t AS (SELECT case_id, idx, {tok.format('p')} AS p, {tok.format('r')} AS r FROM {_BASE} WHERE r <> ''),
+    return f"""WITH t AS (SELECT case_id, idx, {_WORDS.format('p')} AS p, {_WORDS.format('r')} AS r FROM {_BASE} WHERE r <> ''),
  g AS (SELECT case_id, idx, s, array_to_string(w[i:i+{n - 1}], ' ') AS gram, count(*) AS c FROM (SELECT case_id, idx, s, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM (SELECT case_id, idx, 'p' AS s, p AS w FROM t UNION ALL SELECT case_id, idx, 'r', r FROM t)) GROUP BY ALL),
  m AS (SELECT a.case_id, a.idx, sum(least(a.c, b.c)) AS matched FROM g a JOIN g b USING (case_id, idx, gram) WHERE a.s = 'p' AND b.s = 'r' GROUP BY 1, 2)
  SELECT case_id, idx, round(CASE WHEN coalesce(matched, 0) = 0 THEN 0.0 ELSE 2.0::DOUBLE * matched::DOUBLE / (len(p) - {n} + 1 + len(r) - {n} + 1) END, 6) AS rouge{n}_f FROM t LEFT JOIN m USING (case_id, idx)"""
@@ -76,9 +78,21 @@ def rouge2_f(spark, sf):
     return metrics.rouge(_pairs(spark, sf), stemmed=False).select("case_id", "idx", F.round("rouge2_f", 6).alias("rouge2_f"))
 
 
-@query("rougeL_f")
+# the longest common subsequence row by row: row i of the table is the running maximum of what row i - 1 and a match give
+_LCS = f"""WITH RECURSIVE t AS (SELECT case_id, idx, {_WORDS.format('p')} AS p, {_WORDS.format('r')} AS r FROM {_BASE} WHERE r <> ''),
+ across AS (SELECT case_id, idx, unnest(range(1, len(p) + 1)) AS j, unnest(p) AS w FROM t),
+ down AS (SELECT case_id, idx, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS x FROM t),
+ cells AS (SELECT case_id, idx, 0::BIGINT AS i, j, w, 0::BIGINT AS v FROM across
+  UNION ALL SELECT case_id, idx, i, j, w, max(u) OVER (PARTITION BY case_id, idx ORDER BY j) AS v FROM
+   (SELECT c.case_id, c.idx, d.i, c.j, c.w, greatest(c.v, lag(c.v, 1, 0::BIGINT) OVER (PARTITION BY c.case_id, c.idx ORDER BY c.j) + CASE WHEN c.w = d.x THEN 1 ELSE 0 END) AS u
+    FROM cells c JOIN down d ON d.case_id = c.case_id AND d.idx = c.idx AND d.i = c.i + 1)),
+ l AS (SELECT case_id, idx, max(v) AS l FROM cells GROUP BY 1, 2)
+ SELECT case_id, idx, round(CASE WHEN coalesce(l, 0) = 0 THEN 0.0 ELSE 2.0::DOUBLE * l::DOUBLE / (len(p) + len(r)) END, 6) AS rougeL_f FROM t LEFT JOIN l USING (case_id, idx)"""
+
+
+@query("rougeL_f", _LCS)
 def rouge_l(spark, sf):
-    return metrics.rouge(_pairs(spark, sf), stemmed=False).select("case_id", "idx", "rougeL_f")
+    return metrics.rouge(_pairs(spark, sf), stemmed=False).select("case_id", "idx", F.round("rougeL_f", 6).alias("rougeL_f"))
 
 
 @query("rouge_stemmed")

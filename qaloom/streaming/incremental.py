@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.align import with_occurrence
+
 
 def pending(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key has no result yet."""
@@ -18,8 +20,8 @@ def pending(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def pending_occurrences(todo: DataFrame, done: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The same where keys repeat: as many occurrences count as done as there are results."""
     n = done.groupBy(*keys).agg(F.count("*").alias("__n"))
-    ranked = todo.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
-    return ranked.join(n, keys, "left").where("__k > coalesce(__n, 0)").drop("__k", "__n")
+    ranked = with_occurrence(todo, keys, [order], "__k")
+    return ranked.join(n, keys, "left").where("__k >= coalesce(__n, 0)").drop("__k", "__n")
 
 
 def pending_positions(todo: DataFrame, done: DataFrame, pos: str = "pos") -> DataFrame:

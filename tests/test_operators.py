@@ -70,6 +70,18 @@ def test_occurrences(spark):
     assert rows(align.assign_question_ids(p, q), "pos", "qid") == [(5, "i.nii.gz::0"), (7, "i.nii.gz::1"), (9, "i.nii.gz::9"), (10, "unknown::10")]
 
 
+def test_occurrences_in_blocks(spark):
+    """Blocks of two places against one count a key, with null keys, null and negative places, and a place column that is no integer."""
+    data = [(k, p) for k, ps in (("a", [*range(-3, 14)]), (None, [1, 2, 9, 30]), ("b", [7]), ("c", [None, 5])) for p in ps]
+    d = spark.createDataFrame(data, "k string, pos int").withColumn("name", F.format_string("%05d", F.col("pos") + 100))
+    want = sorted((str(k), str(p), sum(1 for x, q in data if x == k and (q is None, q or 0) != (p is None, p or 0) and (q is None or (p is not None and q < p)))) for k, p in data)
+    for order in (["pos"], ["name"]):
+        got = align.with_occurrence(d, ["k"], order, "n", bits=1).collect()
+        assert [f.name for f in align.with_occurrence(d, ["k"], order, "n").schema] == ["k", "pos", "name", "n"]
+        assert sorted((str(r.k), str(r.pos), r.n) for r in got) == want
+    assert align.with_occurrence(d.limit(0), ["k"], ["pos"]).count() == 0
+
+
 def test_judges_of_unequal_length(spark):
     v = spark.createDataFrame([("m", j, i) for j, n in (("x", 5), ("y", 5), ("z", 4)) for i in range(n)], "model string, judge string, pos int")
     assert align.zip_judges(v).count() == 12
