@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, line_quality, linkgraph, packing, sharding, simhash, spm, suffix_dedup, telephony, token_counts
+from . import gam, line_quality, linkgraph, packing, sharding, simhash, spm, substrings, suffix_dedup, telephony, token_counts
 from .common import crc_bucket, tidy
 
 
@@ -136,3 +136,13 @@ def op9_url_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_url_linkgraph"] = linkgraph.oracle(URL_RULES)
+
+
+@_query
+@tidy
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeated_runs(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op11_substring_dedup"] = substrings.oracle()
