@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, line_quality, linkgraph, packing, sharding, simhash, spm, substrings, suffix_dedup, telephony, token_counts
+from . import divergence, gam, line_quality, linkgraph, packing, sharding, simhash, spm, substrings, suffix_dedup, telephony, token_counts
 from .common import crc_bucket, tidy
 
 
@@ -146,3 +146,11 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_substring_dedup"] = substrings.oracle()
+
+
+@_query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_source_divergence"] = divergence.oracle()
