@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, gam, line_quality, linkgraph, packing, sharding, simhash, spm, substrings, suffix_dedup, telephony, token_counts
+from . import divergence, gam, line_quality, linkgraph, packing, sharding, simhash, spm, substrings, suffix_dedup, telephony, token_counts, trie
 from .common import crc_bucket, tidy
 
 
@@ -154,3 +154,11 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_source_divergence"] = divergence.oracle()
+
+
+@_query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+ORACLE["op12_conversation_trie"] = trie.oracle()
