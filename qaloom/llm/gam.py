@@ -196,11 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     span = 1 << 20
     part = min(span, int(span * 0.97 * max_train / max(1, n)))
     known = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(span)) < part)
-    place = F.xxhash64(F.lit(5), "doc_id").alias("__place")
-    some = docs.select("doc_id", text, place, F.xxhash64(text).alias("__text_hash")).join(F.broadcast(known), "doc_id")
-    rows = add_features(some, ["doc_id", "__y", "__place", "__text_hash"], text).toPandas()
-    rows["__place"] %= span
-    rows = rows.sort_values(["__place", "doc_id", "__text_hash"]).drop_duplicates("doc_id").reset_index(drop=True)[:max_train]
+    # one text an id, and no more than max_train of them, before anything crosses to the driver
+    some = docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text")).alias("one")).join(F.broadcast(known), "doc_id")
+    place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(span)).alias("__place")
+    some = some.groupBy("doc_id").agg(F.min_by("one.text", "one.hash").alias("__one"), F.first("__y").alias("__y"))
+    some = add_features(some.select("doc_id", "__one", "__y", place), ["__place", "doc_id", "__y"], "__one")
+    rows = some.orderBy("__place", "doc_id").limit(max_train).toPandas()
     if rows.empty:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0))
     return train(np.stack(rows["x"].to_numpy()), rows["__y"].to_numpy(float))

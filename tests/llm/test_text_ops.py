@@ -154,6 +154,19 @@ def brute_features(t, squeeze):
     ]
 
 
+def test_training_rows_are_bounded_before_the_driver(spark, monkeypatch):
+    """One labelled id that 50,000 rows repeat, among 300 others: a row an id, and no more than asked for."""
+    docs = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("same id, text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(spark.range(1000, 1300).select("id", F.concat(F.lit("other "), F.col("id").cast("string"))))
+    labels = spark.range(1300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen = []
+    plain = type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: seen.append(plain(self)) or seen[-1])
+    gam.fit(docs, labels, max_train=20_000)
+    gam.fit(docs, labels, max_train=60)
+    assert [len(x) <= n and not x.doc_id.duplicated().any() for x, n in zip(seen, (301, 60))] == [True, True] and 7 in set(seen[0].doc_id)
+
+
 def test_gam(spark, odd, sf):
     docs, labels = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/documents.parquet"), spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/labels.parquet")
     model = gam.fit(docs, labels)
