@@ -14,7 +14,7 @@ be read in one fixed order: from the anchor on, then to both sides.  Digits are
 
 Nothing has to be put in order inside a digit, so the distribution step is grouping by key: keys are 128-bit digests, counted
 with map-side combination and joined back, and a passage that a third of all documents share is one counter and not one
-task's list.  Texts are compressed and bucketed by row once; every pass over them is a join without a text shuffle, and
+task's list.  Texts are compressed and dealt by row once; every pass over them is a join without a text shuffle, and
 a long text's cells go in blocks.
 
 The same passes run over bytes and over words, each word being one 64-bit hash in place of a byte: windows then are runs
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut, delete_folder, parts_for, release_shuffles, scratch, shared_dir, stage, text_bytes, written
+from .common import WORD, cut, parts_for, release_shuffles, scratch, shared_dir, stage, text_bytes, written
 
 WINDOW = 400
 GRAM = 100
@@ -47,7 +46,8 @@ WORDS = 50
 #: Class widths in runs of words, as many passes.
 WORD_WIDTHS = (12, 4, 1)
 CHUNK = 1 << 18
-BUCKET_BYTES = 32 << 20
+#: Bytes of text in a partition, which grows once there would be more partitions than that.
+PART_BYTES, MOST_PARTS = 32 << 20, 100_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -267,11 +267,15 @@ def _kept_rows(batches, window: int, words: int, cut_words: bool, as_text: bool,
         yield pa.RecordBatch.from_arrays([*b.columns[2:], *own, rest], names=names)
 
 
-def _bucketed(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, int]:
-    """The rows with compressed text, bucketed by a row id in the shared folder, and the partitions for narrow tables."""
+def _dealt(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, int]:
+    """The rows with compressed text, dealt by a row id, and the partitions for narrow tables.
+
+    They are checkpointed as they are dealt: Spark remembers how a checkpointed table is partitioned, so that a join on the row
+    id moves the narrow side alone.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_bytes(text)))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // PART_BYTES)))
     src = docs.select(F.monotonically_increasing_id().alias("__rid"), text_bytes(text).alias("__z"), *keep)
     names = src.columns
 
@@ -281,16 +285,16 @@ def _bucketed(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, i
             z = pa.array([c.compress(t.as_buffer()) for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), z, *b.columns[2:]], names=names)
 
-    name = f"qaloom_texts_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/staged-{name}"
-
-    def gone():
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        delete_folder(spark, path)
-
-    rows = src.mapInArrow(squeeze, src.schema).repartition(n, "__rid")
-    rows.write.bucketBy(n, "__rid").option("path", path).option("compression", "none").saveAsTable(name)
-    return written(spark.table(name), path, gone), parts_for(spark, size)  # narrow tables are a fraction of the texts
+    shared_dir(spark)
+    # an adaptive plan does not tell its partitioning, so this one exchange is planned without
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = src.mapInArrow(squeeze, src.schema).repartition(n, "__rid").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    path = rows._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    return written(rows, path), parts_for(spark, size)  # narrow tables are a fraction of the texts
 
 
 def _refine(texts: DataFrame, active: DataFrame, units: dict[bool, Unit], step: int, parts: int) -> tuple[DataFrame, DataFrame | None]:
@@ -331,7 +335,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     if words:
         units.append(Unit(True, words, max(1, words // 8), WORD_WIDTHS))
     by_kind = {x.words: x for x in units}
-    texts, parts = _bucketed(docs.select(F.col(text).alias("__text"), *keep), "__text", keep)
+    texts, parts = _dealt(docs.select(F.col(text).alias("__text"), *keep), "__text", keep)
     found = stage(texts.select("__rid", "__z").mapInArrow(lambda it: _anchor_rows(it, units), FOUND))
     # counts are materialised before they are joined, so that both join sides are plain shuffles and a hot gram can be split
     again = cut(found.groupBy("u", "kh").agg(F.count("*").alias("n")).where("n > 1").select("u", "kh"), parts)
