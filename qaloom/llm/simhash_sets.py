@@ -1,6 +1,6 @@
 """SimHash near-dedup at a given similarity: wide fingerprints of sets of word shingles, bit-sliced comparison, exact check.
 
-Documents with equal sets are one node, with a ``64 * WORDS``-bit SimHash of its set.  Two sets at similarity 0.8 differ in
+Documents with equal sets (by a 128-bit digest) are one numbered node, with a ``64 * WORDS``-bit SimHash of its set.  Two sets at similarity 0.8 differ in
 some 15 % of the bits, ``RADIUS`` of ``128`` leaves out one such pair in 10^5.  At that radius pigeonhole blocks would have
 3 bits, so the blocks inside which fingerprints are compared come from MinHash bands (``ROWS`` of ``BANDS * ROWS`` minima; a
 pair at 0.8 shares none with probability ``(1 - 0.8 ** ROWS) ** BANDS``, 3e-6).  What the fingerprints let through is confirmed on
@@ -18,17 +18,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected, cut, one_row_each, row_digests, scratch, text_bytes
+from .common import connected, cut, one_row_each, row_digests, scratch, stage, text_bytes
 from .simhash import _planes, near_masks
 
 SHINGLE = 5
 #: The least similarity of near copies, as a fraction.
 ALIKE = (4, 5)
 WORDS, RADIUS = 2, 41
+#: Fingerprints of more bits for pairs of larger sets, where a block has many pairs: 15 % of 1,024 bits and 5.3 deviations.
+WIDE, WIDE_RADIUS, WIDE_SIZE = 16, 216, 64
 BANDS, ROWS = 24, 4
 CAP = 512
 _STEP = 512
@@ -88,24 +90,26 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 _FP = [f"f{i}" for i in range(WORDS)]
 _OWN = ["node", "size", *_FP]
+_SET = ["s1", "s2", *_OWN[1:]]
 
 
 def _marks(rows: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``d1, d2, id`` plus the node, the size of its set, its fingerprint and its band keys."""
+    """``d1, d2, id`` plus a 128-bit digest of the set, the set's size, its fingerprint and its band keys."""
     src = rows.select(F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), F.col(doc_id).alias("id"), text_bytes(text).alias("__text"))
-    schema = T.StructType([*src.schema.fields[:3], *(T.StructField(c, T.LongType()) for c in _OWN), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*src.schema.fields[:3], *(T.StructField(c, T.LongType()) for c in _SET), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
             own, keys = [], []
             for t in b.column(3):
                 s = shingles(t.as_buffer().to_pybytes())
-                own.append((xxhash.xxh64_intdigest(s.tobytes()), len(s), *set_fingerprint(s).tolist()))
+                digest = xxhash.xxh3_128_intdigest(s.tobytes())
+                own.append((digest >> 64, digest & (1 << 64) - 1, len(s), *set_fingerprint(s).tolist()))
                 keys.append(band_keys(s) if len(s) else np.zeros(0, np.uint64))
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys])
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
-            columns = np.array(own, np.uint64).reshape(-1, len(_OWN)).view(np.int64).T
+            columns = np.array(own, np.uint64).reshape(-1, len(_SET)).view(np.int64).T
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(np.ascontiguousarray(c)) for c in columns), lists], names=schema.names)
 
     return src.mapInArrow(run, schema)
@@ -169,6 +173,12 @@ def _block_links(root: np.ndarray, node: np.ndarray, size: np.ndarray, fps: np.n
             sets[i] = shingles(d.decompress(z[i].as_buffer()))
         return sets[i]
 
+    def wide(i: np.ndarray) -> np.ndarray:
+        for j in np.unique(i[~known[i]]).tolist():
+            broad[j], known[j] = set_fingerprint(made(j), WIDE), True
+        return broad[i]
+
+    broad, known = np.zeros((n, WIDE), np.uint64), np.zeros(n, bool)
     for at in range(0, n, step):
         q = np.repeat(np.arange(at, min(n, at + step)), words)
         w = np.tile(np.arange(words), len(q) // words)
@@ -178,7 +188,14 @@ def _block_links(root: np.ndarray, node: np.ndarray, size: np.ndarray, fps: np.n
         ok = y < x  # the padding lanes lie behind all members
         x, y = x[ok], y[ok]
         ok = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * ALIKE[1] >= np.maximum(size[x], size[y]) * ALIKE[0])
-        for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+        x, y = x[ok], y[ok]
+        if len(x) > 4 * n:
+            large = np.minimum(size[x], size[y]) >= WIDE_SIZE
+            for a in range(0, len(x), 1 << 16):
+                part = np.flatnonzero(large[a : a + (1 << 16)]) + a
+                large[part] = np.bitwise_count(wide(x[part]) ^ wide(y[part])).sum(1, dtype=np.int64) > WIDE_RADIUS
+            x, y = x[~large], y[~large]
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
             a, b = find(int(root[i])), find(int(root[j]))
             if a != b and alike(made(i), made(j)):
                 above[max(a, b)] = min(a, b)
@@ -224,9 +241,41 @@ def _rooted(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.unionByName(new.join(labels, "node", "left_anti")))
 
 
-def _linked(marked: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+def _rare_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key, root`` and a node's columns: finer blocks, one for each rare shingle that several of the members share.
+
+    Of a set with c shingles that other members have, the rarest ``c - ceil(0.8 size) + 1`` count; those that nobody else has
+    come before all of them.
+    """
+
+    def run(batches):
+        d = zstandard.ZstdDecompressor()
+        for b in batches:
+            for node, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = shingles(d.decompress(z.as_buffer()))
+                for at in range(0, len(s), 1 << 16):
+                    some = s[at : at + (1 << 16)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), node)), pa.array(some)], names=["node", "g"])
+
+    every = stage(members.select("node").join(texts, "node").mapInArrow(run, "node long, g long"))
+    often = cut(every.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = stage(every.join(often, "g"))
+    room = shared.groupBy("node").agg(F.count("*").alias("c")).join(members.select("node", "size"), "node")
+    room = cut(room.select("node", (F.col("c") - F.ceil(F.col("size") * ALIKE[0] / ALIKE[1]) + 1).alias("room")).where("room > 0"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "g"))
+    picked = stage(shared.join(room, "node").withColumn("place", place).where("place <= room").select("g", "node"))
+    same = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2))]
+    blocks = cut(picked.groupBy("g").agg(*same).where("n > 1").groupBy("n", "x1", "x2").agg(F.min("g").alias("g")).select("g"))
+    return cut(picked.join(blocks, "g").join(members, "node").select(F.xxhash64(F.lit("rare"), "g").alias("key"), "root", *_OWN))
+
+
+def _of_several(named: DataFrame) -> DataFrame:
+    """``key, n`` of the blocks that hold several groups."""
+    return cut(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
+
+
+def _linked(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """``(node, root)`` of every node that has a near copy."""
-    nodes = cut(marked.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("d"), *(F.first(c).alias(c) for c in (*_OWN[1:], "keys"))))
     slots = nodes.select(*_OWN, F.explode("keys").alias("key"))
     # counts and centres are materialised before they are joined, so that a hot key can be split
     hit = cut(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
@@ -240,12 +289,24 @@ def _linked(marked: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     texts = cut(plain.join(wanted, ["d1", "d2"]).select("node", "z").dropDuplicates(["node"]))
     labels = cut(connected(_confirmed(nearest, texts)))
     named = cut(shared.join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("root"), *_OWN))
-    mixed = cut(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
+    mixed = _of_several(named)
+    large = cut(named.join(mixed.where(F.col("n") > CAP).select("key"), "key").select("root", *_OWN).distinct())
+    small = named.join(mixed.where(F.col("n") <= CAP), "key")
+    links = [_compared(small, texts)]
+    if not large.isEmpty():
+        fine = _rare_blocks(large, texts)
+        links.append(_compared(fine.join(_of_several(fine), "key"), texts))
+    both = links[0] if len(links) == 1 else links[0].unionByName(links[1])
+    return _rooted(labels, both.distinct())
+
+
+def _compared(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links of blocks ``key, n, root`` and a node's columns, large ones dealt chunk by chunk."""
     chunks = F.ceil(F.col("n") / CAP)
     tile = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64("key", F.least("c", j), F.greatest("c", j)))
-    tiled = named.join(mixed, "key").withColumn("c", F.pmod(F.xxhash64(F.lit(77), "node"), chunks)).select(F.explode(tile).alias("tile"), "root", *_OWN)
-    blocks = tiled.join(texts, "node").select("tile", "root", *_OWN, "z").repartition("tile").sortWithinPartitions("tile")
-    return _rooted(labels, cut(blocks.mapInArrow(_near_in_blocks, "a long, b long").distinct()))
+    tiled = blocks.withColumn("c", F.pmod(F.xxhash64(F.lit(77), "node"), chunks)).select(F.explode(tile).alias("tile"), "root", *_OWN)
+    dealt = tiled.join(texts, "node").select("tile", "root", *_OWN, "z").repartition("tile").sortWithinPartitions("tile")
+    return cut(dealt.mapInArrow(_near_in_blocks, "a long, b long").distinct())
 
 
 def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -257,7 +318,10 @@ def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """
     with scratch() as s:
         rows = row_digests(docs)
-        marked = cut(_marks(rows, text, doc_id))
-        out, read = one_row_each(rows, marked, _linked(marked, rows, text))
+        marks = cut(_marks(rows, text, doc_id))
+        sets = marks.groupBy("s1", "s2").agg(F.min(F.struct("d1", "d2")).alias("d"), *(F.first(c).alias(c) for c in (*_SET[2:], "keys")))
+        nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()))
+        marked = marks.select("d1", "d2", "id", "s1", "s2").join(nodes.select("s1", "s2", "node"), ["s1", "s2"]).select("d1", "d2", "id", "node")
+        out, read = one_row_each(rows, marked, _linked(nodes, rows, text))
         s.keep(read)
     return out
