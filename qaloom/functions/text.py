@@ -60,13 +60,15 @@ def default_text(text: str | Column, fallback: str) -> Column:
     return F.coalesce(F.nullif(_c(text), F.lit("")), F.lit(fallback))
 
 
-def strip_code_fence(text: str | Column, language: str = "json") -> Column:
-    """A fenced block's body: backticks and newlines at both ends go, then a leading language line; other text is stripped."""
+def strip_code_fence(text: str | Column, *languages: str) -> Column:
+    """A fenced block's body: backticks and newlines at both ends go, then a leading language line (default json; several in
+    turn); other text is stripped."""
 
     def unfenced(t: Column) -> Column:
         body = F.regexp_replace(t, "^[`\n]+|[`\n]+$", "")
-        body = F.regexp_replace(body, rf"^{language}\s*\n", "")
-        return F.when(t.startswith(FENCE), strip(F.regexp_replace(body, rf"^{language}(?=[\[{{])", ""))).otherwise(t)
+        for language in languages or ("json",):
+            body = F.regexp_replace(F.regexp_replace(body, rf"^{language}\s*\n", ""), rf"^{language}(?=[\[{{])", "")
+        return F.when(t.startswith(FENCE), strip(body)).otherwise(t)
 
     return let(strip(text), unfenced)
 
@@ -108,29 +110,51 @@ def parse_list(text: str | Column, element: T.DataType, lenient: bool = True) ->
     return let(strip_code_fence(text), tried)
 
 
+def _json_items(t: Column) -> Column:
+    """The items of a text that is one strict JSON list, as Python would write them, without false ones; null if it is no JSON.
+
+    Boxed, so that a text with a tail is no JSON and one with a second value has two items.  Any other JSON value has no items.
+    """
+    boxed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    # the reader of variants forgives nothing but what stands behind a value: the box takes that away
+    one = F.size(F.try_variant_get(boxed, "$", "array<variant>")) == 1
+
+    def item(x: Column) -> Column:
+        kind, s = F.schema_of_variant(x), F.try_variant_get(x, "$", "string")
+        number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        empty = (kind == "VOID") | s.isNull() | (s == "") | s.isin("[]", "{}") & kind.rlike("^(ARRAY|OBJECT)") | number & (F.try_variant_get(x, "$", "double") == 0) | (kind == "BOOLEAN") & (s == "false")
+        return F.when(empty, F.lit(None)).when(kind == "BOOLEAN", F.lit("True")).otherwise(s)
+
+    items = F.try_variant_get(boxed, "$[0]", "array<variant>")
+    return F.when(one, F.coalesce(F.filter(F.transform(items, item), lambda x: x.isNotNull()), F.array().cast("array<string>")))
+
+
 def parse_categories(text: str | Column) -> Column:
-    """A list of labels from a JSON list, else from a Python list literal, else from quoted strings between brackets.
+    """A list of labels from a strict JSON list, else from a Python list literal, else from quoted strings between brackets.
 
-    Of the last, double-quoted strings come before single-quoted ones.  Empty items and None go, labels are stripped.
+    Of the first two false items (empty, 0, false, None) go, other items become text as Python writes it.  Of the last,
+    double-quoted strings come before single-quoted ones, and blank ones go.  Labels are stripped; a text that is another
+    JSON value, or has something behind the list, has none.
     """
 
     def item(x: Column) -> Column:
         body = F.substring(x, F.lit(2), F.length(x) - 2)
         for escape, char in (("\\n", "\n"), ("\\t", "\t"), ("\\'", "'"), ('\\"', '"')):
             body = F.regexp_replace(body, r"(?<!\\)((?:\\\\)*)\\" + escape[1], "$1" + char)
-        body = F.replace(body, F.lit("\\\\"), F.lit("\\"))
+        body = F.nullif(F.replace(body, F.lit("\\\\"), F.lit("\\")), F.lit(""))
         return F.when(x.rlike("^['\"]"), body).when(x.rlike(r"^(None|False|[-+]?0+(\.0+)?)$"), F.lit(None)).otherwise(x)
 
     def parsed(t: Column) -> Column:
-        literal = F.when(t.rlike(rf"^\[\s*(?:{LITERAL}\s*(?:,\s*{LITERAL}\s*)*+(?:,\s*)?)?\]$"), F.transform(F.regexp_extract_all(t, F.lit(f"({LITERAL})"), F.lit(1)), item))
+        literal = F.when(t.rlike(rf"^\[\s*(?:{LITERAL}\s*(?:,\s*{LITERAL}\s*)*+(?:,\s*)?)?\]$"), F.filter(F.transform(F.regexp_extract_all(t, F.lit(f"({LITERAL})"), F.lit(1)), item), lambda x: x.isNotNull()))
         boxed = t.rlike(r"(?s)^\[.*\]$")
         double = F.regexp_extract_all(t, F.lit('"([^"]*)"'), F.lit(1))
         single = F.regexp_extract_all(t, F.lit("'([^']*)'"), F.lit(1))
-        quoted = F.when(boxed & (F.size(double) > 0), double).when(boxed & (F.size(single) > 0), single)
-        got = F.coalesce(F.from_json(t, T.ArrayType(T.StringType())), literal, quoted, F.array().cast("array<string>"))
-        return F.filter(F.transform(got, strip), lambda x: x.isNotNull() & (x != ""))
+        full = lambda a: F.filter(a, lambda x: strip(x) != "")
+        quoted = F.when(boxed & (F.size(double) > 0), full(double)).when(boxed & (F.size(single) > 0), full(single))
+        got = F.coalesce(F.when(t != "", _json_items(t)), literal, quoted, F.array().cast("array<string>"))
+        return F.transform(got, strip)
 
-    return let(strip_code_fence(strip_code_fence(text, "python"), "json"), parsed)
+    return let(strip_code_fence(text, "python", "json"), parsed)
 
 
 def canonical_categories(labels: str | Column) -> Column:

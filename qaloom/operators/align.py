@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import normalize_image_id
-from ..functions.text import normalize
+from ..functions.text import first_truthy, normalize
 
 #: Occurrences are numbered in blocks of 2^20 places.
 BLOCK_BITS = 20
@@ -34,9 +34,13 @@ def with_occurrence(rows: DataFrame, keys: list[str], order: list[str], out: str
 
 
 def occurrence_join(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str], values: list[str]) -> DataFrame:
-    """Left rows with ``values`` of the right row that is the same occurrence of the same key (k-th with k-th), else nulls."""
+    """Left rows with ``values`` of the right row that is the same occurrence of the same key (k-th with k-th), else nulls.
+
+    Null keys are equal to each other: the join is on the keys as one struct.
+    """
     a, b = with_occurrence(left, keys, left_order), with_occurrence(right, keys, right_order)
-    return a.join(b.select(*keys, "occ", *values), [*keys, "occ"], "left")
+    key = F.struct(*keys).alias("__key")
+    return a.select("*", key).join(b.select(key, "occ", *values), ["__key", "occ"], "left").select(*left.columns, "occ", *values)
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -47,9 +51,11 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def assign_question_ids(predictions: DataFrame, questions: DataFrame) -> DataFrame:
     """Predictions with ``qid`` by (image_id, question, answer) and occurrence; else ``image::pos`` or ``unknown::pos``.
 
-    Questions and answers are compared stripped, null as empty.  A prediction's image is brought to its volume's file name; none
-    counts as empty.
+    Questions and answers are compared stripped, null as empty.  A prediction's image (``image_id``, or else the first of
+    ``case_id`` and ``image_path`` that is not empty) is brought to its volume's file name; none counts as empty.
     """
+    if "image_id" not in predictions.columns:
+        predictions = predictions.withColumn("image_id", first_truthy(*[c for c in ("case_id", "image_path") if c in predictions.columns]))
     image = F.when(F.coalesce("image_id", F.lit("")) != "", normalize_image_id("image_id")).otherwise(F.lit(""))
     got = occurrence_join(_keyed(predictions).withColumn("image_id", image), _keyed(questions), ["image_id", "question", "answer"], ["pos"], ["qid"], ["qid"])
     named = F.coalesce(F.nullif("image_id", F.lit("")), F.lit("unknown"))
@@ -59,11 +65,11 @@ def assign_question_ids(predictions: DataFrame, questions: DataFrame) -> DataFra
 def fifo_question_ids(judgments: DataFrame, predictions: DataFrame) -> DataFrame:
     """Judgments with the ``qid`` of the first unused prediction of the same question and answer of their model.
 
-    Images are ignored, as judgments carry none; texts are compared stripped, null as empty; an unmatched row becomes
-    ``unknown::model::pos``.
+    Images are ignored, as judgments carry none; texts are compared stripped, null as empty; null models are one model.  An
+    unmatched row becomes ``unknown::model::pos``, with nothing for a null model.
     """
     got = occurrence_join(_keyed(judgments), _keyed(predictions), ["model", "question", "answer"], ["pos"], ["pos"], ["qid"])
-    return got.withColumn("qid", F.coalesce("qid", F.concat(F.lit("unknown::"), "model", F.lit("::"), F.col("pos").cast("string")))).drop("occ")
+    return got.withColumn("qid", F.coalesce("qid", F.concat(F.lit("unknown::"), F.coalesce("model", F.lit("")), F.lit("::"), F.col("pos").cast("string")))).drop("occ")
 
 
 def zip_judges(votes: DataFrame) -> DataFrame:
@@ -98,3 +104,10 @@ def lost_rows(items: DataFrame, responses: DataFrame, keys: list[str] | None = N
     keys = keys or ["batch"]
     sizes = items.groupBy(*keys).agg(F.count("*").alias("n"))
     return sizes.join(responses.select(*keys, F.size("results").alias("got")), keys, "left").select(*keys, F.greatest(F.col("n") - F.greatest(F.coalesce("got", F.lit(0)), F.lit(0)), F.lit(0)).cast("long").alias("lost"))
+
+
+def group_ordered(rows: DataFrame, key: str, order: str, values: list[str], out: str = "rows") -> DataFrame:
+    """One row a key with its rows as structs of ``values``, by ``order`` (nulls first); a case's rows have to fit into a task."""
+    entry = F.struct(F.col(order).alias("__o"), *values)
+    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("__r"))
+    return lists.select(key, F.transform("__r", lambda x: F.struct(*[x[v].alias(v) for v in values])).alias(out))

@@ -94,5 +94,18 @@ def batch_lost_rows(spark, sf):
 
 @query("group_by_case", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def group_by_case(spark, sf):
-    c = table(spark, sf, "conversations")
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">").alias("roles"))
+    cases = align.group_ordered(table(spark, sf, "conversations"), "conv_id", "turn", ["role"], "turns")
+    return cases.select("conv_id", F.array_join(F.transform("turns", lambda x: x["role"]), ">").alias("roles"))
+
+
+#: Models of every fifth document are null.
+_MODEL = "(CASE WHEN doc_id % 5 > 0 THEN lang END)"
+
+
+@query("fifo_join_null_models", f"""WITH j AS (SELECT doc_id AS pos, {_MODEL} AS model, {_ASKED} AS question, row_number() OVER (PARTITION BY {_MODEL}, {_ASKED} ORDER BY doc_id) AS k FROM documents),
+ p AS (SELECT CAST(doc_id AS VARCHAR) AS qid, {_MODEL} AS model, {_KEY} AS question, row_number() OVER (PARTITION BY {_MODEL}, {_KEY} ORDER BY doc_id) AS k FROM documents)
+ SELECT pos, j.model, coalesce(qid, 'unknown::' || coalesce(j.model, '') || '::' || CAST(pos AS VARCHAR)) AS qid FROM j LEFT JOIN p ON j.model IS NOT DISTINCT FROM p.model AND j.question IS NOT DISTINCT FROM p.question AND j.k = p.k""")
+def fifo_join_null_models(spark, sf):
+    d = _docs(spark, sf).withColumn("answer", F.lit("")).withColumn("model", F.when(F.col("doc_id") % 5 > 0, F.col("lang"))).withColumnRenamed("doc_id", "pos")
+    asked = F.concat("question", F.when(F.col("pos") % 2 == 0, "?").otherwise(""))
+    return align.fifo_question_ids(d.withColumn("question", asked), d.withColumn("qid", F.col("pos").cast("string"))).select("pos", "model", "qid")

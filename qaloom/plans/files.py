@@ -1,26 +1,41 @@
 """File round trips: whole tables written in a reference format to the shared folder, and read back.
 
-A query's files lie in a folder of its own, which its next run overwrites.
+Every call has a folder of its own, which goes once its rows have been read back; two calls never meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import shared_folder, table
+from ..session import folder_of_its_own, settled, table
 from ..sources import files, sinks
 from . import _data as D
 from .registry import query
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/files-{name}"
+#: Columns of a matrix at most; more models than that are no wide table.
+MOST_MODELS = 10_000
+
+
+def _files(f: Callable) -> Callable:
+    """``f(spark, sf, at)`` as a query: ``at`` is a new folder that is gone when the query returns."""
+
+    @wraps(f)
+    def run(spark, sf) -> DataFrame:
+        with folder_of_its_own(spark, f.__name__) as at:
+            return settled(f(spark, sf, at))
+
+    return run
 
 
 @query("reports_csv_files", "SELECT CAST(doc_id AS VARCHAR) AS file_name, md5(coalesce(text, '')) AS findings, coalesce(source, '') AS impressions FROM documents")
-def reports_csv_files(spark, sf):
-    at = _folder(spark, "reports-csv")
+@_files
+def reports_csv_files(spark, sf, at):
     sinks.write_reports_csv(D.documents(spark, sf).select(F.col("doc_id").cast("string").alias("file_name"), F.col("text").alias("findings_en"), F.col("source").alias("impressions_en")), at)
     return files.read_reports_csv(spark, at).select("file_name", F.md5(F.col("findings_en").cast("binary")).alias("findings"), F.col("impressions_en").alias("impressions"))
 
@@ -29,31 +44,30 @@ _QA = f"SELECT CAST(case_id AS VARCHAR) AS case_id, CAST(row_number() OVER (PART
 
 
 @query("qa_map_files", _QA)
-def qa_map_files(spark, sf):
-    at = _folder(spark, "qa-map")
+@_files
+def qa_map_files(spark, sf, at):
     sinks.write_qa(D.conversation_pairs(spark, sf), at)
     return files.read_qa(spark, at).select("case_id", "idx", "question", "answer")
 
 
 @query("qa_list_files", _QA)
-def qa_list_files(spark, sf):
-    at = _folder(spark, "qa-list")
+@_files
+def qa_list_files(spark, sf, at):
     sinks.write_qa(D.conversation_pairs(spark, sf), at, as_list=True)
     return files.read_qa(spark, at).select("case_id", "idx", "question", "answer")
 
 
 @query("jsonl_strict_files", "SELECT CAST(doc_id AS VARCHAR) AS case_id, source AS question, lang AS answer, md5(text) AS prediction, true AS dense FROM documents")
-def jsonl_strict_files(spark, sf):
-    at = _folder(spark, "jsonl")
+@_files
+def jsonl_strict_files(spark, sf, at):
     sinks.write_jsonl(D.documents(spark, sf).select(F.col("doc_id").cast("string").alias("case_id"), F.col("source").alias("question"), F.col("lang").alias("answer"), F.col("text").alias("prediction")), at, ["case_id"])
     got = files.read_jsonl(spark, at, schemas.PREDICTION)
     sizes = got.groupBy("model").agg((F.count_distinct("pos") == F.max("pos") + 1).alias("dense"))
     return got.join(sizes, "model").select("case_id", "question", "answer", F.md5(F.col("prediction").cast("binary")).alias("prediction"), "dense")
 
 
-def _noisy(spark, sf, name: str) -> str:
+def _noisy(spark, sf, at: str) -> str:
     """Events as JSON lines; a broken line stands behind every seventh, beside the rows and not in place of one."""
-    at = _folder(spark, name)
     row = F.to_json(F.struct(F.col("event_id").cast("string").alias("case_id"), F.col("props").alias("question")))
     lines = F.when(F.col("event_id") % 7 == 0, F.array(row, F.concat(F.lit("{oops"), "props"), F.lit(" "))).otherwise(F.array(row))
     table(spark, sf, "events").select(F.explode(lines).alias("value")).write.mode("overwrite").text(at)
@@ -64,48 +78,54 @@ _EVENTS = "SELECT CAST(event_id AS VARCHAR) AS case_id, props AS question FROM e
 
 
 @query("jsonl_lenient_files", _EVENTS)
-def jsonl_lenient_files(spark, sf):
-    return files.read_jsonl(spark, _noisy(spark, sf, "lenient"), schemas.PREDICTION, strict=False).select("case_id", "question")
+@_files
+def jsonl_lenient_files(spark, sf, at):
+    return files.read_jsonl(spark, _noisy(spark, sf, at), schemas.PREDICTION, strict=False).select("case_id", "question")
 
 
 @query("json_or_lines_files", _EVENTS)
-def json_or_lines_files(spark, sf):
-    return files.read_json_or_lines(spark, _noisy(spark, sf, "json-or-lines"), schemas.PREDICTION).select("case_id", "question")
+@_files
+def json_or_lines_files(spark, sf, at):
+    return files.read_json_or_lines(spark, _noisy(spark, sf, at), schemas.PREDICTION).select("case_id", "question")
 
 
 _JUDGED = "SELECT CAST(doc_id AS VARCHAR) AS case_id, source AS question, lang AS answer, quality = 1 AS is_correct FROM documents LEFT JOIN labels USING (doc_id)"
 
 
-def _judged(spark, sf, box: str | None):
+def _judged(spark, sf, at: str, box: str | None):
     """Judgments in list files, or in files with a ``jury`` or ``items`` box; a jury's verdict stands in a field of its own."""
     verdict = F.col("quality") == 1
     rows = D.documents(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     rows = rows.select(F.col("doc_id").cast("string").alias("case_id"), F.col("source").alias("question"), F.col("lang").alias("answer"), (~verdict if box == "jury" else verdict).alias("is_correct"), verdict.alias("jury_is_correct"))
-    at = _folder(spark, f"judge-{box or 'list'}")
     sinks.write_boxed(rows, at, lambda r: F.struct(r.alias(box)) if box else r)
     return files.read_judge(spark, at, "gpt").select("case_id", "question", "answer", "is_correct")
 
 
 @query("judge_list_files", _JUDGED)
-def judge_list_files(spark, sf):
-    return _judged(spark, sf, None)
+@_files
+def judge_list_files(spark, sf, at):
+    return _judged(spark, sf, at, None)
 
 
 @query("judge_jury_files", _JUDGED)
-def judge_jury_files(spark, sf):
-    return _judged(spark, sf, "jury")
+@_files
+def judge_jury_files(spark, sf, at):
+    return _judged(spark, sf, at, "jury")
 
 
 @query("judge_item_files", _JUDGED)
-def judge_item_files(spark, sf):
-    return _judged(spark, sf, "items")
+@_files
+def judge_item_files(spark, sf, at):
+    return _judged(spark, sf, at, "items")
 
 
 @query("matrix_files", """SELECT CAST(doc_id AS VARCHAR) AS question_id, m.lang AS model, CASE WHEN d.lang = m.lang THEN (n_chars % 101) / 100.0::DOUBLE END AS score
  FROM documents d, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) m""")
-def matrix_files(spark, sf):
-    at = _folder(spark, "matrix")
+@_files
+def matrix_files(spark, sf, at):
     d = D.documents(spark, sf).select(F.col("doc_id").cast("string").alias("question_id"), F.col("lang").alias("model"), ((F.col("n_chars") % 101) / 100).alias("score"))
-    models = [r[0] for r in d.where("model is not null").select("model").distinct().orderBy("model").collect()]  # a column each, so a short list
+    models = [r[0] for r in d.where("model is not null").select("model").distinct().orderBy("model").limit(MOST_MODELS + 1).collect()]
+    if len(models) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models: keep the scores long")
     sinks.write_csv(sinks.matrix_wide(d, models), at)
     return files.read_matrix(spark, at)

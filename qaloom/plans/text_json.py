@@ -108,15 +108,19 @@ def json_truncated_repair(spark, sf):
     return e.select("event_id", text.repair_list(cut).alias("repaired"))
 
 
-@query("category_parse", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || ';' || source WHEN 1 THEN lang || ';' || source WHEN 2 THEN 'Medial-Lateral Orientation (Centricity);Medial-Lateral Orientation (Centricity)' ELSE 'it''s;' || lang END AS labels FROM documents")
+@query("category_parse", "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN lang || ';' || source WHEN 1 THEN lang || ';' || source WHEN 2 THEN 'Medial-Lateral Orientation (Centricity);Medial-Lateral Orientation (Centricity)' WHEN 3 THEN 'it''s;' || lang WHEN 4 THEN lang WHEN 5 THEN '' WHEN 6 THEN 'True;' || lang || ';7' ELSE '' END AS labels FROM documents")
 def category_parse(spark, sf):
     d = D.documents(spark, sf)
-    m = F.col("doc_id") % 4
+    m = F.col("doc_id") % 8
     raw = (
         F.when(m == 0, F.concat(F.lit('["'), "lang", F.lit('", " '), "source", F.lit('"]')))
         .when(m == 1, F.concat(F.lit("['"), "lang", F.lit("', '"), "source", F.lit(" ']")))
         .when(m == 2, F.lit('["Medial-Lateral Orientation", "Medial-Lateral Orientation (Centricity)", " "]'))
-        .otherwise(F.concat(F.lit("['it\\'s', None, \""), "lang", F.lit('",]')))
+        .when(m == 3, F.concat(F.lit("['it\\'s', None, \""), "lang", F.lit('",]')))
+        .when(m == 4, F.concat(F.lit('["'), "lang", F.lit('", 0, null, false, "", 0.0]')))
+        .when(m == 5, F.concat(F.lit("['"), "lang", F.lit("'] tail")))
+        .when(m == 6, F.concat(F.lit('[true, "'), "lang", F.lit('", 7]')))
+        .otherwise(F.concat(F.lit('["'), "lang", F.lit('"] ["more"')))
     )
     return d.select("doc_id", F.array_join(text.canonical_categories(text.parse_categories(raw)), ";").alias("labels"))
 

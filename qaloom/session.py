@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,7 @@ def build_session(master: str | None = None, app: str = "qaloom", **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": os.environ.get("QALOOM_UI", "false"),
         "spark.ui.showConsoleProgress": "false",
     }
@@ -31,8 +34,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one on a local master that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (named or os.path.join(tempfile.gettempdir(), "qaloom-files")).rstrip("/")
+    """The folder that driver and executors share: what spark.checkpoint.dir names, or the session's checkpoint folder."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if not named:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named)
+    return (named or known.get()).rstrip("/")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def folder_of_its_own(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new path in the shared folder, deleted at the block's end: for files that are written and read back inside."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete_folder(spark, path)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` written to a checkpoint, so that what they were read from can go.
+
+    Spark deletes the checkpoint when nothing refers to it any more (``cleanCheckpoints``).
+    """
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint(eager=True)

@@ -50,6 +50,16 @@ def test_parse_cascade(spark):
         assert (got if got is None else [r["i"] for r in got]) == want, given
 
 
+def test_categories_as_python_reads_them(spark):
+    cases = {
+        '["a", 0, null, false]': ["a"], "['a'] tail": [], '["a"] tail': [], '[true, "x"]': ["True", "x"], "[True, 'x', False]": ["True", "x"],
+        '["true", "0", "None"]': ["true", "0", "None"], '{"a": 1}': [], '"a"': [], "": [], "[]": [], '["a"], "b"': [], "['a' 'b']": ["a", "b"], '[1.5, 12]': ["1.5", "12"],
+        '```json\n["a", "b"]\n```': ["a", "b"], '["a", [], {}, ""]': ["a"], "[' ', 'a']": ["", "a"], "[x, ' ', 'a']": ["a"], '["a",]': ["a"], "['it''s']": ["it", "s"],
+    }
+    for given, want in cases.items():
+        assert one(spark, text.parse_categories("t"), t=given) == want, given
+
+
 def test_categories(spark):
     assert one(spark, text.parse_categories("t"), t="['A','B']") == ["A", "B"]
     assert one(spark, text.parse_categories("t"), t='["A", " B "]') == ["A", "B"]
