@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -45,6 +46,15 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or known.get()).rstrip("/")
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """For entry points: on one machine without a named folder the session gets a new one of its own; a cluster has to name one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and (context.master + "[").startswith("local[") and not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="qaloom-"))
+    return spark
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
