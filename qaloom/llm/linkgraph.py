@@ -20,7 +20,7 @@ DAMPING = 0.85
 SETTLED = 1e-7
 #: More rounds than any graph needs at this damping: 0.85 ** 400 is 6e-29.  Reaching them is an error.
 ROUNDS = 400
-#: Rounds in one plan, before the ranks are written and compared.
+#: Rounds after which the ranks are compared with the last ones.
 STRIDE = 6
 BLOCK_SHARE = 0.5
 
@@ -76,18 +76,16 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         flow = share.join(r.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("part") * F.col("rank") * damping).alias("v"))
         return flow.unionByName(start.select("host", F.col("seed").alias("v"))).groupBy("host").agg(F.sum("v").alias("rank"))
 
-    done = 0
-    while done < rounds:
-        for _ in range(min(STRIDE, rounds - done) - 1):
-            rank = after(rank)
-            done += 1
-        was = cut(rank)
-        rank = cut(after(was))
-        done += 1
-        change = rank.join(was.withColumnRenamed("rank", "was"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+    # every round's ranks are materialised: the next join then has plain shuffles on both sides, and a hub's links can be split
+    rank = cut(rank)
+    for done in range(1, rounds + 1):
+        was, rank = rank, cut(after(rank))
+        if settled and (done % STRIDE == 0 or done == rounds):
+            change = rank.join(was.withColumnRenamed("rank", "was"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+            if change < settled:
+                drop(was)
+                return rank
         drop(was)
-        if change < settled:
-            return rank
     if settled:
         raise RuntimeError("ranks did not settle")
     return rank
