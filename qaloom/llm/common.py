@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,32 +11,12 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_folder, shared_folder
+
 #: The word separator of the text contracts: ASCII space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(configured)
-        return configured
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "qaloom-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Scratch:
     """What ``cut`` and ``stage`` have written inside a ``scratch`` block: folder -> how to delete it."""
 
@@ -112,7 +90,7 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     ``parts`` bounds the files: small results of many shuffle partitions then do not become as many tiny files.
     """
     spark = df.sparkSession
-    shared_dir(spark)
+    shared_folder(spark)
     out = (df.coalesce(parts) if parts else df).checkpoint(eager=True)
     # a checkpoint inherits its plan's size estimate, a product over all joins: carried from cut to cut it gets millions of
     # digits long.  Read as a plain source, the table has the default estimate, and adaptive execution sees real sizes.
@@ -135,7 +113,7 @@ def parts_for(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back (for wide or large tables)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     schema = df.schema
     if _paths(df):  # staged or cut already
         return df

@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut, parts_for, release_shuffles, scratch, shared_dir, stage, text_bytes, written
+from ..session import shared_folder
+from .common import WORD, cut, parts_for, release_shuffles, scratch, stage, text_bytes, written
 
 WINDOW = 400
 GRAM = 100
@@ -285,7 +286,7 @@ def _dealt(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, int]
             z = pa.array([c.compress(t.as_buffer()) for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), z, *b.columns[2:]], names=names)
 
-    shared_dir(spark)
+    shared_folder(spark)
     # an adaptive plan does not tell its partitioning, so this one exchange is planned without
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
