@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.text import PREDICTION_SUFFIXES, first_truthy, model_of_file, strip
+from .json_splits import elements, head_of_files, named
 
 
 def read_reports_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -18,13 +19,19 @@ def read_reports_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, value)``: every file as one string."""
+    """``(path, value)``: every file as one string; for small files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def _last_of_each(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Of a file's repeated keys the last one counts."""
+    return rows.groupBy("path", key).agg(F.max_by(value, "pos").alias(value))
+
+
 def read_reports_json(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_whole(spark, path).select(F.explode(F.from_json("value", schemas.REPORTS_JSON)).alias("case_id", "r"))
-    empty = F.lit("")
+    """Reports of maps from case to report; a large file is read by many tasks."""
+    pairs = elements(spark, path).select("path", "pos", F.explode(named(F.col("text"), schemas.REPORTS_JSON.valueType.simpleString())).alias("case_id", "r"))
+    rows, empty = _last_of_each(pairs, "case_id", "r"), F.lit("")
     return rows.select("case_id", F.coalesce("r.Findings_EN", empty).alias("findings_en"), F.coalesce("r.Impressions_EN", empty).alias("impressions_en"))
 
 
@@ -39,12 +46,13 @@ def read_qa(spark: SparkSession, path: str) -> DataFrame:
     List entries are keyed by the first non-empty of case_id, file_name and case; those without a key go, and of repeated
     keys the last entry counts.
     """
-    whole = read_whole(spark, path)
-    as_map = whole.where(F.ltrim("value").startswith("{")).select(F.explode(F.from_json("value", schemas.QA_MAP)).alias("case_id", "c")).select("case_id", "c.qa_pairs")
-    listed = whole.where(F.ltrim("value").startswith("[")).select("path", F.posexplode(F.from_json("value", schemas.QA_LIST)).alias("pos", "e"))
+    entry = schemas.QA_LIST.elementType
+    each = elements(spark, path).withColumn("__map", F.col("text").rlike(r'^\s*"'))
+    kind = schemas.QA_MAP.valueType.simpleString()
+    as_map = each.where("__map").select("path", "pos", F.explode(named(F.col("text"), kind)).alias("case_id", "c")).select("path", "pos", "case_id", "c.qa_pairs")
+    listed = each.where("not __map").select("path", "pos", F.from_json("text", entry).alias("e"))
     keyed = listed.select("path", "pos", first_truthy("e.case_id", "e.file_name", "e.case").alias("case_id"), "e.qa_pairs").where("case_id is not null")
-    last = keyed.groupBy("path", "case_id").agg(F.max_by("qa_pairs", "pos").alias("qa_pairs")).select("case_id", "qa_pairs")
-    return qa_pairs_of(as_map.unionByName(last))
+    return qa_pairs_of(_last_of_each(as_map.unionByName(keyed), "case_id", "qa_pairs").select("case_id", "qa_pairs"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -76,12 +84,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
 
 
 def read_json_or_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON list, or else JSON lines with bad lines skipped (parse first, so a single object is no line file)."""
-    whole = read_whole(spark, path)
-    listed = whole.select("path", F.from_json("value", T.ArrayType(schema)).alias("rows"), "value")
-    is_list = F.ltrim("value").startswith("[")
-    rows = listed.where(is_list).select("path", F.posexplode("rows").alias("pos", "r"))
-    lines = listed.where(~is_list).select("path", F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    """A JSON list, or else JSON lines with bad lines skipped.  Either is read by as many tasks as the file's size asks for."""
+    rows = elements(spark, path).join(head_of_files(spark, path).where("head = '['").select("path"), "path").select("path", "pos", F.from_json("text", schema).alias("r"))
+    lines = numbered_lines(spark, path).join(head_of_files(spark, path).where("head <> '['").select("path"), "path")
     lines = lines.where(F.try_parse_json("line").isNotNull()).select("path", "pos", F.from_json("line", schema).alias("r"))
     both = rows.unionByName(lines).where("r is not null")
     return both.select(model_of_file("path").alias("model"), F.col("pos").cast("long").alias("pos"), "r.*")
@@ -98,21 +103,18 @@ def read_judge(spark: SparkSession, path: str, judge: str) -> DataFrame:
     A file is a list, ``{"jury": [...]}`` (verdict in ``jury_is_correct``) or ``{"items": [...]}``; any other file is empty.
     """
     item = T.StructType([*schemas.JUDGMENT.fields, T.StructField("jury_is_correct", T.BooleanType())])
-    boxed = T.StructType([T.StructField("jury", T.ArrayType(item)), T.StructField("items", T.ArrayType(item))])
-    whole = read_whole(spark, path).withColumn("v", F.try_parse_json("value"))
-    box = F.from_json("value", boxed)
-    is_list = F.ltrim("value").startswith("[") & F.col("v").isNotNull()
-    rows = F.when(is_list, F.from_json("value", T.ArrayType(item))).otherwise(F.coalesce(box["jury"], box["items"]))
-    jury = ~is_list & box["jury"].isNotNull()
-    out = whole.select("path", jury.alias("__jury"), F.posexplode(rows).alias("pos", "r"))
+    each = elements(spark, path, boxes=True).where("key in ('', 'jury', 'items')")
+    # of a file with both lists the jury counts
+    jury = each.where("key = 'jury'").select("path").distinct().withColumn("__jury", F.lit(True))
+    rows = each.join(jury, "path", "left").where("__jury is null or key = 'jury'").select("path", "pos", F.coalesce("__jury", F.lit(False)).alias("__jury"), F.from_json("text", item).alias("r"))
     verdict = F.when(F.col("__jury"), F.col("r.jury_is_correct")).otherwise(F.col("r.is_correct"))
-    return out.select(F.lit(judge).alias("judge"), model_of_file("path").alias("model"), F.col("pos").cast("long").alias("pos"), "r.case_id", "r.question", "r.answer", "r.prediction", verdict.alias("is_correct"), "r.reasoning")
+    return rows.select(F.lit(judge).alias("judge"), model_of_file("path").alias("model"), F.col("pos").cast("long").alias("pos"), "r.case_id", "r.question", "r.answer", "r.prediction", verdict.alias("is_correct"), "r.reasoning")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """``(case_id, pos, has_spatial, is_spatial, has_relevant, is_relevant, reasoning)``: missing and null stay apart."""
-    each = read_whole(spark, path).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("case_id", "js"))
-    rows = each.select("case_id", F.posexplode("js").alias("pos", "j"))
+    each = elements(spark, path).select("path", "pos", F.explode(named(F.col("text"), "array<string>")).alias("case_id", "js"))
+    rows = _last_of_each(each, "case_id", "js").select("case_id", F.posexplode("js").alias("pos", "j"))
     keys, got = F.json_object_keys("j"), F.from_json("j", schemas.LABEL)
     has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
     return rows.select("case_id", "pos", has("is_spatial").alias("has_spatial"), got["is_spatial"].alias("is_spatial"), has("is_relevant").alias("has_relevant"), got["is_relevant"].alias("is_relevant"), got["reasoning"].alias("reasoning"))

@@ -148,7 +148,8 @@ def test_array_functions_match_numpy(spark):
     assert np.array_equal(get(arrays.transpose("a", (4, 4, 4), (2, 0, 1))), d.transpose(2, 0, 1).reshape(-1))
     assert np.array_equal(get(arrays.window_u8("a", -135, 215)), np.rint((d.clip(-135, 215) + 135) / 350 * 255).reshape(-1))
     assert get(arrays.pad_crop("a", (4, 4, 4), (7, 2, 4), -5.0)).reshape(7, 2, 4)[0].max() == -5
-    assert arrays._axis_sources(3, 6, False) == [None, 0, 1, 2, None, None] and arrays._axis_sources(5, 2, False) == [1, 2]
+    line = spark.createDataFrame([([0.0, 1.0, 2.0],)], "a array<double>")
+    assert line.select(arrays.pad_crop("a", (3,), (6,), -1.0)).first()[0] == [-1, 0, 1, 2, -1, -1] and line.select(arrays.crop_pad("a", (3,), (2,))).first()[0] == [0, 1]
     flat = spark.createDataFrame([([7.0] * 4,)], "a array<float>")
     assert flat.select(arrays.minmax("a").alias("v")).first().v == [0.0] * 4
 
