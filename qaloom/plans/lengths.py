@@ -87,3 +87,24 @@ def length_violin(spark, sf):
     w = _words(spark, sf)
     v = stats.violin(stats.kde(w, "lang", "words"), stats.quartiles(w, "lang", "words"), "lang")
     return v.select("lang", "i", F.round("width", 6).alias("width"), "at_median")
+
+
+_VALUES = "(SELECT vec_id % 3 AS g, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+def _values(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select((F.col("vec_id") % 3).alias("g"), F.explode(F.col("embedding").cast("array<double>")).alias("v"))
+
+
+@query("value_stats", f"SELECT g, count(v) AS count, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max FROM {_VALUES} GROUP BY g")
+def value_stats(spark, sf):
+    s = stats.summary(_values(spark, sf), "v", ["g"])
+    return s.withColumns({c: F.round(c, 6) for c in ("mean", "median", "std", "min", "max")})
+
+
+@query("value_quartiles", f"""WITH q AS (SELECT g, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM {_VALUES} GROUP BY g)
+ SELECT g, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3, round(min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low, round(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high FROM q JOIN {_VALUES} USING (g) GROUP BY g, q1, q2, q3""")
+def value_quartiles(spark, sf):
+    q = stats.quartiles(_values(spark, sf), "g", "v")
+    return q.select("g", *[F.round(c, 6).alias(c) for c in ("q1", "q2", "q3", "whisker_low", "whisker_high")])

@@ -73,7 +73,11 @@ def folder_of_its_own(spark: SparkSession, name: str) -> Iterator[str]:
 def settled(rows: DataFrame) -> DataFrame:
     """``rows`` written to a checkpoint, so that what they were read from can go.
 
-    Spark deletes the checkpoint when nothing refers to it any more (``cleanCheckpoints``).
+    Spark deletes the checkpoint when nothing refers to it any more (``cleanCheckpoints``).  The result is read as a plain source:
+    a checkpoint keeps its plan's size estimate, which multiplies over joins from one checkpoint to the next.
     """
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint(eager=True)
+    spark = rows.sparkSession
+    shared_folder(spark)
+    out = rows.checkpoint(eager=True)
+    rdd = out._jdf.queryExecution().analyzed().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, out._jdf.schema(), False), spark)
