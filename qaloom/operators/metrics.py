@@ -11,6 +11,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,23 +147,74 @@ def corpus_bleu(stats: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, (brevity * F.exp(logs / float(MAX_ORDER))).alias("bleu"), "sys_len", "ref_len")
 
 
-def meteor_score(prediction: list[str], reference: list[str]) -> float:
-    """Exact, then stem matches; each word is matched once, and to the nearest following place where there is a choice."""
-    if not prediction or not reference:
-        return 0.0
+def _meteor_of(matched: Column, chunks: Column, predicted: Column, referred: Column) -> Column:
+    p, r = matched / predicted, matched / referred
+    mean = p * r / (F.lit(ALPHA) * p + F.lit(1 - ALPHA) * r)
+    return F.when(F.coalesce(matched, F.lit(0)) == 0, F.lit(0.0)).otherwise(mean * (1 - F.lit(GAMMA) * F.pow(chunks / matched, F.lit(BETA))))
+
+
+def meteor_alignment(rows: DataFrame, keys: list[str], prediction: str = "prediction", reference: str = "reference", synonyms: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
+    """``keys`` and ``side`` (p or r), ``pos, word, other``: every word of both texts with the place that it is aligned to, or null.
+
+    Words stand between white space, lower-cased.  Stages go one after another over the words that are still free: equal words, then
+    words with equal stems, then words of one class in ``synonyms`` (``word, class``; a word has one class).  Inside a stage the last
+    free occurrence on one side meets the last one on the other, then the last but one, and so on: what a search from both texts' ends
+    gives.  ``keys`` name a row.  The words of a pair are dealt once by its keys; all stages are windows over them.
+    """
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(_c(c), F.lit(""))), r"\s+"), lambda x: x != "")
+    sides = F.array(F.struct(F.lit("p").alias("side"), words(prediction).alias("w")), F.struct(F.lit("r").alias("side"), words(reference).alias("w")))
+    flat = rows.select(*keys, F.inline(sides)).select(*keys, "side", F.posexplode("w").alias("pos", "word"))
+    stages = {"__k0": F.col("word")}
+    if stemmed:
+        flat = flat.withColumn("__stem", _word_stem("word"))
+        stages["__k1"] = F.col("__stem")
+    if synonyms is not None:
+        flat = flat.join(synonyms.select("word", F.col("class").alias("__class")), "word", "left")
+        stages["__k2"] = F.col("__class")
+    out = flat.repartition(*keys).withColumn("other", F.lit(None).cast("int"))
+    for name, value in stages.items():
+        free = F.col("other").isNull() & value.isNotNull()
+        out = out.withColumn(name, F.when(free, value))
+        rank = F.row_number().over(W.partitionBy(*keys, name, "side").orderBy(F.desc("pos")))
+        same = W.partitionBy(*keys, name, "__n")  # one row a side at most
+        theirs = lambda side: F.max(F.when(F.col("side") == side, F.col("pos"))).over(same)
+        out = out.withColumn("__n", rank).withColumn("__o", F.when(F.col("side") == "p", theirs("r")).otherwise(theirs("p")))
+        out = out.withColumn("other", F.when(F.col(name).isNotNull(), F.col("__o")).otherwise(F.col("other"))).drop("__n", "__o")
+    return out.select(*keys, "side", "pos", "word", "other")
+
+
+def meteor_aligned(rows: DataFrame, keys: list[str], prediction: str = "prediction", reference: str = "reference", synonyms: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
+    """``keys, matched, chunks, meteor`` from the alignment: chunks are runs of matches that follow each other on both sides."""
+    words = meteor_alignment(rows, keys, prediction, reference, synonyms, stemmed)
+    matched = (F.col("side") == "p") & F.col("other").isNotNull()
+    run = W.partitionBy(*keys, "__m").orderBy("pos")
+    goes_on = F.coalesce((F.col("pos") == F.lag("pos").over(run) + 1) & (F.col("other") == F.lag("other").over(run) + 1), F.lit(False))
+    counted = words.withColumn("__m", matched).withColumn("__new", F.col("__m") & ~goes_on)
+    sums = counted.groupBy(*keys).agg(F.count_if("__m").alias("matched"), F.count_if("__new").alias("chunks"), F.count_if(F.col("side") == "p").alias("__p"), F.count_if(F.col("side") == "r").alias("__r"))
+    zero = F.lit(0).cast("long")
+    scored = rows.select(*keys).join(sums, keys, "left")
+    return scored.select(*keys, F.coalesce("matched", zero).alias("matched"), F.coalesce("chunks", zero).alias("chunks"), _meteor_of(F.col("matched"), F.col("chunks"), F.col("__p"), F.col("__r")).alias("meteor"))
+
+
+@F.pandas_udf(T.StringType())
+def _word_stem(words: pd.Series) -> pd.Series:
+    known = {w: stem(w) for w in words.dropna().unique()}
+    return words.map(known)
+
+
+def meteor_score(prediction: list[str], reference: list[str], classes: dict[str, str] | None = None) -> float:
+    """Exact, stem, then synonym matches; in each stage the last free occurrence on one side meets the last on the other."""
     pairs: list[tuple[int, int]] = []
     left, right = set(range(len(prediction))), set(range(len(reference)))
-    for key in (lambda w: w, stem):
+    for key in (lambda w: w, stem, (classes or {}).get):
         at: dict[str, list[int]] = {}
-        for j in sorted(right, reverse=True):
+        for j in sorted(right):
             at.setdefault(key(reference[j]), []).append(j)
-        for i in sorted(left):
+        at.pop(None, None)
+        for i in sorted(left, reverse=True):
             choices = at.get(key(prediction[i]))
             if choices:
-                after = max((b for a, b in pairs if a < i), default=-1)
-                follow = [j for j in choices if j == after + 1]
-                j = follow[0] if follow else choices[-1]
-                choices.remove(j)
+                j = choices.pop()
                 pairs.append((i, j))
                 left.discard(i)
                 right.discard(j)
@@ -182,7 +234,7 @@ def _meteor(prediction: pd.Series, reference: pd.Series) -> pd.Series:
 
 
 def meteor(prediction: str | Column, reference: str | Column) -> Column:
-    """METEOR over white-space tokens with exact and stem stages (the synonym stage needs a word net and is left out)."""
+    """METEOR over white-space tokens with exact and stem stages, a row at a time; ``meteor_aligned`` takes synonyms too."""
     return _meteor(_c(prediction), _c(reference))
 
 

@@ -109,3 +109,29 @@ def meteor(spark, sf):
 def metrics_summary(spark, sf):
     scored = metrics.rouge(_pairs(spark, sf)).withColumn("meteor", metrics.meteor("prediction", "reference")).withColumn("model", F.concat(F.lit("m"), (F.col("case_id") % 3).cast("string")))
     return metrics.summarize(scored, ["model"], ["rouge1_f", "rouge2_f", "rougeL_f", "meteor"])
+
+
+#: Words with the same first three letters are one class, where both have four letters at least.
+_CLASS = "CASE WHEN length(w) > 3 THEN substr(w, 1, 3) END"
+
+
+def _staged(source: str, key: str, name: str) -> str:
+    """SQL of one stage over free words ``source``: (case_id, idx, i, j) pairs of ranked occurrences from the end, and the rest."""
+    ranked = f"(SELECT *, {key} AS k, row_number() OVER (PARTITION BY case_id, idx, side, {key} ORDER BY pos DESC) AS n FROM {source} WHERE {key} IS NOT NULL)"
+    return f"""{name} AS (SELECT a.case_id, a.idx, a.pos AS i, b.pos AS j FROM {ranked} a JOIN {ranked} b ON a.case_id = b.case_id AND a.idx = b.idx AND a.k = b.k AND a.n = b.n AND a.side = 'p' AND b.side = 'r'),
+ {name}_free AS (SELECT * FROM {source} s WHERE NOT EXISTS (FROM {name} m WHERE m.case_id = s.case_id AND m.idx = s.idx AND s.pos = CASE s.side WHEN 'p' THEN m.i ELSE m.j END))"""
+
+
+@query("meteor_aligned", f"""WITH t AS (SELECT case_id, idx, {{pair_p}} AS p, {{pair_r}} AS r FROM {D.PAIRS}), sides AS (SELECT case_id, idx, 'p' AS side, list_filter(regexp_split_to_array(lower(p), '\s+'), lambda x: x <> '') AS ws FROM t UNION ALL SELECT case_id, idx, 'r', list_filter(regexp_split_to_array(lower(r), '\s+'), lambda x: x <> '') FROM t),
+ words AS (SELECT case_id, idx, side, unnest(range(0, len(ws))) AS pos, unnest(ws) AS w FROM sides),
+ {_staged("words", "w", "one")}, {_staged("one_free", _CLASS, "two")}, pairs AS (FROM one UNION ALL FROM two),
+ steps AS (SELECT case_id, idx, CASE WHEN i = lag(i) OVER q + 1 AND j = lag(j) OVER q + 1 THEN 0 ELSE 1 END AS new FROM pairs WINDOW q AS (PARTITION BY case_id, idx ORDER BY i)),
+ m AS (SELECT case_id, idx, count(*) AS matched, sum(new) AS chunks FROM steps GROUP BY ALL),
+ n AS (SELECT case_id, idx, max(len(ws)) FILTER (side = 'p') AS p, max(len(ws)) FILTER (side = 'r') AS r FROM sides GROUP BY ALL)
+ SELECT case_id, idx, coalesce(matched, 0) AS matched, coalesce(chunks, 0)::BIGINT AS chunks, round(coalesce((matched / p) * (matched / r) / (0.9 * (matched / p) + (1 - 0.9) * (matched / r)) * (1 - 0.5 * pow(chunks / matched, 3)), 0) + 1e-9, 6) AS meteor FROM n LEFT JOIN m USING (case_id, idx)""".replace("{pair_p}", "answer").replace("{pair_r}", "question"))
+def meteor_aligned(spark, sf):
+    pairs = D.conversation_pairs(spark, sf).select("case_id", "idx", F.col("answer").alias("prediction"), F.col("question").alias("reference"))
+    words = pairs.select(F.explode(F.split(F.lower(F.concat_ws(" ", "prediction", "reference")), r"\s+")).alias("word")).distinct()
+    classes = words.where(F.length("word") > 3).select("word", F.substring("word", 1, 3).alias("class"))
+    out = metrics.meteor_aligned(pairs, ["case_id", "idx"], synonyms=classes, stemmed=False)
+    return out.withColumn("meteor", F.round(F.col("meteor") + 1e-9, 6))  # not at a tie

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..functions.text import normalize
 from ..operators.align import with_occurrence
 
 
@@ -92,3 +94,82 @@ def sessions(events: DataFrame, ts: str, gap: str, keys: list[str], late: str |
 def first_events(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Extension: the first event of each key."""
     return events.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in events.columns if c not in keys]), F.struct(*order)).alias("e")).select(*keys, "e.*")
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """Keyed state with a time limit needs the RocksDB state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+class _Matcher(StatefulProcessor):
+    """Per key the rows of either side that still wait for their partner, as (place, value), oldest first.
+
+    The k-th row of one side meets the k-th of the other, whichever comes first; so one of the two lists is always empty.
+    """
+
+    def __init__(self, keys: list[str], limit_ms: int | None):
+        self.keys, self.limit_ms = keys, limit_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = {s: handle.getListState(s, "pos long, value string") for s in ("left", "right")}
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        lists = {s: [tuple(x) for x in self.waiting[s].get()] for s in self.waiting}
+        for frame in rows:
+            for side, pos, value in zip(frame["side"], frame["pos"], frame["value"], strict=True):
+                lists[side].append((int(pos), value))
+        for s in lists:
+            lists[s].sort(key=lambda x: x[0])
+        n = min(map(len, lists.values()))
+        for s, state in self.waiting.items():
+            state.clear()
+            if lists[s][n:]:
+                state.put(lists[s][n:])
+        if self.limit_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if len(lists["left"]) > n:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.limit_ms)
+        yield self._frame(key, [(p, v) for (p, _), (_, v) in zip(lists["left"][:n], lists["right"][:n], strict=True)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        """Left rows that have waited too long go without a partner."""
+        late = [tuple(x) for x in self.waiting["left"].get()]
+        self.waiting["left"].clear()
+        yield self._frame(key, [(p, None) for p, _ in late])
+
+    def _frame(self, key, pairs):
+        import pandas as pd
+
+        out = {k: pd.Series([v] * len(pairs), dtype=object) for k, v in zip(self.keys, key, strict=True)}
+        return pd.DataFrame({**out, "pos": pd.Series([p for p, _ in pairs], dtype="int64"), "value": pd.Series([v for _, v in pairs], dtype=object)})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_occurrence_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, limit_ms: int | None = None) -> DataFrame:
+    """``keys, pos, value``: the occurrence join on streams: left rows (``keys, pos``) with the ``value`` of the right row that is the
+    same occurrence of their key, as soon as both have come.
+
+    Rows of one key must arrive in the order of their places.  Keys are strings, null being empty.  What waits is keyed state, kept
+    over restarts; with ``limit_ms`` a left row that has waited that long goes out with a null, without it it waits on.  What never
+    met a partner is the left side less the result.
+    """
+    text = lambda k: F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k)
+    side = lambda df, name, v: df.select(*map(text, keys), F.lit(name).alias("side"), F.col("pos").cast("long").alias("pos"), v.cast("string").alias("value"))
+    both = side(left, "left", F.lit(None)).unionByName(side(right, "right", F.col(value)))
+    schema = ", ".join(f"{k} string" for k in keys) + ", pos long, value string"
+    mode = "None" if limit_ms is None else "ProcessingTime"
+    return both.groupBy(*keys).transformWithStateInPandas(_Matcher(keys, limit_ms), schema, "Append", mode)
+
+
+def stream_question_ids(judgments: DataFrame, predictions: DataFrame, limit_ms: int | None = None) -> DataFrame:
+    """``fifo_question_ids`` on streams: ``model, question, answer, pos, qid`` of each judgment whose prediction has come; with
+    ``limit_ms`` one that waits longer becomes ``unknown::model::pos``."""
+    keyed = lambda df: df.withColumns({c: normalize(c) for c in ("question", "answer")})
+    got = stream_occurrence_join(keyed(judgments), keyed(predictions), ["model", "question", "answer"], "qid", limit_ms)
+    unknown = F.concat(F.lit("unknown::"), "model", F.lit("::"), F.col("pos").cast("string"))
+    return got.select("model", "question", "answer", "pos", F.coalesce("value", unknown).alias("qid"))
