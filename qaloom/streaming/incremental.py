@@ -156,7 +156,8 @@ def stream_occurrence_join(left: DataFrame, right: DataFrame, keys: list[str], v
 
     Rows of one key must arrive in the order of their places.  Keys are strings, null being empty.  What waits is keyed state, kept
     over restarts; with ``limit_ms`` a left row that has waited that long goes out with a null, without it it waits on.  What never
-    met a partner is the left side less the result.
+    met a partner is the left side less the result.  A limit needs a stream that runs on, with a processing-time trigger: timers
+    keep one that processes what is available from ending.
     """
     text = lambda k: F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k)
     side = lambda df, name, v: df.select(*map(text, keys), F.lit(name).alias("side"), F.col("pos").cast("long").alias("pos"), v.cast("string").alias("value"))
