@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..session import folder_of_its_own, settled, table
-from ..sources import files, sinks
+from ..sources import datasources, files, sinks, volumes
 from . import _data as D
 from .registry import query
 
@@ -129,3 +129,54 @@ def matrix_files(spark, sf, at):
         raise ValueError(f"more than {MOST_MODELS} models: keep the scores long")
     sinks.write_csv(sinks.matrix_wide(d, models), at)
     return files.read_matrix(spark, at)
+
+
+@query("raw_line_window", """WITH e AS (SELECT event_id, event_type, row_number() OVER w - 1 AS p, count(*) FILTER (event_id % 7 = 0) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS blanks FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
+ SELECT event_type, event_id, p + blanks AS raw FROM e WHERE p + blanks >= 31 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY p) <= 250""")
+@_files
+def raw_line_window(spark, sf, at):
+    """A file an event type, a blank line behind every seventh event; of each 31 lines skipped, blank ones counted, then 250 others."""
+    rows = table(spark, sf, "events").select("event_type", "event_id", F.to_json(F.struct("event_id")).alias("row")).repartition("event_type").sortWithinPartitions("event_type", "event_id")
+    lines = rows.select("event_type", F.explode(F.when(F.col("event_id") % 7 == 0, F.array("row", F.lit(" "))).otherwise(F.array("row"))).alias("value"))
+    lines.write.partitionBy("event_type").text(at)
+    kept = files.window_lines(files.numbered_lines(spark, at), 31, 250)
+    return kept.select(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type"), F.from_json("line", "event_id long")["event_id"].alias("event_id"), "raw")
+
+
+_TENSORS = "SELECT CAST(vec_id AS VARCHAR) AS name, '4,4,4' AS shape, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * i)), 4) AS total FROM embeddings"
+
+
+def _tensors(spark, sf, at: str, kind: str):
+    """Every vector as a file of 4 x 4 x 4 voxels, written with one commit."""
+    datasources.register(spark)
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("case_id"), F.array(*[F.lit(4)] * 3).alias("shape"), F.col("embedding").cast("array<float>").alias("data"))
+    rows.write.format("tensors").mode("append").option("kind", kind).save(at)
+
+
+def _weighed_tensor(name, shape, data):
+    total = F.aggregate(F.transform(data, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return F.split(name, r"\.")[0].alias("name"), F.array_join(shape.cast("array<string>"), ",").alias("shape"), F.round(total, 4).alias("total")
+
+
+@query("nifti_files", _TENSORS)
+@_files
+def nifti_files(spark, sf, at):
+    _tensors(spark, sf, at, "nii.gz")
+    got = spark.read.format("nifti").load(at)
+    return got.select(*_weighed_tensor(F.col("case_id"), F.col("shape"), F.col("data")))
+
+
+@query("nifti_depths", "SELECT CAST(vec_id AS VARCHAR) AS name, 4 AS depth, true AS header_alone FROM embeddings")
+@_files
+def nifti_depths(spark, sf, at):
+    _tensors(spark, sf, at, "nii")
+    got = spark.read.format("nifti").option("voxels", "false").load(at)
+    return got.select(F.split("case_id", r"\.")[0].alias("name"), F.col("shape")[0].alias("depth"), F.col("data").isNull().alias("header_alone"))
+
+
+@query("tensor_files", _TENSORS)
+@_files
+def tensor_files(spark, sf, at):
+    _tensors(spark, sf, at, "npz")
+    read = spark.read.format("binaryFile").load(f"{at}/*.npz").select(F.element_at(F.split("path", "/"), -1).alias("name"), volumes.decode_tensor("content", rank=3).alias("t"))
+    return read.select(*_weighed_tensor(F.col("name"), F.col("t.shape"), F.col("t.data")))

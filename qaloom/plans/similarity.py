@@ -122,7 +122,7 @@ def _staged(source: str, key: str, name: str) -> str:
  {name}_free AS (SELECT * FROM {source} s WHERE NOT EXISTS (FROM {name} m WHERE m.case_id = s.case_id AND m.idx = s.idx AND s.pos = CASE s.side WHEN 'p' THEN m.i ELSE m.j END))"""
 
 
-@query("meteor_aligned", f"""WITH t AS (SELECT case_id, idx, {{pair_p}} AS p, {{pair_r}} AS r FROM {D.PAIRS}), sides AS (SELECT case_id, idx, 'p' AS side, list_filter(regexp_split_to_array(lower(p), '\s+'), lambda x: x <> '') AS ws FROM t UNION ALL SELECT case_id, idx, 'r', list_filter(regexp_split_to_array(lower(r), '\s+'), lambda x: x <> '') FROM t),
+@query("meteor_aligned", rf"""WITH t AS (SELECT case_id, idx, {{pair_p}} AS p, {{pair_r}} AS r FROM {D.PAIRS}), sides AS (SELECT case_id, idx, 'p' AS side, list_filter(regexp_split_to_array(lower(p), '\s+'), lambda x: x <> '') AS ws FROM t UNION ALL SELECT case_id, idx, 'r', list_filter(regexp_split_to_array(lower(r), '\s+'), lambda x: x <> '') FROM t),
  words AS (SELECT case_id, idx, side, unnest(range(0, len(ws))) AS pos, unnest(ws) AS w FROM sides),
  {_staged("words", "w", "one")}, {_staged("one_free", _CLASS, "two")}, pairs AS (FROM one UNION ALL FROM two),
  steps AS (SELECT case_id, idx, CASE WHEN i = lag(i) OVER q + 1 AND j = lag(j) OVER q + 1 THEN 0 ELSE 1 END AS new FROM pairs WINDOW q AS (PARTITION BY case_id, idx ORDER BY i)),

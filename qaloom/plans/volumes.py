@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays, sampling
+from ..functions.jpeg import jpeg
 from ..operators import bricks, volume
 from ..session import table
 from . import _data as D
@@ -190,3 +191,26 @@ def brick_resample_spacing(spark, sf):
     b = bricks.bricks_of_planes(_planes(spark, sf), ["case_id"], edge=4)
     out = bricks.voxels(bricks.resample_spacing(b, ["case_id"], (3.0, 1.0, 1.0), (1.25, 0.6, 2.0), edge=4), ["case_id"], edge=4)
     return out.groupBy("case_id", "z").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * (F.col("y") * 4 + F.col("x") + 1)), 5).alias("total"))
+
+
+#: Images of 8 lines and as many columns as a volume has vectors, with one channel, brought to a longest side of 60.
+_SIDES = "greatest(1, round_even(8 * 60.0::DOUBLE / n, 0)::INT)"
+
+
+@query("brick_image_longest", f"""WITH cases AS (SELECT case_id, max(n) AS n FROM {_STACK} GROUP BY case_id), v0 AS (SELECT case_id, z AS x, i AS y, 0 AS c, e[i + 1] AS v FROM {_STACK}, range(0, 8) r(i)),
+ {_linear("v1", "v0", "y", "case_id, x, c", "8", _SIDES, "(j + 0.5::DOUBLE) * size / " + _SIDES.replace("n,", "n,") + " - 0.5::DOUBLE").replace("SELECT case_id, 8 AS size", "SELECT case_id, n, 8 AS size")},
+ {_linear("v2", "v1", "x", "case_id, y, c", "n", "60", _CENTRED.format(m="60"))} SELECT case_id, y::INT AS y, count(*) AS n, round(sum(v * (x + 1)), 5) AS total FROM v2 GROUP BY case_id, y""")
+def brick_image_longest(spark, sf):
+    wide = _planes(spark, sf).groupBy("case_id").agg(F.first("n0").alias("n"), F.sort_array(F.collect_list(F.struct("z", "data"))).alias("p"))
+    lines = wide.select("case_id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.transform("p", lambda x: F.get(x["data"], y).cast("double")))).alias("z", "data"))
+    b = bricks.bricks_of_planes(lines.select("case_id", F.lit(8).alias("n0"), F.col("n").alias("n1"), F.lit(1).alias("n2"), "z", "data"), ["case_id"], edge=4)
+    out = bricks.voxels(bricks.resize_images(b, ["case_id"], 60, longest=True, edge=4), ["case_id"], edge=4)
+    return out.groupBy("case_id", F.col("z").alias("y")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * (F.col("y") + 1)), 5).alias("total"))
+
+
+@query("slice_jpegs", "SELECT vec_id, 'data:image/jpeg;base64,/9j/' AS head, true AS ended FROM embeddings")
+def slice_jpegs(spark, sf):
+    """Each vector's display window as a JPEG slice of 8 x 8 pixels, in a data URI."""
+    pixels = arrays.window_u8("embedding", -0.1, 0.1)
+    uri = _vol(spark, sf).select("vec_id", jpeg(pixels, F.lit(8), F.lit(8)).alias("file"))
+    return uri.select("vec_id", F.substring(F.concat(F.lit("data:image/jpeg;base64,"), F.base64("file")), 1, 27).alias("head"), (F.hex(F.substring("file", -2, 2)) == "FFD9").alias("ended"))

@@ -23,6 +23,8 @@ from .volumes import encode_nifti, read_header
 
 #: Bytes that are read for a header: a compressed file's first ones hold it many times over.
 HEAD_BYTES = 4096
+#: Compressed files, or headers, that one task reads: bytes and files at most.
+TASK_BYTES, TASK_FILES = 64 << 20, 200
 #: Planes a row, and so the most that a task holds of a volume.
 SLAB = 32
 NIFTI_SCHEMA = "case_id string, path string, shape array<int>, spacing array<double>, affine array<double>, z0 int, depth int, data array<float>, bytes_read long"
@@ -41,9 +43,9 @@ def _header(source: fs.FileSystem, path: str) -> tuple[dict, int]:
 
 @dataclass
 class Slabs(InputPartition):
-    """Planes ``first .. last`` of a file; of a compressed one always all, as it can only be read from its start."""
+    """Planes ``first .. last`` of some files: a slab of one, or several that are read from their start (compressed, or headers alone)."""
 
-    path: str
+    paths: tuple[str, ...]
     first: int
     last: int
 
@@ -73,25 +75,31 @@ class NiftiReader(DataSourceReader):
             else:
                 yield f
 
-    def _files(self) -> list[str]:
+    def _files(self) -> list[tuple[str, int]]:
         source, root = _at(self.uri)
         found = source.get_file_info(fs.FileSelector(root, recursive=True))
-        return sorted(x.path for x in found if x.is_file and fnmatch(x.base_name, self.pattern) and (self.cases is None or x.base_name in self.cases))
+        return sorted((x.path, x.size) for x in found if x.is_file and fnmatch(x.base_name, self.pattern) and (self.cases is None or x.base_name in self.cases))
 
     def partitions(self) -> list[InputPartition]:
-        source, out = _at(self.uri)[0], []
-        for path in self._files():
+        source, out, held, size = _at(self.uri)[0], [], [], 0
+        for path, n in self._files():
             if self.headers or path.endswith(".gz"):
-                out.append(Slabs(path, self.low, self.high))
+                held.append(path)
+                size += HEAD_BYTES if self.headers else n
+                if size >= TASK_BYTES or len(held) >= TASK_FILES:
+                    out.append(Slabs(tuple(held), self.low, self.high))
+                    held, size = [], 0
             else:
                 depth = _header(source, path)[0]["shape"][2]
-                out += [Slabs(path, z, z) for z in range(0, depth, self.slab) if self.low <= z <= self.high]
-        return out or [Slabs("", 0, -1)]
+                out += [Slabs((path,), z, z) for z in range(0, depth, self.slab) if self.low <= z <= self.high]
+        return out + [Slabs(tuple(held), self.low, self.high)] if held or not out else out
 
     def read(self, partition: Slabs) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        source, path = _at(self.uri)[0], partition.path
+        for path in partition.paths:
+            yield from self._rows(path, partition)
+
+    def _rows(self, path: str, partition: Slabs) -> Iterator[tuple]:
+        source = _at(self.uri)[0]
         h, used = _header(source, path)
         x, y, depth = h["shape"]
         own = (path.rsplit("/", 1)[-1], path, [depth, y, x], h["spacing"], h["affine"])

@@ -56,17 +56,28 @@ def read_qa(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, pos, line)``: a file's non-blank lines with their 0-based places; a long file is read by many tasks.
+    """``(path, pos, raw, line)``: a file's non-blank lines with their 0-based places among these and among all lines.
 
-    Row ids grow inside a split, so a line's place is its id less the split's first one, plus the lines of the file's earlier
-    splits.  The table of splits has one row for each, and a file's window holds its splits alone.
+    A long file is read by many tasks.  Row ids grow inside a split, so a line's place is its id less the split's first one, plus the
+    lines of the file's earlier splits.  The table of splits has one row for each, and a file's window holds its splits alone.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.col("value").alias("line"))
-    lines = raw.where(strip("line") != "").withColumn("__id", F.monotonically_increasing_id())
-    splits = lines.groupBy("path", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    earlier = F.sum("__n").over(W.partitionBy("path").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
-    splits = splits.select("path", "__block", "__first", F.coalesce(earlier, F.lit(0)).alias("__before"))
-    return lines.join(splits, ["path", "__block"]).select("path", (F.col("__id") - F.col("__first") + F.col("__before")).alias("pos"), "line")
+    every = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.col("value").alias("line")).withColumn("__raw", F.monotonically_increasing_id())
+    lines = every.where(strip("line") != "").withColumn("__id", F.monotonically_increasing_id())
+    earlier = lambda c: F.coalesce(F.sum(c).over(W.partitionBy("path").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    raw = every.groupBy("path", "__block").agg(F.min("__raw").alias("__raw0"), F.count("*").alias("__m"))
+    full = lines.groupBy("path", "__block").agg(F.min("__id").alias("__id0"), F.count("*").alias("__n"))
+    splits = raw.join(full, ["path", "__block"], "left").na.fill(0, ["__n"])
+    splits = splits.select("path", "__block", (F.col("__raw0") - earlier("__m")).alias("__raw0"), (F.col("__id0") - earlier("__n")).alias("__id0"))
+    return lines.join(splits, ["path", "__block"]).select("path", (F.col("__id") - F.col("__id0")).alias("pos"), (F.col("__raw") - F.col("__raw0")).alias("raw"), "line")
+
+
+def window_lines(lines: DataFrame, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Of ``numbered_lines`` those behind a file's first ``skip`` lines, blank ones counted, and of these ``limit`` that are not blank."""
+    out = lines.where(F.col("raw") >= skip)
+    if limit is None:
+        return out
+    first = out.groupBy("path").agg(F.min("pos").alias("__first"))
+    return out.join(first, "path").where(F.col("pos") < F.col("__first") + limit).drop("__first")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
