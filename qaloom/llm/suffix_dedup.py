@@ -294,6 +294,7 @@ def _dealt(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, int]
         rows = src.mapInArrow(squeeze, src.schema).repartition(n, "__rid").checkpoint(eager=True)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    release_shuffles(spark)  # the exchange's files hold all texts once more
     path = rows._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
     return written(rows, path), parts_for(spark, size)  # narrow tables are a fraction of the texts
 
