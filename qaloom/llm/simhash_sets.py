@@ -174,7 +174,7 @@ def _block_links(root: np.ndarray, node: np.ndarray, size: np.ndarray, fps: np.n
         return sets[i]
 
     def wide(i: np.ndarray) -> np.ndarray:
-        for j in np.unique(i[~known[i]]).tolist():
+        for j in () if known.all() else np.unique(i[~known[i]]).tolist():
             broad[j], known[j] = set_fingerprint(made(j), WIDE), True
         return broad[i]
 
@@ -209,12 +209,12 @@ def _near_in_blocks(batches):
 
     def links(t: pa.Table):
         key, root, node, size, *fp = (c.to_numpy() for c in t.columns[:-1])
-        fps = np.stack(fp, 1).view(np.uint64)
+        fps, texts = np.stack(fp, 1).view(np.uint64), t.column("z")
         edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi - lo < 2:
                 continue
-            found = _block_links(root[lo:hi], node[lo:hi], size[lo:hi], fps[lo:hi], t.column(t.num_columns - 1).slice(lo, hi - lo))
+            found = _block_links(root[lo:hi], node[lo:hi], size[lo:hi], fps[lo:hi], texts.slice(lo, hi - lo))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
@@ -290,14 +290,14 @@ def _linked(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     labels = cut(connected(_confirmed(nearest, texts)))
     named = cut(shared.join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("root"), *_OWN))
     mixed = _of_several(named)
+    # finer blocks write a row for each shingle of their members, some times over; chunks one, with a text, for each chunk met
     large = cut(named.join(mixed.where(F.col("n") > CAP).select("key"), "key").select("root", *_OWN).distinct())
-    small = named.join(mixed.where(F.col("n") <= CAP), "key")
-    links = [_compared(small, texts)]
-    if not large.isEmpty():
-        fine = _rare_blocks(large, texts)
-        links.append(_compared(fine.join(_of_several(fine), "key"), texts))
-    both = links[0] if len(links) == 1 else links[0].unionByName(links[1])
-    return _rooted(labels, both.distinct())
+    in_chunks = mixed.where(F.col("n") > CAP).agg(F.sum(F.col("n") * F.ceil(F.col("n") / CAP))).first()[0] or 0
+    if 2 * in_chunks <= (large.agg(F.sum("size")).first()[0] or 0):
+        return _rooted(labels, _compared(named.join(mixed, "key"), texts))
+    fine = _rare_blocks(large, texts)
+    links = _compared(named.join(mixed.where(F.col("n") <= CAP), "key"), texts).unionByName(_compared(fine.join(_of_several(fine), "key"), texts))
+    return _rooted(labels, links.distinct())
 
 
 def _compared(blocks: DataFrame, texts: DataFrame) -> DataFrame:
