@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_folder
-from .common import WORD, cut, parts_for, release_shuffles, scratch, stage, text_bytes, written
+from .common import WORD, cut, drop, parts_for, release_shuffles, scratch, stage, text_bytes, written
 
 WINDOW = 400
 GRAM = 100
@@ -300,11 +300,17 @@ def _dealt(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, int]
 
 
 def _refine(texts: DataFrame, active: DataFrame, units: dict[bool, Unit], step: int, parts: int) -> tuple[DataFrame, DataFrame | None]:
-    """(accepted intervals ``rid, u, s0, s1``, cells to split further) of one pass over the active cells."""
+    """(accepted intervals ``rid, u, s0, s1``, cells to split further) of one pass over the active cells, which are deleted.
+
+    Cells and groups are the largest tables; what led to either goes as soon as it is written.
+    """
+    spark = texts.sparkSession
     with scratch() as s:
         lists = active.groupBy(F.col("rid").alias("__rid"), F.floor(F.col("s0") / CHUNK)).agg(F.collect_list(F.struct("u", "s0", "s1", "l", "r", "k1", "k2")).alias("cells"))
         joined = texts.select("__rid", "__z").join(lists.select("__rid", "cells").hint("shuffle_hash"), "__rid")
         cells = stage(joined.mapInArrow(lambda it: _cell_rows(it, units, step), CELL).coalesce(parts))
+        drop(active)
+        release_shuffles(spark)
         key = ["u", "k1", "k2"]
         # any member stands for its group: all have the same bytes; the firsts come from one row
         one = [F.first(c).alias(c) for c in ("rid", "s0", "s1", "l", "r")]
@@ -313,8 +319,10 @@ def _refine(texts: DataFrame, active: DataFrame, units: dict[bool, Unit], step:
             twice = cut(groups.where("n > 1").select(*key), parts)
             return s.keep(cut(cells.join(twice, key).select("rid", "u", "s0", "s1"), parts)), None
         groups = stage(groups.coalesce(parts))
+        release_shuffles(spark)
         twice = groups.where("n > 1").select(*key, "o1", "o2")
         accepted = cut(cells.join(twice, [*key, "o1", "o2"]).select("rid", "u", "s0", "s1"), parts)
+        release_shuffles(spark)
         mixed = cut(groups.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key), parts)
         further = cut(groups.join(mixed, key).select("rid", "u", "s0", "s1", "l", "r", "k1", "k2"), parts)
         return s.keep(accepted), s.keep(further)
@@ -343,6 +351,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     again = cut(found.groupBy("u", "kh").agg(F.count("*").alias("n")).where("n > 1").select("u", "kh"), parts)
     span = F.when(F.col("u"), F.lit(words - units[-1].gram)).otherwise(F.lit(window - gram))
     active = found.join(again, ["u", "kh"]).select("rid", "u", "s0", "s1", (F.col("m") - span).alias("l"), F.col("m").alias("r"), F.col("kh").alias("k1"), F.lit(0).cast("long").alias("k2"))
+    # written before the first pass, so that the anchors and their exchange do not lie beside its cells
+    active = stage(active.coalesce(parts))
+    drop(found)
+    drop(again)
+    release_shuffles(texts.sparkSession)
     accepted = []
     for step in range(1 + max(len(x.widths) for x in units)):
         got, active = _refine(texts, active, by_kind, step, parts)

@@ -169,3 +169,23 @@ def test_repeats_in_one_long_character_run(spark):
     with common.scratch():
         got = sorted((r.doc_id, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.remove_repeats(df).collect())
     assert got == [(1, 1_000_000, 1, b""), (2, 0, 0, b"b" * 300 + b"a" * 399)]
+
+
+def test_anchors_go_before_the_passes(spark, monkeypatch):
+    """Besides the texts only the active cells lie in the shared folder when a pass begins, and no wide table when it ends."""
+    folder = common.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    wide = lambda: sum(f.startswith("staged-") for f in set(os.listdir(folder)) - before)
+    seen, refine = [], suffix_dedup._refine
+
+    def spied(texts, active, units, step, parts):
+        first = wide()
+        out = refine(texts, active, units, step, parts)
+        seen.append((step, first, wide()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_refine", spied)
+    df = spark.createDataFrame([(i, f"{i} " * 40 + "shared passage " * 60) for i in range(8)], "doc_id long, text string")
+    with common.scratch():
+        removed = [r.n_removed for r in suffix_dedup.remove_repeats(df, words=50).collect()]
+    assert min(removed) >= 900 and seen == [(0, 1, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0)]
