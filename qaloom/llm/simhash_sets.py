@@ -9,11 +9,14 @@ the exact sets, in two steps that never list the pairs inside a group:
 1. every node with the nearest of its blocks' centres (another member in each block);
 2. in blocks that still hold several groups, members of different groups by the bit-sliced counters of ``simhash``; what they
    let through is confirmed inside the block's task, and a block gives a spanning forest of its links.  Blocks of more than
-   ``CAP`` members are compared chunk by chunk, every two chunks in a task of their own.
+   ``CAP`` members are compared chunk by chunk, every two chunks in a task of their own; tiles whose texts would take more
+   than ``COPIES`` of each text go in several passes, so that the disk does not grow with the chunks met.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected, cut, one_row_each, row_digests, scratch, stage, text_bytes
+from .common import connected, cut, one_row_each, release_shuffles, row_digests, scratch, stage, text_bytes
 from .simhash import _planes, near_masks
 
 SHINGLE = 5
@@ -33,6 +36,8 @@ WORDS, RADIUS = 2, 41
 WIDE, WIDE_RADIUS, WIDE_SIZE = 16, 216, 64
 BANDS, ROWS = 24, 4
 CAP = 512
+#: Texts that a pass over tiles sends, as copies of all texts.
+COPIES = 2
 _STEP = 512
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _A, _B = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -294,19 +299,39 @@ def _linked(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     large = cut(named.join(mixed.where(F.col("n") > CAP).select("key"), "key").select("root", *_OWN).distinct())
     in_chunks = mixed.where(F.col("n") > CAP).agg(F.sum(F.col("n") * F.ceil(F.col("n") / CAP))).first()[0] or 0
     if 2 * in_chunks <= (large.agg(F.sum("size")).first()[0] or 0):
-        return _rooted(labels, _compared(named.join(mixed, "key"), texts))
+        return _rooted(labels, _compared(named, mixed, texts))
     fine = _rare_blocks(large, texts)
-    links = _compared(named.join(mixed.where(F.col("n") <= CAP), "key"), texts).unionByName(_compared(fine.join(_of_several(fine), "key"), texts))
+    links = _compared(named, mixed.where(F.col("n") <= CAP), texts).unionByName(_compared(fine, _of_several(fine), texts))
     return _rooted(labels, links.distinct())
 
 
-def _compared(blocks: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links of blocks ``key, n, root`` and a node's columns, large ones dealt chunk by chunk."""
+def _passes(sizes: DataFrame, texts: DataFrame) -> int:
+    """How often tiles are dealt, so that one time sends ``COPIES`` of the texts or so."""
+    sent = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / CAP))).first()[0] or 0
+    return max(1, -(-sent // (COPIES * max(1, texts.count()))))
+
+
+def _dealt(tiled: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of tiles with their texts, each tile's in one task."""
+    return tiled.join(texts, "node").select("tile", "root", *_OWN, "z").repartition("tile").sortWithinPartitions("tile")
+
+
+def _compared(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links of blocks ``key, n`` whose members have ``key, root`` and a node's columns, large ones dealt chunk by chunk."""
     chunks = F.ceil(F.col("n") / CAP)
     tile = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64("key", F.least("c", j), F.greatest("c", j)))
-    tiled = blocks.withColumn("c", F.pmod(F.xxhash64(F.lit(77), "node"), chunks)).select(F.explode(tile).alias("tile"), "root", *_OWN)
-    dealt = tiled.join(texts, "node").select("tile", "root", *_OWN, "z").repartition("tile").sortWithinPartitions("tile")
-    return cut(dealt.mapInArrow(_near_in_blocks, "a long, b long").distinct())
+    blocks = members.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64(F.lit(77), "node"), chunks))
+    passes = _passes(sizes, texts)
+    if passes > 1:
+        blocks = cut(blocks)
+    tiled = blocks.select(F.explode(tile).alias("tile"), "root", *_OWN)
+    links = []
+    for i in range(passes):  # a tile is whole in its pass
+        some = tiled.where(F.pmod("tile", F.lit(passes)) == i) if passes > 1 else tiled
+        links.append(cut(_dealt(some, texts).mapInArrow(_near_in_blocks, "a long, b long").distinct()))
+        if passes > 1:
+            release_shuffles(texts.sparkSession)
+    return reduce(DataFrame.unionByName, links)
 
 
 def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

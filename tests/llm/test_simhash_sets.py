@@ -160,3 +160,21 @@ def test_ten_thousand_templated_texts(spark):
     began = time.time()
     assert simhash_sets.one_per_group(docs).count() == 10_000
     print(f"{time.time() - began:.0f} s")
+
+
+def test_texts_of_large_blocks_are_sent_in_passes(spark, monkeypatch):
+    """Chunk by chunk a text goes once for each chunk met: no pass sends many more than COPIES of all texts, and no link is lost."""
+    monkeypatch.setattr(simhash_sets, "CAP", 16)
+    rng = random.Random(9)
+    rows = templated(150, 9)
+    for i in range(60):
+        w = rows[i][1].split()
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(9999)}"
+        rows.append((1000 + i, " ".join(w)))
+    sent, dealt = [], simhash_sets._dealt
+    monkeypatch.setattr(simhash_sets, "_dealt", lambda tiled, texts: sent.append((tiled.count(), texts.count())) or dealt(tiled, texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in simhash_sets.one_per_group(docs).collect())
+    assert got == sorted(min(g) for g in brute_kept(rows))
+    assert sum(n for n, _ in sent) > 3 * sent[0][1] and max(n / texts for n, texts in sent) < 2 * simhash_sets.COPIES
