@@ -9,8 +9,10 @@ the exact sets, in two steps that never list the pairs inside a group:
 1. every node with the nearest of its blocks' centres (another member in each block);
 2. in blocks that still hold several groups, members of different groups by the bit-sliced counters of ``simhash``; what they
    let through is confirmed inside the block's task, and a block gives a spanning forest of its links.  Blocks of more than
-   ``CAP`` members are compared chunk by chunk, every two chunks in a task of their own; tiles whose texts would take more
-   than ``COPIES`` of each text go in several passes, so that the disk does not grow with the chunks met.
+   ``CAP`` members go in chunks, first each by itself with some members that all chunks hold: that joins a large group in
+   rows that grow with its size alone.  Then members outside the block's largest group meet all others, every two chunks in a
+   task of their own.  Tiles whose texts would take more than ``COPIES`` of each text go in several passes, so that the disk
+   does not grow with the chunks met.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ WORDS, RADIUS = 2, 41
 WIDE, WIDE_RADIUS, WIDE_SIZE = 16, 216, 64
 BANDS, ROWS = 24, 4
 CAP = 512
+#: One in so many of ``CAP`` members is sent to all chunks of a block.
+SHARED = 8
 #: Texts that a pass over tiles sends, as copies of all texts.
 COPIES = 2
 _STEP = 512
@@ -279,6 +283,13 @@ def _of_several(named: DataFrame) -> DataFrame:
     return cut(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
 
 
+def _sides(named: DataFrame) -> DataFrame:
+    """``key, top, own, rest`` of the blocks that hold several groups: the largest group, its members and those of all others."""
+    groups = named.groupBy("key", "root").agg(F.count("*").alias("m"))
+    top = [F.max_by("root", F.struct("m", "root")).alias("top"), F.max("m").alias("own"), (F.sum("m") - F.max("m")).alias("rest")]
+    return cut(groups.groupBy("key").agg(*top).where("rest > 0"))
+
+
 def _linked(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """``(node, root)`` of every node that has a near copy."""
     slots = nodes.select(*_OWN, F.explode("keys").alias("key"))
@@ -294,21 +305,53 @@ def _linked(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     texts = cut(plain.join(wanted, ["d1", "d2"]).select("node", "z").dropDuplicates(["node"]))
     labels = cut(connected(_confirmed(nearest, texts)))
     named = cut(shared.join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("root"), *_OWN))
-    mixed = _of_several(named)
-    # finer blocks write a row for each shingle of their members, some times over; chunks one, with a text, for each chunk met
-    large = cut(named.join(mixed.where(F.col("n") > CAP).select("key"), "key").select("root", *_OWN).distinct())
-    in_chunks = mixed.where(F.col("n") > CAP).agg(F.sum(F.col("n") * F.ceil(F.col("n") / CAP))).first()[0] or 0
-    if 2 * in_chunks <= (large.agg(F.sum("size")).first()[0] or 0):
-        return _rooted(labels, _compared(named, mixed, texts))
-    fine = _rare_blocks(large, texts)
-    links = _compared(named, mixed.where(F.col("n") <= CAP), texts).unionByName(_compared(fine, _of_several(fine), texts))
-    return _rooted(labels, links.distinct())
+    return _settled(named, labels, texts)
 
 
-def _passes(sizes: DataFrame, texts: DataFrame) -> int:
-    """How often tiles are dealt, so that one time sends ``COPIES`` of the texts or so."""
-    sent = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / CAP))).first()[0] or 0
-    return max(1, -(-sent // (COPIES * max(1, texts.count()))))
+def _settled(named: DataFrame, labels: DataFrame, texts: DataFrame, finer: bool = True) -> DataFrame:
+    """``labels`` after the links of all blocks ``key``, whose members have ``root`` and a node's columns."""
+    mixed = _of_several(named)
+    labels = _rooted(labels, _compared(*_by_themselves(named, mixed), texts))
+    large = mixed.where(F.col("n") > CAP).select("key")
+    if large.isEmpty():
+        return labels
+    left = named.join(large, "key").drop("root").join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("root"), *_OWN)
+    left = cut(left)
+    sides = _sides(left)
+    across = _across(left, sides)
+    if not across[2]:
+        return labels
+    if finer:
+        # finer blocks write a row for each shingle of their members, some times over; tiles one, with a text, for each chunk met
+        members = cut(left.join(sides.select("key"), "key").select("root", *_OWN).distinct())
+        if 2 * across[2] > (members.agg(F.sum("size")).first()[0] or 0):
+            return _settled(_rare_blocks(members, texts), labels, texts, finer=False)
+    return _rooted(labels, _compared(*across, texts))
+
+
+def _chunk(n: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(77), "key", "node"), n)
+
+
+def _by_themselves(named: DataFrame, mixed: DataFrame) -> tuple[DataFrame, Column, int]:
+    """The first tiles, their rows in proportion to the members: each chunk of a block, and in all chunks of a block the same few members."""
+    chunks, some = F.ceil(F.col("n") / CAP), max(1, CAP // SHARED)
+    everywhere = (chunks > 1) & (F.pmod(F.xxhash64(F.lit(78), "key", "node"), F.col("n")) < some)
+    all_chunks = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    tile = F.transform(F.when(everywhere, all_chunks).otherwise(F.array(_chunk(chunks))), lambda j: F.xxhash64("key", j))
+    sent = mixed.agg(F.sum(F.col("n") + some * (chunks - 1))).first()[0] or 0
+    return named.join(mixed, "key"), tile, sent
+
+
+def _across(named: DataFrame, sides: DataFrame) -> tuple[DataFrame, Column, int]:
+    """The tiles of members of different groups: every chunk of those outside the largest group with every other chunk of the block."""
+    rest, own = F.ceil(F.col("rest") / CAP), F.ceil(F.col("own") / CAP)
+    outside = F.col("root") != F.col("top")
+    rows = named.join(sides, "key").withColumn("c", F.when(outside, _chunk(rest)).otherwise(rest + _chunk(own)))
+    met = F.filter(F.sequence(F.lit(0).cast("long"), rest - 1 + F.when(outside, own).otherwise(F.lit(0))), lambda j: j != F.col("c"))
+    tile = F.transform(met, lambda j: F.xxhash64("key", F.least("c", j), F.greatest("c", j)))
+    sent = sides.agg(F.sum(F.col("own") * rest + F.col("rest") * (rest + own - 1))).first()[0] or 0
+    return rows, tile, sent
 
 
 def _dealt(tiled: DataFrame, texts: DataFrame) -> DataFrame:
@@ -316,19 +359,20 @@ def _dealt(tiled: DataFrame, texts: DataFrame) -> DataFrame:
     return tiled.join(texts, "node").select("tile", "root", *_OWN, "z").repartition("tile").sortWithinPartitions("tile")
 
 
-def _compared(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links of blocks ``key, n`` whose members have ``key, root`` and a node's columns, large ones dealt chunk by chunk."""
-    chunks = F.ceil(F.col("n") / CAP)
-    tile = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64("key", F.least("c", j), F.greatest("c", j)))
-    blocks = members.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64(F.lit(77), "node"), chunks))
-    passes = _passes(sizes, texts)
+def _in_pass(tile: Column, i: int, passes: int) -> Column:
+    """Those of the tiles that belong to pass ``i``."""
+    return F.filter(tile, lambda t: F.pmod(t, F.lit(passes)) == i) if passes > 1 else tile
+
+
+def _compared(blocks: DataFrame, tile: Column, sent: int, texts: DataFrame) -> DataFrame:
+    """The links inside the tiles that ``tile`` names for each of the rows; ``sent`` rows go in passes of ``COPIES`` of all texts or so."""
+    passes = max(1, -(-sent // (COPIES * max(1, texts.count()))))
     if passes > 1:
         blocks = cut(blocks)
-    tiled = blocks.select(F.explode(tile).alias("tile"), "root", *_OWN)
     links = []
-    for i in range(passes):  # a tile is whole in its pass
-        some = tiled.where(F.pmod("tile", F.lit(passes)) == i) if passes > 1 else tiled
-        links.append(cut(_dealt(some, texts).mapInArrow(_near_in_blocks, "a long, b long").distinct()))
+    for i in range(passes):  # a tile is whole in its pass; what other passes send is not written out
+        tiled = blocks.select(F.explode(_in_pass(tile, i, passes)).alias("tile"), "root", *_OWN)
+        links.append(cut(_dealt(tiled, texts).mapInArrow(_near_in_blocks, "a long, b long").distinct()))
         if passes > 1:
             release_shuffles(texts.sparkSession)
     return reduce(DataFrame.unionByName, links)

@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qaloom.llm import simhash, simhash_sets
 
@@ -178,3 +179,25 @@ def test_texts_of_large_blocks_are_sent_in_passes(spark, monkeypatch):
     got = sorted(tuple(r) for r in simhash_sets.one_per_group(docs).collect())
     assert got == sorted(min(g) for g in brute_kept(rows))
     assert sum(n for n, _ in sent) > 3 * sent[0][1] and max(n / texts for n, texts in sent) < 2 * simhash_sets.COPIES
+
+
+def test_tiles_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """Rows sent for one block are some times its members, not members times chunks; all members of different groups meet."""
+    monkeypatch.setattr(simhash_sets, "CAP", 16)
+
+    def tiles(n, others):
+        own = [f"{i} as {c}" for i, c in enumerate(simhash_sets._OWN[1:])]
+        node = spark.range(n).selectExpr("7L as key", f"if(id < {others}, id, {n}L) as root", "id as node", *own)
+        first = simhash_sets._by_themselves(node, node.groupBy("key").agg(F.count("*").alias("n")))
+        for rows, tile, sent in (first, simhash_sets._across(node, simhash_sets._sides(node))):
+            dealt = {}
+            for t, i, r in rows.select(F.explode(tile), "node", "root").collect():
+                dealt.setdefault(t, []).append((i, r))
+            assert abs(sum(map(len, dealt.values())) - sent) <= sent / 10 and max(map(len, dealt.values())) < 64
+            yield sent, dealt
+
+    (alone, chunks), (across, _) = tiles(1600, 10)
+    assert alone <= 1.25 * 1600 and across <= 2.7 * 1600  # 100 chunks: each with each would be 160,000 rows
+    assert len(set.intersection(*({i for i, _ in c} for c in chunks.values()))) > 0
+    met = {(i, j) for c in list(tiles(200, 40))[1][1].values() for i, _ in c for j, _ in c}
+    assert all((i, j) in met for i in range(40) for j in range(200) if i != j)
